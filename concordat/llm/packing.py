@@ -17,58 +17,74 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from concordat.llm.common import keyed_text, partitions, table, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = f"{PIECES}, sequence_id long, offset long"
-# Texts of these characters only are the same under NFC, lower-case letter by letter, and hold no other white space.
-PLAIN = re.compile("[\t\n\r\x20-\x7e¡-įĲ-ɏ–—‘-„…€]*")
-# Fixed value: the word pattern of the public tokenizer file.
-WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+# Other characters, or the string of a special token, can make normalising or splitting reach across white space.
+UNUSUAL = re.compile("[^\t\n\r\x20-\x7e¡-įĲ-ɏ–—‘-„…€]|<[|]")
 
 
-class WordCache:
+class ChunkCache:
     """Token ids of texts, as packed little-endian 32-bit integers.
 
-    The tokenizer splits a text into words before it merges, so a word's ids never depend on its neighbours: each word
-    goes through the library once per task, texts are joined from cached words. Any text with characters where
-    normalising could reach across words, or with the string of a special token, goes through the library whole.
+    The tokenizer never merges across white space, so what stands between white space always has the same ids: each
+    such chunk goes through the library when a worker first meets it, texts are joined from the chunks it holds. A text
+    with an unusual character goes through the library whole.
     """
 
-    def __init__(self, path: str, keep: int = 400_000) -> None:
+    def __init__(self, path: str, keep: int = 600_000) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words, self.keep = Tokenizer.from_file(path), {}, keep
+        self.tokenizer, self.known, self.keep = Tokenizer.from_file(path), {}, keep
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def each(self, chunks: list[str]) -> list[bytes]:
+        """Of many chunks in one call; the library's offsets tell whose each id is."""
+        out: list[bytes] = []
+        for at in range(0, len(chunks), 4096):
+            some = chunks[at : at + 4096]
+            coded = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids, starts = np.asarray(coded.ids, "<u4"), np.fromiter((o[0] for o in coded.offsets), np.int64, len(coded.ids))
+            ends = np.cumsum([len(c) + 1 for c in some])
+            cuts = np.searchsorted(starts, ends).tolist()
+            out += [ids[i:j].tobytes() for i, j in zip([0, *cuts], cuts, strict=False)]
+        return out
+
     def __call__(self, text: str) -> bytes:
-        if "<|" in text or not PLAIN.fullmatch(text):
+        if UNUSUAL.search(text):
             return self.whole(text)
-        found, words = WORD.findall(text.lower()), self.words
+        found, known = text.split(), self.known
         try:
-            return b"".join([words[w] for w in found])
+            return b"".join([known[c] for c in found])
         except KeyError:
-            if len(words) > self.keep:
-                words.clear()
-            new = [w for w in dict.fromkeys(found) if w not in words]
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                words[w] = np.asarray(e.ids, "<u4").tobytes()
-            return b"".join([words[w] for w in found])
+            new = [c for c in dict.fromkeys(found) if c not in known]
+            if len(known) + len(new) > self.keep:
+                known.clear()
+                new = list(dict.fromkeys(found))
+            known |= zip(new, self.each(new), strict=True)
+            return b"".join([known[c] for c in found])
+
+
+@cache
+def chunk_cache(path: str) -> ChunkCache:
+    """Kept by the worker for later tasks."""
+    return ChunkCache(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The pieces of every document: its ids and a closing 0, cut only where they exceed ``capacity``."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordCache(tokenizer)
+        encode = chunk_cache(tokenizer)
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
