@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from concordat.llm import packing, topk
+from concordat.llm import ann, bpe, packing, topk, warc
 
 QUERIES = {
     "op1_exact_topk": topk.op1_exact_topk,
+    "op2_byte_bpe": bpe.op2_byte_bpe,
+    "op3_ann": ann.op3_ann,
+    "op5_warc": warc.op5_warc,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
-ORACLES = {"op1_exact_topk": topk.OP1_SQL}
+ORACLES = {"op1_exact_topk": topk.OP1_SQL, "op5_warc": warc.OP5_SQL}
