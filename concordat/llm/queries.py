@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from concordat.llm import ann, bpe, packing, topk, warc
+from concordat.llm import ann, bpe, lines, neardup, packing, topk, warc
 
 QUERIES = {
     "op1_exact_topk": topk.op1_exact_topk,
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op3_ann": ann.op3_ann,
     "op5_warc": warc.op5_warc,
+    "op7_minhash_near_dedup": neardup.op7_minhash_near_dedup,
+    "op9_line_dedup": lines.op9_line_dedup,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
-ORACLES = {"op1_exact_topk": topk.OP1_SQL, "op5_warc": warc.OP5_SQL}
+ORACLES = {"op1_exact_topk": topk.OP1_SQL, "op5_warc": warc.OP5_SQL, "op9_line_dedup": lines.OP9_SQL}
