@@ -28,50 +28,28 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from concordat.llm.common import chunks, keyed_text, table, written
 from concordat.llm.components import connected
+from concordat.llm.hashing import BYTE, mix, powers, prefix
 
 K, LEAST, SLACK, BLOCK = 64, 40, 0.25, 512
 SKETCHES = "doc_id long, n long, hi long, lo long, sketch array<long>"
-_rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
-_BYTE[65:91] = _BYTE[97:123]
+_FOLDED = BYTE.copy()
+_FOLDED[65:91] = _FOLDED[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_P = 0x9E3779B97F4A7C15
-_POWERS = {"n": 0}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of _P and of its inverse modulo 2^64."""
-    if _POWERS["n"] < n:
-        size = max(n, 1 << 21)
-        for name, base in (("up", _P), ("down", pow(_P, -1, 2**64))):
-            a = np.full(size, base, np.uint64)
-            a[0] = 1
-            _POWERS[name] = np.multiply.accumulate(a)
-        _POWERS["n"] = size
-    return _POWERS["up"][:n], _POWERS["down"][:n]
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
 
 
 def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of every text."""
     raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    up, down = _powers(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * up[:-1], out=total[1:])
+    total, down = prefix(_FOLDED[raw]), powers(len(raw) + 1)[1]
     inside = ~_SPACE[raw]
     edge = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0))
     starts, ends = edge[::2], edge[1::2]
-    word = _mix((total[ends] - total[starts]) * down[starts])
+    word = mix((total[ends] - total[starts]) * down[starts])
     first = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
     rolled = np.zeros(max(0, len(word) - words + 1), np.uint64)
     for j in range(words):
-        rolled = _mix(rolled * np.uint64(0x2545F4914F6CDD1D) + word[j : len(word) - words + 1 + j])
+        rolled = mix(rolled * np.uint64(0x2545F4914F6CDD1D) + word[j : len(word) - words + 1 + j])
     out = []
     for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if j - i >= words:
@@ -79,7 +57,7 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
         elif j > i:
             one = np.array([j - i], np.uint64)
             for h in word[i:j]:
-                one = _mix(one * np.uint64(0x2545F4914F6CDD1D) + h)
+                one = mix(one * np.uint64(0x2545F4914F6CDD1D) + h)
             out.append(one.view(np.int64))
         else:
             out.append(np.empty(0, np.int64))
@@ -90,9 +68,9 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             sets = shingle_sets([t.as_py() for t in batch.column("text").cast(pa.binary())], words)
-            mixed = [_mix(s.view(np.uint64) + np.uint64(1)) for s in sets]
+            mixed = [mix(s.view(np.uint64) + np.uint64(1)) for s in sets]
             hi = np.array([m.sum(dtype=np.uint64) for m in mixed], np.uint64).view(np.int64)
-            lo = np.array([np.bitwise_xor.reduce(_mix(m), initial=np.uint64(0)) for m in mixed], np.uint64).view(np.int64)
+            lo = np.array([np.bitwise_xor.reduce(mix(m), initial=np.uint64(0)) for m in mixed], np.uint64).view(np.int64)
             yield pa.record_batch([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(hi), pa.array(lo), pa.array([s[:K] for s in sets], pa.list_(pa.int64()))], names=["doc_id", "n", "hi", "lo", "sketch"])
 
     return docs.mapInArrow(run, SKETCHES)
@@ -169,7 +147,7 @@ def residual(lists: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     mixed = mixed.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).select("value", "blocks")
     rows = lists.join(mixed, "value").withColumn("own", F.pmod(F.xxhash64("rep"), "blocks"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "left": F.col("own") <= F.col("other")})
+    rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
     rows = rows.join(reps.select("rep", "sketch"), "rep").select("value", "i", "j", "own", "rep", "n", "component", "sketch")
 
     def compare(group: pa.Table) -> pa.Table:

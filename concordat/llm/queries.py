@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from concordat.llm import ann, bpe, lines, neardup, packing, topk, warc
+from concordat.llm import ann, bpe, lines, neardup, packing, suffix_dedup, topk, warc
 
 QUERIES = {
     "op1_exact_topk": topk.op1_exact_topk,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_ann": ann.op3_ann,
     "op5_warc": warc.op5_warc,
     "op7_minhash_near_dedup": neardup.op7_minhash_near_dedup,
+    "op8_suffix_array_dedup": suffix_dedup.op8_suffix_array_dedup,
     "op9_line_dedup": lines.op9_line_dedup,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
