@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from concordat.llm import ann, bpe, lines, neardup, packing, suffix_dedup, topk, warc
+from concordat.llm import ann, bpe, html_text, lines, neardup, packing, suffix_dedup, topk, toxicity, warc
 
 QUERIES = {
     "op1_exact_topk": topk.op1_exact_topk,
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op3_ann": ann.op3_ann,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_warc": warc.op5_warc,
+    "op6_html_text": html_text.op6_html_text,
     "op7_minhash_near_dedup": neardup.op7_minhash_near_dedup,
     "op8_suffix_array_dedup": suffix_dedup.op8_suffix_array_dedup,
     "op9_line_dedup": lines.op9_line_dedup,
