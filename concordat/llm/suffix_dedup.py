@@ -194,21 +194,26 @@ def with_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFra
     return docs.join(found, docs.doc_id.eqNullSafe(F.col("d")) & (F.col("body") == F.col("b")), "left").select("doc_id", "text", "spans")
 
 
-def cut(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(doc_id, text, kept, n_spans, n_removed): the bytes that remain, whatever characters the cuts fall into."""
+def _remaining(raw: bytes, ranges: list[tuple[int, int]]) -> bytes:
+    edges = [0, *(x for r in ranges for x in r), len(raw)]
+    return b"".join(raw[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True))
+
+
+def remove_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with the repeated strings cut out of the text; a character that a cut divides goes with it."""
+    found = spans(keyed_text(docs, key, text).withColumn("body", F.xxhash64("text")), least, gram).withColumnsRenamed({"doc_id": "__d", "body": "__b", "spans": "__spans"})
+    own = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    marked = docs.withColumn(text, own).join(found, F.col(key).cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64(own) == F.col("__b")), "left").drop("__d", "__b")
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, n_spans, removed = [], [], []
-            for text, found in zip(batch.column("text").cast(pa.binary()), batch.column("spans"), strict=True):
-                raw, ranges = text.as_py(), _merged(found.as_py() or [])
-                edges = [0, *(x for r in ranges for x in r), len(raw)]
-                kept.append(b"".join(raw[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True)))
-                n_spans.append(len(ranges))
-                removed.append(len(raw) - len(kept[-1]))
-            yield pa.record_batch([batch.column("doc_id"), batch.column("text"), pa.array(kept, pa.binary()), pa.array(n_spans, pa.int64()), pa.array(removed, pa.int64())], names=["doc_id", "text", "kept", "n_spans", "n_removed"])
+            kept = []
+            for t, f in zip(batch.column(text).cast(pa.binary()), batch.column("__spans"), strict=True):
+                kept.append(_remaining(t.as_py(), _merged(f.as_py())).decode("utf-8", "ignore") if f.is_valid else t.as_py().decode())
+            yield pa.record_batch([pa.array(kept, pa.string()) if n == text else batch.column(n) for n in names], names=names)
 
-    return with_spans(docs, least).mapInArrow(run, "doc_id long, text string, kept binary, n_spans long, n_removed long")
+    return marked.mapInArrow(run, marked.drop("__spans").schema)
 
 
 def digests(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
@@ -217,8 +222,7 @@ def digests(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
             columns: list[list] = [[], [], [], []]
             for text, found in zip(batch.column("text").cast(pa.binary()), batch.column("spans"), strict=True):
                 raw, ranges = text.as_py(), _merged(found.as_py() or [])
-                edges = [0, *(x for r in ranges for x in r), len(raw)]
-                kept = b"".join(raw[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True))
+                kept = _remaining(raw, ranges)
                 for column, value in zip(columns, (len(raw), len(raw) - len(kept), len(ranges), hashlib.sha256(kept).hexdigest()), strict=True):
                     column.append(value)
             yield pa.record_batch([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])

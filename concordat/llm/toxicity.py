@@ -130,6 +130,25 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     return model
 
 
+def _scores(texts: pa.Array, model: Model) -> np.ndarray:
+    if not model.weights:
+        return np.full(len(texts), model.constant)
+    z = features([t.as_py() or b"" for t in texts.cast(pa.binary())], model) @ np.array(model.weights)
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def drop_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """``docs`` without the rows that score ``THRESHOLD`` or more; all columns come back as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                yield some.filter(pa.array(_scores(some.column(text), model) < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) of every row."""
 
@@ -137,11 +156,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
-                if model.weights:
-                    z = features([t.as_py() for t in some.column("text").cast(pa.binary())], model) @ np.array(model.weights)
-                    score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-                else:
-                    score = np.full(some.num_rows, model.constant)
+                score = _scores(some.column("text"), model)
                 yield pa.record_batch([some.column("doc_id"), some.column("text"), pa.array(score)], names=["doc_id", "text", "score"])
 
     return keyed_text(docs).mapInArrow(run, "doc_id long, text string, score double")
