@@ -10,8 +10,8 @@ the threshold; the exact similarity on the full sets decides.
 
 Lists are worked off in two ways, neither of which emits the pairs of a list. Leader rounds compare a list's members
 with one of them; what they link is one component and needs no comparison inside. In lists that still join several
-components, blocks of sketches are compared inside a task and only pairs that pass the estimate leave it; long lists are
-split into pairs of blocks.
+components, the members outside the largest are dealt in blocks that are compared with the list inside a task, and only
+pairs that pass the estimate leave it.
 
 Words are split at ASCII white space, A-Z are lowered. A text with fewer words than a shingle is one shingle; without
 words (or null) it is empty and linked with nothing. Repeated rows of one doc_id are judged by the smallest of their sets
@@ -30,7 +30,7 @@ from concordat.llm.common import chunks, keyed_text, table, written
 from concordat.llm.components import connected
 from concordat.llm.hashing import BYTE, mix, powers, prefix
 
-K, LEAST, SLACK, BLOCK = 64, 40, 0.25, 512
+K, LEAST, SLACK, BLOCK = 64, 40, 0.2, 1024
 SKETCHES = "doc_id long, n long, hi long, lo long, sketch array<long>"
 _FOLDED = BYTE.copy()
 _FOLDED[65:91] = _FOLDED[97:123]
@@ -77,24 +77,24 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
 
 
 def inverted(reps: DataFrame, percent: int) -> DataFrame:
-    """(value, rep): the lists that similar documents meet in."""
-    values = reps.select("rep", F.size("sketch").alias("s"), "n", F.explode("sketch").alias("value"))
+    """(value, rep, n): the lists that similar documents meet in."""
+    values = reps.select("rep", F.explode("sketch").alias("value"))
     shared = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    held = values.join(shared, "value").groupBy("rep").agg(F.first("s").alias("s"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("rare"))
+    held = values.join(shared, "value").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("rare"))
+    held = held.join(reps.select("rep", "n", F.size("sketch").alias("s")), "rep")
     t = F.when(F.col("n") * 100 <= K * percent, F.ceil(F.col("n") * percent / 100)).otherwise(LEAST)
-    length = (F.col("s") - t + 1 - (F.col("s") - F.size("rare"))).cast("int")  # values that no one else holds come first
+    length = (F.size("rare") - t + 1).cast("int")  # values that no one else holds come first and take up the rest
     kept = held.where(length > 0).select("rep", "n", F.explode(F.slice("rare", 1, length)).alias("r"))
     return kept.select(F.col("r.value").alias("value"), "rep", "n")
 
 
-def _overlap(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """Of two sketches: how much of the sketch of the union is in both, and its size."""
+def may_be_similar(a: np.ndarray, b: np.ndarray, sizes: tuple[int, int], percent: int) -> bool:
+    """By two sketches: decided if they hold the whole sets, else estimated on the sketch of the union, with slack."""
     both = np.intersect1d(a, b, assume_unique=True)
-    union = np.union1d(a, b)
-    if len(a) >= K or len(b) >= K:
-        union = union[:K]
-        both = both[both <= union[-1]]
-    return len(both), len(union)
+    if max(sizes) <= K:
+        return 100 * len(both) >= percent * (len(a) + len(b) - len(both))
+    union = np.union1d(a, b)[:K]
+    return int((both <= union[-1]).sum()) >= (percent / 100 - SLACK) * len(union)
 
 
 def estimated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -103,13 +103,11 @@ def estimated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("s_a"), batch.column("s_b"), strict=True):
-                both, union = _overlap(x.values.to_numpy(), y.values.to_numpy())
-                keep.append(both >= (percent / 100 - SLACK) * union)
+            columns = (batch.column("s_a"), batch.column("s_b"), batch.column("n_a").to_pylist(), batch.column("n_b").to_pylist())
+            keep = [may_be_similar(x.values.to_numpy(), y.values.to_numpy(), (m, n), percent) for x, y, m, n in zip(*columns, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b", "n_a", "n_b").mapInArrow(run, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -142,40 +140,39 @@ def _near(a: str, b: str, percent: int):
 
 
 def residual(lists: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in lists that hold several, compared block by block in numpy."""
-    mixed = lists.groupBy("value").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).where("x <> y")
-    mixed = mixed.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).select("value", "blocks")
-    rows = lists.join(mixed, "value").withColumn("own", F.pmod(F.xxhash64("rep"), "blocks"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    rows = rows.join(reps.select("rep", "sketch"), "rep").select("value", "i", "j", "own", "rep", "n", "component", "sketch")
+    """Similar pairs of different components in lists that hold several, found block by block in numpy.
+
+    Of lists with the same members one is enough. A list's largest component needs no comparison inside, so only the
+    members outside it are dealt in blocks, and each block meets all members of the list.
+    """
+    sizes = lists.groupBy("value", "component").agg(F.count("*").alias("size"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("sign"))
+    whole = sizes.groupBy("value").agg(F.count("*").alias("components"), F.sum("size").alias("all"), F.max_by("component", F.struct("size", "component")).alias("main"), F.max("size").alias("inside"), F.sum("sign").alias("sign"))
+    mixed = whole.where("components > 1").groupBy("all", "sign").agg(F.min(F.struct("value", "main", "inside")).alias("v"))
+    mixed = mixed.select("v.value", "v.main", F.ceil((F.col("all") - F.col("v.inside")) / BLOCK).alias("blocks"))
+    rows = lists.join(mixed, "value").withColumn("own", F.when(F.col("component") != F.col("main"), F.pmod(F.xxhash64("rep"), "blocks")).otherwise(-1))
+    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.join(reps.select("rep", "sketch"), "rep").select("value", "block", "own", "rep", "n", "component", "sketch")
 
     def compare(group: pa.Table) -> pa.Table:
-        reps_, n, comp, own = (group.column(c).to_numpy() for c in ("rep", "n", "component", "own"))
+        names, n, comp, own = (group.column(c).to_numpy() for c in ("rep", "n", "component", "own"))
         sketch = [s.values.to_numpy() for s in group.column("sketch")]
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         out: list[tuple[int, int]] = []
-        for x in left:
-            near = right[(comp[right] != comp[x]) & (np.minimum(n[right], n[x]) * 100 >= np.maximum(n[right], n[x]) * percent)]
-            if i == j:
-                near = near[near > x]
-            for y in near:
-                both, union = _overlap(sketch[x], sketch[y])
-                if both >= (percent / 100 - SLACK) * union:
-                    out.append((int(min(reps_[x], reps_[y])), int(max(reps_[x], reps_[y]))))
+        for x in np.flatnonzero(own == group.column("block")[0].as_py()):
+            near = np.flatnonzero((comp != comp[x]) & (np.minimum(n, n[x]) * 100 >= np.maximum(n, n[x]) * percent))
+            out += [(int(min(names[x], names[y])), int(max(names[x], names[y]))) for y in near if may_be_similar(sketch[x], sketch[y], (n[x], n[y]), percent)]
         return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
 
-    return rows.groupBy("value", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    return rows.groupBy("value", "block").applyInArrow(compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rounds: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rounds: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): components of 100 * intersection >= percent * union."""
     docs = keyed_text(docs, key, text)
     sets = written(sketches(docs, words), "sketches")
-    one = sets.groupBy("doc_id").agg(F.min(F.struct("hi", "lo", "n", "sketch")).alias("s")).select("doc_id", "s.*")
-    classes = written(one.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "classes")
-    reps = classes.select("rep", "n", "sketch")
+    one = sets.groupBy("doc_id").agg(F.min(F.struct("hi", "lo", "n")).alias("s")).select("doc_id", "s.*")
+    classes = written(one.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep")), "classes")
+    first = sets.join(classes.select("hi", "lo", F.col("rep").alias("doc_id")), ["doc_id", "hi", "lo"], "left_semi")
+    reps = written(first.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "n", "sketch"), "sketches-of-classes")
     lists = written(inverted(reps, percent), "lists")
     found = docs.limit(0).select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
     labels = found.select(F.col("a").alias("node"), F.col("b").alias("component"))
