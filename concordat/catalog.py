@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = "requisite_conflicts"
+from concordat.plans.queries import FLAGSHIP, ORACLES, QUERIES
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
