@@ -34,6 +34,15 @@ def _meeting(rows: DataFrame, keys: list[tuple[str, Column]], keep: list[str]) -
     return out
 
 
+def _with_ratio(pairs: DataFrame, same_name: Column) -> DataFrame:
+    """Adds name_similarity. Equal names and names of which one holds the other need no alignment and stay in the JVM."""
+    a, b = F.col("left__name"), F.col("right__name")
+    total = F.length(a) + F.length(b)
+    held = F.contains(a, b) | F.contains(b, a)
+    plain = F.when(same_name | (total == 0), F.lit(100.0)).otherwise(200.0 * F.least(F.length(a), F.length(b)) / total)
+    return pairs.where(held).withColumn("name_similarity", plain).unionByName(pairs.where(~held).withColumn("name_similarity", sim.ratio("left__name", "right__name")))
+
+
 def changed_fields() -> Column:
     pairs = [("bin", "_bin"), ("legal_address", "_address"), ("bank_name", "_bank"), ("bik", "_bik"), ("account_number", "_account")]
     return F.array_compact(F.array(*(F.when(F.col(f"left_{n}") != F.col(f"right_{n}"), F.lit(f)) for f, n in pairs)))
@@ -45,7 +54,7 @@ def find_conflicts(requisites: DataFrame, include_info: bool = False) -> DataFra
     keep = ["row_idx", "document_id", "entity_name", "_name", "_bin", "_address", "_bank", "_bik", "_account"]
     pairs = _meeting(rows, [("_name", F.lit(True)), ("_bin", F.lit(True))], keep)
     same_name = F.col("left__name") == F.col("right__name")
-    pairs = pairs.withColumns({"name_similarity": F.when(same_name, F.lit(100.0)).otherwise(sim.ratio("left__name", "right__name")), "changed": changed_fields()})
+    pairs = _with_ratio(pairs, same_name).withColumn("changed", changed_fields())
     pairs = pairs.where(same_name | (F.round("name_similarity", 9) >= NAME_RATIO))
     none = F.size("changed") == 0
     info = none & (F.col("left_entity_name") != F.col("right_entity_name")) & F.lit(include_info)
