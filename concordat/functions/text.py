@@ -66,7 +66,8 @@ def _nfkc(values: pd.Series) -> pd.Series:
 
 def nfkc(c: Column) -> Column:
     """Compatibility composition. Spark has none; Latin, Cyrillic and common punctuation are stable and stay in the JVM."""
-    return F.when(c.rlike(r"[^\u0000-\u009F¡-§©«-®°±¶·»¿-ıĴ-ľŁ-ňŊ-žƀ-ǃǝ-ǰǴ-ʯЀ-ӿ–-‟№]"), _nfkc(c)).otherwise(c)
+    odd = c.rlike(r"[^\u0000-\u009F¡-§©«-®°±¶·»¿-ıĴ-ľŁ-ňŊ-žƀ-ǃǝ-ǰǴ-ʯЀ-ӿ–-‟№]")
+    return F.coalesce(_nfkc(F.when(odd, c)), c)  # other rows go to Python as nulls
 
 
 def _folded(c: Column) -> Column:
@@ -85,7 +86,8 @@ def normalize_text(c: Column) -> Column:
     """Classic: folded letters and digits; a known phrase becomes its synonym, else each known word does."""
     plain = _classes(_folded(c), "0-9a-zа-яәіңғүұқөһ²³")
     words = F.transform(F.split(plain, " "), lambda w: F.coalesce(_map(SYNONYMS)[w], w))
-    return F.coalesce(_map(PHRASES)[plain], F.array_join(words, " "))
+    replaced = F.when(plain.rlike(f"(?:^| )(?:{'|'.join(SYNONYMS)})(?: |$)"), F.array_join(words, " ")).otherwise(plain)
+    return F.coalesce(_map(PHRASES)[plain], replaced)
 
 
 def unit_aliases() -> dict[str, tuple[str, str]]:
@@ -110,7 +112,8 @@ def normalize_unit(c: Column) -> tuple[Column, Column]:
 def normalize_name(c: Column) -> Column:
     """Classic: Kazakh letters as Russian ones, legal forms dropped, letters and digits only."""
     text = F.translate(_folded(c), "құүөғәің", "кууогаин")
-    text = F.regexp_replace(text, r"(?U)\b(?:тоо|too|ао|ao|ип|жшс)\b", " ")
+    forms = "тоо|too|ао|ao|ип|жшс"
+    text = F.when(text.rlike(forms), F.regexp_replace(text, rf"(?U)\b(?:{forms})\b", " ")).otherwise(text)
     return F.regexp_replace(text, "[^0-9a-zа-я]+", "")
 
 

@@ -70,6 +70,44 @@ def position_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("left_index", "right_index", "flag_type", "status", "filter_reason", F.round("fuzzy_score", 6).alias("fuzzy_score"), F.round("embedding_score", 6).alias("embedding_score"), "unit_mismatch", F.round("quantity_diff_pct", 6).alias("quantity_diff_pct"), F.round("price_diff_pct", 6).alias("price_diff_pct"), "has_numeric_conflict")
 
 
+POSITION_SQL = """
+WITH n AS (SELECT p_name AS x, string_split(p_name, ' ') AS w, count(*) AS copies FROM part GROUP BY ALL),
+p AS (SELECT x, ' ' || unnest(w) || ' ' AS p FROM n),
+f AS (
+  SELECT x, 'w' AS b, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM n
+  UNION ALL SELECT x, 'c', unnest(list_transform(range(1, greatest(length(p) - 1, 2)), lambda i: substr(p, i, 3))) FROM p
+  UNION ALL SELECT x, 'c', unnest(list_transform(range(1, greatest(length(p) - 2, 2)), lambda i: substr(p, i, 4))) FROM p WHERE length(p) > 3
+  UNION ALL SELECT x, 'c', unnest(list_transform(range(1, greatest(length(p) - 3, 2)), lambda i: substr(p, i, 5))) FROM p WHERE length(p) > 4),
+c AS (SELECT x, b, f, count(*) AS c FROM f GROUP BY ALL),
+d AS (SELECT b, f, sum(copies) AS df FROM c JOIN n ON c.x = n.x GROUP BY b, f),
+v AS (SELECT c.x, c.b, c.f, (1 + ln(c.c)) * (ln(((SELECT count(*) FROM part) + 1)::DOUBLE / (d.df + 1)) + 1) AS a FROM c JOIN d ON c.b = d.b AND c.f = d.f),
+u AS (SELECT x, b, f, a / sqrt(sum(a * a) OVER (PARTITION BY x, b)) AS a FROM v),
+cosine AS (SELECT l.x AS l, r.x AS r, sum(l.a * r.a) / 2 AS cosine FROM u l JOIN u r ON l.b = r.b AND l.f = r.f GROUP BY l.x, r.x),
+g AS (
+  SELECT a.x AS l, b.x AS r, array_to_string(list_sort(list_intersect(a.w, b.w)), ' ') AS shared,
+    array_to_string(list_sort(list_filter(a.w, lambda t: NOT list_contains(b.w, t))), ' ') AS lr, array_to_string(list_sort(list_filter(b.w, lambda t: NOT list_contains(a.w, t))), ' ') AS rr
+  FROM n a JOIN n b ON TRUE),
+h AS (SELECT *, length(lr) - bit_count(list_reduce(list_concat([(1::BIGINT << length(lr)) - 1], list_transform(string_split(rr, ''), lambda c: list_sum(list_transform(range(1, length(lr) + 1), lambda i: CASE WHEN substr(lr, i, 1) = c THEN 1::BIGINT << (i - 1) ELSE 0 END))::BIGINT)),
+    lambda s, m: ((s + (s & m)) | (s - (s & m))) & ((1::BIGINT << length(lr)) - 1))) AS lcs FROM g WHERE lr <> '' AND rr <> ''),
+z AS (
+  SELECT l, r, 100.0::DOUBLE AS fuzzy FROM g WHERE lr = '' OR rr = ''
+  UNION ALL SELECT l, r, CASE WHEN shared = '' THEN 200.0::DOUBLE * lcs / (length(lr) + length(rr)) ELSE greatest(
+    100.0::DOUBLE * (1 - (length(lr) + length(rr) - 2 * lcs)::DOUBLE / (2 * length(shared) + 2 + length(lr) + length(rr))),
+    100.0::DOUBLE * (1 - (1 + length(lr))::DOUBLE / (2 * length(shared) + 1 + length(lr))), 100.0::DOUBLE * (1 - (1 + length(rr))::DOUBLE / (2 * length(shared) + 1 + length(rr)))) END FROM h),
+q AS (
+  SELECT a.p_partkey AS left_index, b.p_partkey AS right_index, z.fuzzy, k.cosine, (a.p_size % 5 = 0) <> (b.p_size % 5 = 0) AS mismatch,
+    abs(a.p_size - b.p_size)::DOUBLE / greatest(a.p_size, b.p_size) AS dq, abs(a.p_retailprice - b.p_retailprice) / greatest(a.p_retailprice, b.p_retailprice) AS dp
+  FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey
+  JOIN z ON z.l = a.p_name AND z.r = b.p_name JOIN cosine k ON k.l = a.p_name AND k.r = b.p_name
+  WHERE z.fuzzy >= 82 OR k.cosine >= 0.75::DOUBLE),
+x AS (SELECT *, mismatch OR dq > 0.15::DOUBLE OR dp > 0.15::DOUBLE AS conflict FROM q)
+SELECT left_index, right_index, CASE WHEN conflict AND cosine < 0.75::DOUBLE AND fuzzy >= 82 THEN 'numeric' WHEN conflict THEN 'both' ELSE 'semantic' END AS flag_type,
+  CASE WHEN mismatch THEN 'excluded' ELSE 'proposed' END AS status, CASE WHEN mismatch THEN 'несовместимые категории единиц измерения' END AS filter_reason,
+  round(fuzzy, 6) AS fuzzy_score, round(cosine, 6) AS embedding_score, mismatch AS unit_mismatch, round(dq, 6) AS quantity_diff_pct, round(dp, 6) AS price_diff_pct, conflict AS has_numeric_conflict
+FROM x
+"""
+
+
 def numeric_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of one part and supplier whose quantities or prices differ."""
     line = _table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", F.lit("count").alias("unit_category"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("unit_price"))
@@ -311,6 +349,7 @@ QUERIES = {f.__name__: f for f in (requisite_conflicts, requisite_cases_web, pos
 ORACLES = {
     "requisite_conflicts": REQUISITE_SQL,
     "requisite_cases_web": REQUISITE_WEB_SQL,
+    "position_pairs": POSITION_SQL,
     "numeric_conflicts": NUMERIC_SQL,
     "text_normalized": TEXT_SQL,
     "tfidf_words": TFIDF_SQL,
