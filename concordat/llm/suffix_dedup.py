@@ -163,7 +163,7 @@ def repeated(parts: DataFrame, least: int) -> DataFrame:
 def spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
     """(doc_id, body, spans array<struct<start, stop>>): the byte ranges to remove, sorted; they may overlap. ``docs`` has doc_id, body, text."""
     found = written(all_contexts(docs, least, gram), "contexts")
-    twice = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    twice = written(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")  # a table of its own: both sides of the join are then dealt for it, and a hot anchor's rows can be split
     shared = written(found.join(twice, "anchor", "left_semi"), "shared-contexts")
     place = F.min(F.struct("doc_id", "body", "at", "windows", "lead")).alias("r")
     distinct = written(shared.groupBy("anchor", "context").agg(F.count("*").alias("n"), place), "distinct-contexts")
