@@ -20,6 +20,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 from pathlib import Path
 
 import numpy as np
@@ -86,11 +87,12 @@ def contract(word: bytes, rank: dict[bytes, int]) -> list[int]:
 class Codec:
     """Words and their ids, encoded by DuckDB when first met. One to a Python worker; ``keep`` bounds the words it holds."""
 
-    def __init__(self, path: str, pattern: str, long_word: int = 200, keep: int = 800_000) -> None:
+    def __init__(self, path: str, pattern: str, long_word: int = 200, keep: int = 1_100_000) -> None:
         import duckdb
 
         self.rank, self.pattern, self.long_word, self.keep = ranks(path), regex.compile(pattern), long_word, keep
         self.known: dict[str, tuple[str, int, bytes]] = {}
+        self.passing: list[str] = []
         self.runs = re.compile(r"[^\S \n]|\s\s")
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         pairs = [(self.rank[t[:i]] << 16 | self.rank[t[i:]], r) for t, r in self.rank.items() for i in range(1, len(t)) if t[:i] in self.rank and t[i:] in self.rank]
@@ -148,24 +150,29 @@ class Codec:
         return parts[:1] + [p if p[0] == "\n" else " " + p for p in parts[1:]] if parts != [""] else []
 
     def learn(self, units: list[list[str]]) -> None:
-        """Encodes and decodes the units not met before; their words go to DuckDB once each."""
+        """Encodes and decodes the units not met before; of their words DuckDB gets those that are no known unit, once each."""
         new = list(dict.fromkeys(u for t in units for u in t if u not in self.known))
         if len(self.known) + len(new) > self.keep:
-            self.known.clear()
-            new = list(dict.fromkeys(u for t in units for u in t))
-        if new:
-            split = [self.split(u) for u in new]
-            words = list(dict.fromkeys(w for s in split for w in s))
+            for u in list(islice(self.known, self.keep // 2, None)):  # the first to be met are the most common
+                del self.known[u]
+            new = list(dict.fromkeys(u for t in units for u in t if u not in self.known))
+        split = [self.split(u) for u in new]
+        words = list(dict.fromkeys(w for s in split for w in s))
+        own = {w: self.known[w] for w in words if w in self.known}
+        words = [w for w in words if w not in own]
+        if words:
             coded = self.encode([w.encode() for w in words])
-            own = {w: (",".join(map(str, ids)), len(ids), back) for w, ids, back in zip(words, coded, self.decode(coded), strict=True)}
-            for u, s in zip(new, split, strict=True):
-                parts = [own[w] for w in s]
-                self.known[u] = parts[0] if len(parts) == 1 else (",".join([p[0] for p in parts]), sum(p[1] for p in parts), b"".join([p[2] for p in parts]))
+            own |= {w: (",".join(map(str, ids)), len(ids), back) for w, ids, back in zip(words, coded, self.decode(coded), strict=True)}
+        for u, s in zip(new, split, strict=True):
+            parts = [own[w] for w in s]
+            self.known[u] = parts[0] if len(parts) == 1 else (",".join([p[0] for p in parts]), sum(p[1] for p in parts), b"".join([p[2] for p in parts]))
+        self.passing = [u for u in new if len(u) > 64]
 
     def forget(self) -> None:
-        """Drops what is too long to be worth keeping."""
-        for u in [u for u in self.known if len(u) > 64]:
-            del self.known[u]
+        """Drops what was learnt last but is too long to be worth keeping, such as texts that are one unit."""
+        for u in self.passing:
+            self.known.pop(u, None)
+        self.passing = []
 
 
 _CODECS: dict[tuple, Codec] = {}
@@ -201,6 +208,7 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
         for keys, texts in _groups(batches):
             own.learn(split := [own.units(t) for t in texts])
             ids = [[int(i) for w in t for i in own.known[w][0].split(",")] for t in split]
+            own.forget()
             yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return keyed_text(docs, key, text).mapInArrow(run, ENCODED)
@@ -234,6 +242,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 rows[0].append(sum([f[1] for f in found]))
                 rows[1].append(hashlib.sha256(",".join([f[0] for f in found]).encode()).hexdigest())
                 rows[2].append(hashlib.sha256(b"".join([f[2] for f in found])).hexdigest())
+            own.forget()
             yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(rows[0], pa.int64()), pa.array(rows[1]), pa.array(rows[2])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return keyed_text(docs).mapInArrow(run, DIGESTS)
