@@ -18,6 +18,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -68,10 +69,15 @@ class ChunkCache:
         except KeyError:
             new = [c for c in dict.fromkeys(found) if c not in known]
             if len(known) + len(new) > self.keep:
-                known.clear()
-                new = list(dict.fromkeys(found))
+                for c in list(islice(known, self.keep // 2, None)):  # the first to be met are the most common
+                    del known[c]
+                new = [c for c in dict.fromkeys(found) if c not in known]
             known |= zip(new, self.each(new), strict=True)
-            return b"".join([known[c] for c in found])
+            out = b"".join([known[c] for c in found])
+            for c in new:
+                if len(c) > 64:  # too long to be worth keeping
+                    del known[c]
+            return out
 
 
 @cache
