@@ -176,7 +176,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rounds:
     lists = written(inverted(reps, percent), "lists")
     found = docs.limit(0).select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
     labels = found.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    for turn in range(rounds + 1):
+    classed, turn = classes.count(), 0
+    while turn <= rounds:
         now = lists.join(labels, lists.rep == labels.node, "left").select("value", "rep", "n", F.coalesce("component", "rep").alias("component"))
         if turn < rounds:
             order = F.col("rep") if turn == 0 else F.xxhash64("rep", F.lit(turn))
@@ -185,12 +186,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rounds:
             pairs = estimated(pairs.select(F.least("rep", "l").alias("a"), F.greatest("rep", "l").alias("b")).distinct(), reps, percent)
         else:
             pairs = residual(now, reps, percent)
-        pairs = written(pairs, "pairs")
-        if pairs.isEmpty():
-            continue
-        linked = written(confirmed(pairs, reps, docs, words, percent), "confirmed")
-        found = found.unionByName(linked)
-        labels = connected(found)
+        linked = written(confirmed(written(pairs, "pairs"), reps, docs, words, percent), "confirmed")
+        gained = linked.count()
+        if gained:
+            found = found.unionByName(linked)
+            labels = connected(found)
+        turn = turn + 1 if turn == rounds or gained * 100 > classed else rounds  # another leader would link few more
     of_rep = classes.join(labels, classes.rep == labels.node, "left").select("hi", "lo", "n", F.coalesce("component", "rep").alias("component_id"))
     out = one.select("doc_id", "hi", "lo", "n").join(of_rep, ["hi", "lo", "n"], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
