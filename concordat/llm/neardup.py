@@ -142,24 +142,28 @@ def _near(a: str, b: str, percent: int):
 def residual(lists: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Similar pairs of different components in lists that hold several, found block by block in numpy.
 
-    Of lists with the same members one is enough. A list's largest component needs no comparison inside, so only the
+    Of lists with the same members one is enough, and a pair is compared in the first list that both are in. A list's largest component needs no comparison inside, so only the
     members outside it are dealt in blocks, and each block meets all members of the list.
     """
     sizes = lists.groupBy("value", "component").agg(F.count("*").alias("size"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("sign"))
     whole = sizes.groupBy("value").agg(F.count("*").alias("components"), F.sum("size").alias("all"), F.max_by("component", F.struct("size", "component")).alias("main"), F.max("size").alias("inside"), F.sum("sign").alias("sign"))
     mixed = whole.where("components > 1").groupBy("all", "sign").agg(F.min(F.struct("value", "main", "inside")).alias("v"))
     mixed = mixed.select("v.value", "v.main", F.ceil((F.col("all") - F.col("v.inside")) / BLOCK).alias("blocks"))
-    rows = lists.join(mixed, "value").withColumn("own", F.when(F.col("component") != F.col("main"), F.pmod(F.xxhash64("rep"), "blocks")).otherwise(-1))
+    held = lists.join(mixed, "value")
+    kept = held.groupBy("rep").agg(F.collect_list("value").alias("kept"))  # as many as a prefix is long
+    rows = held.withColumn("own", F.when(F.col("component") != F.col("main"), F.pmod(F.xxhash64("rep"), "blocks")).otherwise(-1))
     rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.join(reps.select("rep", "sketch"), "rep").select("value", "block", "own", "rep", "n", "component", "sketch")
+    rows = rows.join(reps.select("rep", "sketch"), "rep").join(kept, "rep").select("value", "block", "own", "rep", "n", "component", "sketch", "kept")
 
     def compare(group: pa.Table) -> pa.Table:
         names, n, comp, own = (group.column(c).to_numpy() for c in ("rep", "n", "component", "own"))
         sketch = [s.values.to_numpy() for s in group.column("sketch")]
+        kept = [set(k) for k in group.column("kept").to_pylist()]
+        value = group.column("value")[0].as_py()
         out: list[tuple[int, int]] = []
         for x in np.flatnonzero(own == group.column("block")[0].as_py()):
             near = np.flatnonzero((comp != comp[x]) & (np.minimum(n, n[x]) * 100 >= np.maximum(n, n[x]) * percent))
-            out += [(int(min(names[x], names[y])), int(max(names[x], names[y]))) for y in near if may_be_similar(sketch[x], sketch[y], (n[x], n[y]), percent)]
+            out += [(int(min(names[x], names[y])), int(max(names[x], names[y]))) for y in near if value == min(kept[x] & kept[y]) and may_be_similar(sketch[x], sketch[y], (n[x], n[y]), percent)]
         return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
 
     return rows.groupBy("value", "block").applyInArrow(compare, "a long, b long").distinct()
