@@ -13,6 +13,11 @@ An anchor that very many different contexts share is first split by the bytes th
 common. Contexts that occur twice are repeated as a whole. The runs of repeated windows go back to every occurrence of
 their context, are merged per document and cut out.
 
+:func:`remove_repeats` can also be told a number of words: then strings of so many words go as well, however few bytes
+they take. For them a text is read as the 8-byte hashes of its words (split at ASCII white space), so lengths in bytes
+are lengths in words and the white space between them doesn't count; windows of ``least`` bytes with so many whole words
+inside are left to that reading.
+
 Strings are judged on the input; matches end at document borders. Null texts count as empty. Repeated doc_ids are told
 apart by their text; rows that are equal in both are two places.
 """
@@ -20,7 +25,7 @@ apart by their text; rows that are equal in both are two places.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +40,33 @@ SHARD = 2 << 20
 HOT, STEP = 2048, 32
 LOW = np.uint64(2**28 - 1)
 CONTEXTS = "doc_id long, body long, at int, windows int, anchor long, lead int, context long"
+CODE = 8
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def word_edges(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start and end."""
+    edge = np.flatnonzero(np.diff((~_SPACE[raw]).astype(np.int8), prepend=0, append=0))
+    return edge[::2], edge[1::2]
+
+
+def word_codes(text: bytes) -> bytes:
+    """The text as the hashes of its words, ``CODE`` bytes each."""
+    raw = np.frombuffer(text, np.uint8)
+    starts, ends = word_edges(raw)
+    total, down = prefix(BYTE[raw]), powers(len(raw) + 1)[1]
+    return mix((total[ends] - total[starts]) * down[starts]).tobytes()
 
 
-def contexts(texts: list[bytes], least: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(text, start, windows, anchor hash, anchor's offset, context hash) of all contexts of the texts."""
+def _whole_words(raw: np.ndarray, at: np.ndarray, least: int) -> np.ndarray:
+    """How many words with white space on both sides the windows hold."""
+    starts, ends = word_edges(raw)
+    return np.searchsorted(ends, at + least, side="left") - np.searchsorted(starts, at, side="right")
+
+
+def contexts(texts: list[bytes], least: int, gram: int, fewer: int | None = None) -> tuple[np.ndarray, ...]:
+    """(text, start, windows, anchor hash, anchor's offset, context hash) of all contexts of the texts; of windows with ``fewer`` whole words only."""
     raw = np.frombuffer(b"".join(texts), np.uint8)
     starts = np.cumsum([0, *map(len, texts)])
     n, wide = len(raw), least - gram + 1
@@ -56,6 +84,8 @@ def contexts(texts: list[bytes], least: int, gram: int) -> tuple[np.ndarray, ...
     anchor = np.where(anchor < at, anchor + int(LOW) + 1, anchor)  # texts of more than 2^28 bytes
     text = np.repeat(np.arange(len(texts)), np.diff(starts))[: len(at)]
     inside = at + least <= starts[text + 1]
+    if fewer is not None:
+        inside &= _whole_words(raw, at, least) < fewer
     same = (anchor[1:] == anchor[:-1]) & (text[1:] == text[:-1]) & inside[1:] & inside[:-1]
     first = np.flatnonzero(inside & np.append(True, ~same))
     last = np.flatnonzero(inside & np.append(~same, True))
@@ -64,20 +94,21 @@ def contexts(texts: list[bytes], least: int, gram: int) -> tuple[np.ndarray, ...
     return text[first], (first - starts[text[first]]).astype(np.int32), (last - first + 1).astype(np.int32), gram_hash[anchor[first]].view(np.int64), lead.astype(np.int32), whole.view(np.int64)
 
 
-def all_contexts(docs: DataFrame, least: int, gram: int) -> DataFrame:
+def all_contexts(docs: DataFrame, least: int, gram: int, read: Callable[[bytes], bytes] = bytes, fewer: int | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, max_bytes=2 << 20):
-            text, *rest = contexts([t.as_py() for t in batch.column("text").cast(pa.binary())], least, gram)
+            text, *rest = contexts([read(t.as_py()) for t in batch.column("text").cast(pa.binary())], least, gram, fewer)
             own = [batch.column(c).take(pa.array(text)) for c in ("doc_id", "body")]
             yield pa.record_batch([*own, *map(pa.array, rest)], names=["doc_id", "body", "at", "windows", "anchor", "lead", "context"])
 
-    return docs.select("doc_id", "body", "text").where(F.octet_length("text") >= least).mapInArrow(run, CONTEXTS)
+    shortest = least if read is bytes else 2 * (least // CODE) - 1
+    return docs.select("doc_id", "body", "text").where(F.octet_length("text") >= shortest).mapInArrow(run, CONTEXTS)
 
 
 PIECES = "anchor long, context long, skip int, windows int, bytes binary, shard long"
 
 
-def pieces(docs: DataFrame, chosen: DataFrame, least: int) -> DataFrame:
+def pieces(docs: DataFrame, chosen: DataFrame, least: int, read: Callable[[bytes], bytes] = bytes) -> DataFrame:
     """The bytes of the chosen contexts; those of hot anchors in blocks of ``STEP`` windows at equal places from the anchor."""
     by_doc = chosen.groupBy("doc_id", "body").agg(F.collect_list(F.struct("at", "windows", "anchor", "lead", "context", "hot")).alias("chosen"))
     held = docs.join(by_doc, ["doc_id", "body"])
@@ -86,7 +117,7 @@ def pieces(docs: DataFrame, chosen: DataFrame, least: int) -> DataFrame:
         for batch in batches:
             rows: list[tuple] = []
             for text, picked in zip(batch.column("text").cast(pa.binary()), batch.column("chosen"), strict=True):
-                raw = text.as_py()
+                raw = read(text.as_py())
                 for c in picked.as_py():
                     end = c["at"] + c["windows"]
                     if not c["hot"]:
@@ -160,16 +191,19 @@ def repeated(parts: DataFrame, least: int) -> DataFrame:
     return dealt.mapInArrow(run, RUNS)
 
 
-def spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
-    """(doc_id, body, spans array<struct<start, stop>>): the byte ranges to remove, sorted; they may overlap. ``docs`` has doc_id, body, text."""
-    found = written(all_contexts(docs, least, gram), "contexts")
+def spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, read: Callable[[bytes], bytes] = bytes, fewer: int | None = None) -> DataFrame:
+    """(doc_id, body, spans array<struct<start, stop>>): the byte ranges to remove, sorted; they may overlap. ``docs`` has doc_id, body, text.
+
+    Ranges are those of the text as ``read`` gives it. With ``fewer``, only windows with fewer whole words are judged.
+    """
+    found = written(all_contexts(docs, least, gram, read, fewer), "contexts")
     twice = written(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")  # a table of its own: both sides of the join are then dealt for it, and a hot anchor's rows can be split
     shared = written(found.join(twice, "anchor", "left_semi"), "shared-contexts")
     place = F.min(F.struct("doc_id", "body", "at", "windows", "lead")).alias("r")
     distinct = written(shared.groupBy("anchor", "context").agg(F.count("*").alias("n"), place), "distinct-contexts")
     groups = distinct.groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts > 1")
     chosen = distinct.join(groups, "anchor").select("r.*", "anchor", "context", (F.col("contexts") > HOT).alias("hot"))
-    sorted_out = repeated(pieces(docs, chosen, least), least)
+    sorted_out = repeated(pieces(docs, chosen, least, read), least)
     whole = distinct.where("n > 1").select("anchor", "context", F.lit(0).alias("start"), F.col("r.windows").alias("stop"))
     runs = written(whole.unionByName(sorted_out), "runs")
     hits = shared.join(runs, ["anchor", "context"]).select("doc_id", "body", (F.col("at") + F.col("start")).alias("start"), (F.col("at") + F.col("stop") - 1 + least).alias("stop"))
@@ -199,9 +233,20 @@ def _remaining(raw: bytes, ranges: list[tuple[int, int]]) -> bytes:
     return b"".join(raw[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True))
 
 
-def remove_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the repeated strings cut out of the text; a character that a cut divides goes with it."""
-    found = spans(keyed_text(docs, key, text).withColumn("body", F.xxhash64("text")), least, gram).withColumnsRenamed({"doc_id": "__d", "body": "__b", "spans": "__spans"})
+def _word_ranges(raw: bytes, coded: list[dict]) -> list[dict]:
+    """Ranges of :func:`word_codes` as ranges of the text; of a code that is only partly inside nothing goes."""
+    starts, ends = word_edges(np.frombuffer(raw, np.uint8))
+    return [{"start": int(starts[-(-c["start"] // CODE)]), "stop": int(ends[c["stop"] // CODE - 1])} for c in coded]
+
+
+def remove_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, key: str = "doc_id", text: str = "text", words: int | None = None) -> DataFrame:
+    """``docs`` with the repeated strings of ``least`` bytes or of ``words`` words cut out of the text; a character that a cut divides goes with it."""
+    keyed = keyed_text(docs, key, text).withColumn("body", F.xxhash64("text"))
+    found = spans(keyed, least, gram, fewer=words).withColumn("coded", F.lit(False))
+    if words is not None:
+        found = found.unionByName(spans(keyed, CODE * words, max(1, CODE * (words // 3)), word_codes).withColumn("coded", F.lit(True)))
+    kinds = [F.first(F.when(F.col("coded") == kind, F.col("spans")), ignorenulls=True).alias(name) for name, kind in (("__spans", False), ("__coded", True))]
+    found = found.groupBy(F.col("doc_id").alias("__d"), F.col("body").alias("__b")).agg(*kinds)
     own = F.coalesce(F.col(text).cast("string"), F.lit(""))
     marked = docs.withColumn(text, own).join(found, F.col(key).cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64(own) == F.col("__b")), "left").drop("__d", "__b")
     names = docs.columns
@@ -209,11 +254,13 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, key: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = []
-            for t, f in zip(batch.column(text).cast(pa.binary()), batch.column("__spans"), strict=True):
-                kept.append(_remaining(t.as_py(), _merged(f.as_py())).decode("utf-8", "ignore") if f.is_valid else t.as_py().decode())
+            for t, f, c in zip(batch.column(text).cast(pa.binary()), batch.column("__spans"), batch.column("__coded"), strict=True):
+                raw = t.as_py()
+                ranges = sorted((f.as_py() or []) + _word_ranges(raw, c.as_py() or []), key=lambda r: (r["start"], r["stop"]))
+                kept.append(_remaining(raw, _merged(ranges)).decode("utf-8", "ignore") if ranges else raw.decode())
             yield pa.record_batch([pa.array(kept, pa.string()) if n == text else batch.column(n) for n in names], names=names)
 
-    return marked.mapInArrow(run, marked.drop("__spans").schema)
+    return marked.mapInArrow(run, marked.drop("__spans", "__coded").schema)
 
 
 def digests(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:

@@ -59,3 +59,18 @@ def test_stages_take_effect(spark, tmp_path):
     assert {r["doc_id"]: r["length"] for r in packed} == {i: len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in after_repeats.items()}
     whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted((r["doc_id"], r["ids_crc32"]) for r in whole) == sorted((r["doc_id"], r["ids_crc32"]) for r in packed)
+
+
+def test_repeats_of_more_than_50_words_are_cut(spark, tmp_path):
+    rng = random.Random(9)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    p51, p50, short, solid = prose(51), prose(50), " ".join("abcdefghij"[rng.randrange(10)] for _ in range(51)), "".join(rng.choice("abcdefghij") for _ in range(420))
+    assert len(p51) < 400 and len(short) == 101
+    texts = {}
+    for n, p in enumerate((p51, p50, short, solid)):
+        for k in range(2):
+            texts[10 * n + k] = (prose(40), p, prose(40))
+    docs = spark.createDataFrame([(i, "\n".join(t), "en", "s", 0) for i, t in texts.items()], SCHEMA)
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.cut_repeats(spark, docs, str(tmp_path)).collect()}
+    for i, (a, p, b) in texts.items():
+        assert out[i] == (f"{a}\n{p}\n{b}" if p is p50 else f"{a}{b}" if p is solid else f"{a}\n\n{b}"), i

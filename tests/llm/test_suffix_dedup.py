@@ -62,3 +62,17 @@ def test_contract_lengths(spark):
 
 def test_empty(spark):
     assert run(spark, [], 400, 192) == []
+
+
+def test_words_equal_brute_force(spark):
+    rows = [r for r in make(3) if r[0] < 200 or r[0] >= 300]
+    places = {}
+    for row, (_, t) in enumerate(rows):
+        words = t.split()
+        for j in range(len(words) - 8):
+            places.setdefault(tuple(words[j : j + 9]), []).append((row, j))
+    gone = {(row, j + d) for p in places.values() if len(p) > 1 for row, j in p for d in range(9)}
+    expected = sorted((i, " ".join(w for j, w in enumerate(t.split()) if (row, j) not in gone)) for row, (i, t) in enumerate(rows))
+    docs = spark.createDataFrame([(*r, "b", 1) for r in rows], SCHEMA)
+    out = suffix_dedup.remove_repeats(docs, 4000, 192, words=9).collect()
+    assert sorted((r["doc_id"], " ".join(r["text"].split())) for r in out) == expected and any(t for _, t in expected) and gone
