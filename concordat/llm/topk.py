@@ -91,7 +91,7 @@ def _search(pairs: DataFrame, k: int) -> DataFrame:
                     t, f = local[q], int(np.abs(queries[q]).argmax())
                     x = queries[q][f] / qnorms[q]
                     slack = np.sqrt(max(0.0, (1 - x * x) * (1 - t * t))) + 1e-9
-                    at = np.flatnonzero((unit[:, f] >= x * t - slack) & ((unit[:, f] <= x * t + slack) | (x > t) | (x < -t)))
+                    at = np.flatnonzero(((unit[:, f] >= x * t - slack) | (x < -t)) & ((unit[:, f] <= x * t + slack) | (x > t)))  # the query's own direction is inside the range beyond -t or t, so that side has no limit
                     if len(at):
                         keep(q, at, _products(queries[q : q + 1], data[at])[0])
                 plain = np.flatnonzero(local < COORDINATE_FROM)

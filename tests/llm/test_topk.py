@@ -43,3 +43,16 @@ def test_empty_and_few(spark):
     assert search(spark, []) == set()
     assert search(spark, [(5, [1.0, 2.0])]) == set()
     assert search(spark, [(5, [1.0, 2.0]), (6, [1.0, 0.0])]) == {(5, 1, 6, 64 * 64)}
+
+
+def test_one_large_negative_coordinate(spark):
+    random.seed(2)
+    rows = []
+    for i in range(200):
+        turn = random.uniform(-1, 1)
+        sign = random.choice([-1, -1, -1, 1])
+        rows.append((i, [sign * 8 * math.cos(turn), 8 * math.sin(turn), 0.0]))
+    rows += [(200 + i, [-8.0, 0.0, 0.0]) for i in range(20)]
+    rows = [(i, [round(x * 64) / 64 for x in v]) for i, v in rows]
+    for buckets in (1, 4):
+        assert search(spark, rows, k=7, block=16, query_block=16, buckets=buckets) == brute(rows, 5, 7)
