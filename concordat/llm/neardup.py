@@ -16,6 +16,9 @@ pairs that pass the estimate leave it.
 Words are split at ASCII white space, A-Z are lowered. A text with fewer words than a shingle is one shingle; without
 words (or null) it is empty and linked with nothing. Repeated rows of one doc_id are judged by the smallest of their sets
 (by hash) and come back once. An empty table gives an empty result.
+
+Rows without a doc_id are documents of their own, one for each different text. They stand, and come back, under a number
+of 2^62 or more that a hash of the text gives (:func:`numbered`), so that smaller ids are kept before them.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from concordat.llm.common import chunks, keyed_text, table, written
 from concordat.llm.components import connected
@@ -38,6 +41,12 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
+def numbered(key: str = "doc_id", text: str = "text") -> Column:
+    """The id that a row is judged under; it is never null."""
+    low = F.lit(2**62 - 1).cast("long")
+    return F.coalesce(F.col(key).cast("long"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).bitwiseAND(low).bitwiseOR(F.lit(2**62).cast("long")))
+
+
 def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of every text."""
     raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
@@ -171,7 +180,7 @@ def residual(lists: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rounds: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): components of 100 * intersection >= percent * union."""
-    docs = keyed_text(docs, key, text)
+    docs = keyed_text(docs, key, text).withColumn("doc_id", numbered())
     sets = written(sketches(docs, words), "sketches")
     one = sets.groupBy("doc_id").agg(F.min(F.struct("hi", "lo", "n")).alias("s")).select("doc_id", "s.*")
     classes = written(one.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep")), "classes")

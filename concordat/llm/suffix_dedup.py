@@ -19,7 +19,7 @@ are lengths in words and the white space between them doesn't count; windows of
 inside are left to that reading.
 
 Strings are judged on the input; matches end at document borders. Null texts count as empty. Repeated doc_ids are told
-apart by their text; rows that are equal in both are two places.
+apart by their text; rows that are equal in both are two places. So are rows without a doc_id, which stay without one.
 """
 
 from __future__ import annotations
@@ -111,7 +111,8 @@ PIECES = "anchor long, context long, skip int, windows int, bytes binary, shard
 def pieces(docs: DataFrame, chosen: DataFrame, least: int, read: Callable[[bytes], bytes] = bytes) -> DataFrame:
     """The bytes of the chosen contexts; those of hot anchors in blocks of ``STEP`` windows at equal places from the anchor."""
     by_doc = chosen.groupBy("doc_id", "body").agg(F.collect_list(F.struct("at", "windows", "anchor", "lead", "context", "hot")).alias("chosen"))
-    held = docs.join(by_doc, ["doc_id", "body"])
+    by_doc = by_doc.withColumnsRenamed({"doc_id": "__d", "body": "__b"})
+    held = docs.join(by_doc, docs.doc_id.eqNullSafe(F.col("__d")) & (docs.body == F.col("__b")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

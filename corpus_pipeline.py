@@ -25,9 +25,15 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles, a similarity of 0.8 or more; the smallest doc_id of each group stays."""
+    """Five-word shingles, a similarity of 0.8 or more; the smallest doc_id of each group stays.
+
+    Rows without a doc_id are documents of their own: of equal ones one stays, and only if its group has no doc_id at all.
+    """
     kept = neardup.near_duplicates(docs, words=5).where("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
+    docs = docs.withColumn("own_id", neardup.numbered())
+    copied = F.col("doc_id").isNull() & F.coalesce(F.col("text").rlike(r"[^\t\n\x0B\f\r ]"), F.lit(False))  # documents without words are linked with nothing
+    docs = docs.where(~copied).unionByName(docs.where(copied).dropDuplicates(["own_id"]))
+    return docs.join(kept, F.col("own_id") == F.col("kept_id"), "left_semi").select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -74,3 +74,26 @@ def test_repeats_of_more_than_50_words_are_cut(spark, tmp_path):
     out = {r["doc_id"]: r["text"] for r in corpus_pipeline.cut_repeats(spark, docs, str(tmp_path)).collect()}
     for i, (a, p, b) in texts.items():
         assert out[i] == (f"{a}\n{p}\n{b}" if p is p50 else f"{a}{b}" if p is solid else f"{a}\n\n{b}"), i
+
+
+def test_rows_without_doc_id(spark, tmp_path):
+    rng = random.Random(10)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    alone, copied, named = prose(80), prose(80), prose(80)
+    texts = [(None, alone), (None, copied), (None, copied), (None, copied + " end"), (None, named), (7, named), (8, prose(80)), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts], SCHEMA)
+    left = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()]
+    groups = [(i, t) for i, t in left if t not in (copied, copied + " end")]
+    assert len(left) == len(groups) + 1 and sorted(groups, key=str) == sorted([texts[0], texts[5], texts[6], (None, None), (None, "")], key=str)
+
+    passage = prose(60)
+    rows = [(i, f"{a}\n{passage}\n{b}") for i, a, b in [(None, prose(40), prose(40)), (None, prose(40), prose(40)), (3, prose(40), prose(40)), (4, prose(40), prose(40))]]
+    rows += [(None, passage[:200] + prose(60) + passage[200:])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    out = [r["text"] for r in corpus_pipeline.cut_repeats(spark, docs, str(tmp_path)).collect()]
+    assert len(out) == 5 and not any(passage in t for t in out)
+
+    rows = [(None if i % 2 else i, f"{prose(30)}\nAccepted login from user {'qwertzuiopas'[i]} at 10.0.0.{i} today") for i in range(12)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    out = [r["text"] for r in corpus_pipeline.drop_lines(spark, docs, str(tmp_path)).collect()]
+    assert sorted(out) == sorted(t.split("\n")[0] for _, t in rows)

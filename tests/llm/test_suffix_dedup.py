@@ -76,3 +76,19 @@ def test_words_equal_brute_force(spark):
     docs = spark.createDataFrame([(*r, "b", 1) for r in rows], SCHEMA)
     out = suffix_dedup.remove_repeats(docs, 4000, 192, words=9).collect()
     assert sorted((r["doc_id"], " ".join(r["text"].split())) for r in out) == expected and any(t for _, t in expected) and gone
+
+
+def test_rows_without_doc_id(spark):
+    rows = [(None if i % 3 == 0 else i, t) for i, t in make(4)]
+    out = run_unsorted(spark, rows)
+    assert out == sorted(brute_unsorted(rows), key=str)
+
+
+def run_unsorted(spark, rows):
+    docs = spark.createDataFrame([(*r, "b", 1) for r in rows], SCHEMA)
+    return sorted((tuple(r) for r in suffix_dedup.digests(docs, 40, 16).collect()), key=str)
+
+
+def brute_unsorted(rows):
+    numbers = [(n, t) for n, (_, t) in enumerate(rows)]
+    return [(rows[n][0], *rest) for n, *rest in brute(numbers, 40)]
