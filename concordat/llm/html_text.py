@@ -1,7 +1,8 @@
 """Main text of web pages by a recurrent block labeller.
 
 A page is read into its leaf sequence: the stretches of text between block-level tags, each with the path of open tags
-(names, classes and ids) above it. Every block becomes a vector of hashed path elements, hashed words and a few lengths;
+(names, classes and ids) above it, however deep; an element that is open several times counts once, where it is innermost.
+Every block becomes a vector of hashed path elements, all its words hashed and a few lengths;
 a bidirectional LSTM in numpy runs over the whole page and labels each block from both directions' state and its own
 vector. Blocks labelled main are joined in page order.
 
@@ -53,7 +54,7 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append((text, tuple(e for _, es in stack[-12:] for e in es), linked))
+            out.append((text, stack[-1][1] if stack else (), linked))
         parts.clear()
         linked = 0
 
@@ -88,7 +89,8 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
                 stack.pop()
             if name not in VOID:
                 own = [f"{w.lower()}" for x in NAMES.findall(m[3] or "") for w in re.split(r"[\s_-]+", "".join(x)) if w]
-                stack.append((name, (f"<{name}>", *own)))
+                own = list(dict.fromkeys([f"<{name}>", *own]))
+                stack.append((name, (*(e for e in stack[-1][1] if e not in own), *own) if stack else tuple(own)))
     if at < len(page):
         parts.append(page[at:])
     close()
@@ -107,9 +109,8 @@ def block_vectors(blocks: list[tuple[str, tuple[str, ...], int]]) -> np.ndarray:
     x = np.zeros((len(blocks), WIDTH), np.float32)
     for i, (text, path, linked) in enumerate(blocks):
         x[i, :PATHS] = _path_vector(path)
-        words = text[:200].lower().split()[:16]
-        for w in words:
-            x[i, PATHS + zlib.crc32(w.encode()) % WORDS] += 0.1 / len(words) ** 0.5
+        words = text.lower().encode("utf-8", "replace").split()
+        x[i, PATHS : PATHS + WORDS] = np.bincount([zlib.crc32(w) % WORDS for w in words], minlength=WORDS) * (0.1 / len(words) ** 0.5)
         n = len(text)
         x[i, -NUMBERS:] = np.log1p(n) / 5, min(1.0, linked / n), min(1.0, sum(map(text.count, ".,;:!?")) / n * 10), i / len(blocks), (len(blocks) - i) / len(blocks), 1.0
     return x
@@ -229,7 +230,17 @@ def site_page(rng: random.Random) -> tuple[str, list[str]]:
         name = rng.choice(names)
         return rng.choice([f' class="{name}"', f' id="{name}"', f' class="{word()} {name}"', f' class="{name} {word()}"'])
 
+    def nested(inner: str) -> str:
+        """Now and then the inside of a container stands many elements deeper."""
+        if rng.random() < 0.9:
+            return inner
+        depth = rng.randrange(2, 40)
+        named = [pick("wrapper", "row", "col", "inner", "grid") if rng.random() < 0.3 else "" for _ in range(depth)]
+        return "".join(f"<div{n}>" for n in named) + inner + "</div>" * depth
+
     def box(tag: str, inner: str, *names: str, plain: bool = False) -> str:
+        if tag not in ("p", "ul", "ol"):
+            inner = nested(inner)
         return f"<{tag}{'' if plain and (rng.random() < 0.6 or not names) else pick(*names) if names else ''}>{inner}</{tag}>"
 
     def links(n: int) -> str:
@@ -291,7 +302,7 @@ def site_page(rng: random.Random) -> tuple[str, list[str]]:
     for _ in range(rng.choice([1, 2, 4, 8, 14])):
         body += prose() if rng.random() < 0.78 else extra()
     inner_comments = comments() if rng.random() < 0.15 else ""
-    wrap = rng.choice(["article", "article", "article", "main", "div", "section"])
+    wrap, body = rng.choice(["article", "article", "article", "main", "div", "section"]), nested(body)
     if wrap == "article" or (wrap == "main" and rng.random() < 0.6):
         body = f"<{wrap}{rng.choice(['', '', pick('post', 'article', 'entry', 'story')])}>{body}{inner_comments}</{wrap}>"
     else:

@@ -61,3 +61,24 @@ def test_empty_table(spark):
 def test_blocks_of_broken_markup():
     blocks = html_text.leaf_blocks("a <b>b</b><p>c<p>d <!-- x -- y --> e<br>f<script>if (a<b) '</p>'</script><div class='x y'>g &lt;i&gt;</div> 3 < 4 <i")
     assert [b[0] for b in blocks] == ["a b", "c", "d e f", "g <i>", "3 < 4"]
+
+
+def test_deep_pages_and_late_words():
+    deep = lambda inner, n=25: "<div>" * n + inner + "</div>" * n
+    page = f"<body><nav>{deep('<p>Home of it</p>')}</nav><article class=story>{deep('<h1>Head of it</h1><p>Body of it.</p>')}</article><footer>{deep('<p>Legal end.</p>')}</footer>"
+    paths = {text: path for text, path, _ in html_text.leaf_blocks(page)}
+    assert "<nav>" in paths["Home of it"] and {"<article>", "story"} <= set(paths["Body of it."]) and "<footer>" in paths["Legal end."]
+    same = "word " * 100
+    assert (html_text.block_vectors([(same + "alpha beta", (), 0)]) != html_text.block_vectors([(same + "gamma zeta", (), 0)])).any()
+
+    rng, model, right, pages = random.Random(6), html_text.labeller(), 0, 100
+    for _ in range(pages):
+        text = lambda n: " ".join("".join(rng.choice("aeioulnrst") for _ in range(rng.randrange(2, 8))) for _ in range(n)).capitalize() + "."
+        main = [text(rng.randrange(3, 9))] + [text(rng.randrange(15, 60)) for _ in range(rng.randrange(2, 7))]
+        article = f"<h1>{main[0]}</h1>" + "".join(f"<p>{t}</p>" for t in main[1:])
+        outside = [deep(f"<p>{text(rng.randrange(5, 40))}</p>", rng.randrange(13, 30)) for _ in range(3)]
+        page = f"<html><body><nav>{outside[0]}</nav><article>{deep(article, rng.randrange(13, 30))}</article><aside>{outside[1]}</aside><footer>{outside[2]}</footer></body></html>"
+        blocks = html_text.leaf_blocks(page)
+        keep = model.labels([html_text.block_vectors(blocks)])[0]
+        right += [b[0] for b, k in zip(blocks, keep, strict=True) if k] == main
+    assert right >= 0.85 * pages, right
