@@ -59,20 +59,32 @@ def word_codes(text: bytes) -> bytes:
     return mix((total[ends] - total[starts]) * down[starts]).tobytes()
 
 
-def _whole_words(raw: np.ndarray, at: np.ndarray, least: int) -> np.ndarray:
-    """How many words with white space on both sides the windows hold."""
+def _sparse(raw: np.ndarray, least: int, fewer: int) -> np.ndarray:
+    """The windows that hold fewer words with white space on both sides."""
     starts, ends = word_edges(raw)
-    return np.searchsorted(ends, at + least, side="left") - np.searchsorted(starts, at, side="right")
+    n = len(raw)
+    begun, ended = (np.cumsum(np.bincount(e, minlength=n + 1)[: n + 1], dtype=np.int32) for e in (starts, ends))
+    return ended[least - 1 : n] - begun[: n - least + 1] < fewer
 
 
-def contexts(texts: list[bytes], least: int, gram: int, fewer: int | None = None) -> tuple[np.ndarray, ...]:
-    """(text, start, windows, anchor hash, anchor's offset, context hash) of all contexts of the texts; of windows with ``fewer`` whole words only."""
-    raw = np.frombuffer(b"".join(texts), np.uint8)
-    starts = np.cumsum([0, *map(len, texts)])
+def contexts(texts: list[bytes], least: int, gram: int, fewer: int | None = None, unit: int = 1) -> tuple[np.ndarray, ...]:
+    """(text, start, windows, anchor hash, anchor's offset, context hash) of all contexts of the texts.
+
+    With ``fewer``, of windows with fewer whole words; with ``unit``, of windows that start at multiples of it.
+    """
+    of = np.arange(len(texts))
+    if fewer is not None and sum(map(len, texts)) >= least:
+        starts = np.cumsum([0, *map(len, texts)])
+        count = np.append(0, np.cumsum(_sparse(np.frombuffer(b"".join(texts), np.uint8), least, fewer), dtype=np.int32))
+        of = np.array([i for i, t in enumerate(texts) if len(t) >= least and count[starts[i + 1] - least + 1] > count[starts[i]]], np.int64)
+        texts = [texts[i] for i in of]
+    raw = np.frombuffer(b"".join(texts), np.uint8 if unit == 1 else np.uint64)
+    starts = np.cumsum([0, *(len(t) // unit for t in texts)])
+    least, gram = least // unit, gram // unit
     n, wide = len(raw), least - gram + 1
     if n < least:
         return tuple(np.empty(0, t) for t in (np.int64, np.int32, np.int32, np.int64, np.int32, np.int64))
-    total, down = prefix(BYTE[raw]), powers(n + 1)[1]
+    total, down = prefix(BYTE[raw] if unit == 1 else raw), powers(n + 1)[1]
     gram_hash = mix((total[gram:] - total[:-gram]) * down[: n - gram + 1])
     smallest, width = gram_hash & ~LOW | np.arange(len(gram_hash), dtype=np.uint64) & LOW, 1
     while width < wide:
@@ -85,23 +97,25 @@ def contexts(texts: list[bytes], least: int, gram: int, fewer: int | None = None
     text = np.repeat(np.arange(len(texts)), np.diff(starts))[: len(at)]
     inside = at + least <= starts[text + 1]
     if fewer is not None:
-        inside &= _whole_words(raw, at, least) < fewer
+        inside &= _sparse(raw, least, fewer)
     same = (anchor[1:] == anchor[:-1]) & (text[1:] == text[:-1]) & inside[1:] & inside[:-1]
     first = np.flatnonzero(inside & np.append(True, ~same))
     last = np.flatnonzero(inside & np.append(~same, True))
     lead = anchor[first] - first
     whole = mix(((total[last + least] - total[first]) * down[first]) ^ (lead.astype(np.uint64) << np.uint64(32) | (last - first).astype(np.uint64)))
-    return text[first], (first - starts[text[first]]).astype(np.int32), (last - first + 1).astype(np.int32), gram_hash[anchor[first]].view(np.int64), lead.astype(np.int32), whole.view(np.int64)
+    return of[text[first]], (unit * (first - starts[text[first]])).astype(np.int32), (unit * (last - first) + 1).astype(np.int32), gram_hash[anchor[first]].view(np.int64), (unit * lead).astype(np.int32), whole.view(np.int64)
 
 
 def all_contexts(docs: DataFrame, least: int, gram: int, read: Callable[[bytes], bytes] = bytes, fewer: int | None = None) -> DataFrame:
+    unit = 1 if read is bytes else CODE
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, max_bytes=2 << 20):
-            text, *rest = contexts([read(t.as_py()) for t in batch.column("text").cast(pa.binary())], least, gram, fewer)
+            text, *rest = contexts([read(t.as_py()) for t in batch.column("text").cast(pa.binary())], least, gram, fewer, unit)
             own = [batch.column(c).take(pa.array(text)) for c in ("doc_id", "body")]
             yield pa.record_batch([*own, *map(pa.array, rest)], names=["doc_id", "body", "at", "windows", "anchor", "lead", "context"])
 
-    shortest = least if read is bytes else 2 * (least // CODE) - 1
+    shortest = least if unit == 1 else 2 * (least // unit) - 1
     return docs.select("doc_id", "body", "text").where(F.octet_length("text") >= shortest).mapInArrow(run, CONTEXTS)
 
 
