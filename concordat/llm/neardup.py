@@ -5,7 +5,7 @@ with equal sets are one class from then on, however many copies there are. Inver
 generate candidates: values are ordered rarest first, and two sketches that overlap in ``t`` values share one of their
 first ``K - t + 1``, so only those enter the lists and common values never do for documents that hold rarer ones.
 ``t`` is exact while sketches hold whole sets; beyond, similar documents overlap in fewer than ``LEAST`` of 64 values with
-a chance of about 1e-8. The sketch of the union estimates each candidate pair's similarity and rejects what is far below
+a chance of up to 3.5e-4 at a similarity of 0.8, if one set is inside the other. The sketch of the union estimates each candidate pair's similarity and rejects what is far below
 the threshold; the exact similarity on the full sets decides.
 
 Lists are worked off in two ways, neither of which emits the pairs of a list. Leader rounds compare a list's members
