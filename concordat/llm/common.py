@@ -6,9 +6,14 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+#: Rows of a table of ids that is still broadcast, about 16 MB.
+SMALL = 300_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``); in tests, where it is unset, one of our own."""
@@ -27,6 +32,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(ids: DataFrame) -> DataFrame:
+    """A written table of narrow rows, marked for a broadcast if it has few enough; beyond that both sides of its join are shuffled."""
+    return F.broadcast(ids) if ids.count() <= SMALL else ids
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -55,4 +65,20 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: i
             yield batch.slice(start)
 
 
-import pyarrow.compute  # noqa: E402,F401  (makes pa.compute available)
+def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[pa.RecordBatch]]:
+    """The rows of each group of a partition that is sorted by a whole-number key, as slices of the batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        k = batch.column(key).to_numpy()
+        if not len(k):
+            continue
+        if held and held[-1].column(key)[-1].as_py() != k[0]:
+            yield held
+            held = []
+        start = 0
+        for cut in (np.flatnonzero(k[1:] != k[:-1]) + 1).tolist():
+            yield [*held, batch.slice(start, cut - start)]
+            held, start = [], cut
+        held.append(batch.slice(start))
+    if held:
+        yield held

@@ -2,16 +2,19 @@
 
 A document's set is the hashes (64 bits) of its distinct word shingles; its sketch the ``K`` smallest of them. Documents
 with equal sets are one class from then on, however many copies there are. Inverted lists of the retained values
-generate candidates: values are ordered rarest first, and two sketches that overlap in ``t`` values share one of their
+generate overlaps: values are ordered rarest first, and two sketches that overlap in ``t`` values share one of their
 first ``K - t + 1``, so only those enter the lists and common values never do for documents that hold rarer ones.
 ``t`` is exact while sketches hold whole sets; beyond, similar documents overlap in fewer than ``LEAST`` of 64 values with
-a chance of up to 3.5e-4 at a similarity of 0.8, if one set is inside the other. The sketch of the union estimates each candidate pair's similarity and rejects what is far below
-the threshold; the exact similarity on the full sets decides.
+a chance of up to 4.3e-6 at a similarity of 0.8, if one set is inside the other.
 
-Lists are worked off in two ways, neither of which emits the pairs of a list. Leader rounds compare a list's members
-with one of them; what they link is one component and needs no comparison inside. In lists that still join several
-components, the members outside the largest are dealt in blocks that are compared with the list inside a task, and only
-pairs that pass the estimate leave it.
+Lists are worked off in turns, none of which emits the pairs of a list. In ``rounds`` leader turns every document meets
+one member of one of its lists, the leader; what that links is one component and needs no comparison inside. The last
+turn compares, in every list that still joins several components, the members outside the largest one with all members.
+A turn has two steps (:func:`matched`). The first moves sketches: where the sketch of the union puts a document's
+similarity with a partner of another component ``SLACK`` below the threshold or more, the document is out; it says which
+documents have partners left, not which pairs. The second moves the full sets of those documents only, decides exactly,
+and emits the links that join components. Both deal a list in blocks of bounded size, so that a list that holds a third
+of all documents is many tasks and no task holds it whole.
 
 Words are split at ASCII white space, A-Z are lowered. A text with fewer words than a shingle is one shingle; without
 words (or null) it is empty and linked with nothing. Repeated rows of one doc_id are judged by the smallest of their sets
@@ -23,17 +26,20 @@ of 2^62 or more that a hash of the text gives (:func:`numbered`), so that smalle
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from concordat.llm.common import chunks, keyed_text, table, written
+from concordat.llm.common import chunks, grouped, keyed_text, partitions, small, table, written
 from concordat.llm.components import connected
 from concordat.llm.hashing import BYTE, mix, powers, prefix
 
-K, LEAST, SLACK, BLOCK = 64, 40, 0.2, 1024
+K, LEAST, SLACK = 64, 36, 0.2
+#: Rows of sketches, and shingles of full sets, on either side of a block.
+SKETCH_BLOCK, SET_BLOCK = (1024, 4096), (1 << 18, 1 << 20)
 SKETCHES = "doc_id long, n long, hi long, lo long, sketch array<long>"
 _FOLDED = BYTE.copy()
 _FOLDED[65:91] = _FOLDED[97:123]
@@ -73,138 +79,208 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     return out
 
 
+def _named(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a set."""
+    m = mix(s.view(np.uint64) + np.uint64(1))
+    return tuple(np.array([m.sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(m), initial=np.uint64(0))]).view(np.int64).tolist())
+
+
 def sketches(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             sets = shingle_sets([t.as_py() for t in batch.column("text").cast(pa.binary())], words)
-            mixed = [mix(s.view(np.uint64) + np.uint64(1)) for s in sets]
-            hi = np.array([m.sum(dtype=np.uint64) for m in mixed], np.uint64).view(np.int64)
-            lo = np.array([np.bitwise_xor.reduce(mix(m), initial=np.uint64(0)) for m in mixed], np.uint64).view(np.int64)
-            yield pa.record_batch([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(hi), pa.array(lo), pa.array([s[:K] for s in sets], pa.list_(pa.int64()))], names=["doc_id", "n", "hi", "lo", "sketch"])
+            names = np.array([_named(s) for s in sets], np.int64).reshape(-1, 2)
+            yield pa.record_batch([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array([s[:K] for s in sets], pa.list_(pa.int64()))], names=["doc_id", "n", "hi", "lo", "sketch"])
 
     return docs.mapInArrow(run, SKETCHES)
 
 
-def inverted(reps: DataFrame, percent: int) -> DataFrame:
-    """(value, rep, n): the lists that similar documents meet in."""
-    values = reps.select("rep", F.explode("sketch").alias("value"))
-    shared = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    held = values.join(shared, "value").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("rare"))
-    held = held.join(reps.select("rep", "n", F.size("sketch").alias("s")), "rep")
-    t = F.when(F.col("n") * 100 <= K * percent, F.ceil(F.col("n") * percent / 100)).otherwise(LEAST)
-    length = (F.size("rare") - t + 1).cast("int")  # values that no one else holds come first and take up the rest
-    kept = held.where(length > 0).select("rep", "n", F.explode(F.slice("rare", 1, length)).alias("r"))
-    return kept.select(F.col("r.value").alias("value"), "rep", "n")
+def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(rep, payload): the sets named in ``wanted`` (rep, hi, lo), read from the texts again. Texts are moved only if the names are many."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            sets = shingle_sets([t.as_py() for t in batch.column("text").cast(pa.binary())], words)
+            named = zip(batch.column("hi").to_pylist(), batch.column("lo").to_pylist(), strict=True)
+            at = [i for i, (s, name) in enumerate(zip(sets, named, strict=True)) if _named(s) == name]
+            yield pa.record_batch([batch.column("doc_id").take(pa.array(at, pa.int64())), pa.array([sets[i] for i in at], pa.list_(pa.int64()))], names=["rep", "payload"])
 
-def may_be_similar(a: np.ndarray, b: np.ndarray, sizes: tuple[int, int], percent: int) -> bool:
-    """By two sketches: decided if they hold the whole sets, else estimated on the sketch of the union, with slack."""
-    both = np.intersect1d(a, b, assume_unique=True)
-    if max(sizes) <= K:
-        return 100 * len(both) >= percent * (len(a) + len(b) - len(both))
-    union = np.union1d(a, b)[:K]
-    return int((both <= union[-1]).sum()) >= (percent / 100 - SLACK) * len(union)
-
+    found = docs.join(small(wanted.withColumnRenamed("rep", "doc_id")), "doc_id").select("doc_id", "hi", "lo", "text").mapInArrow(run, "rep long, payload array<long>")
+    return found.groupBy("rep").agg(F.first("payload").alias("payload"))  # repeated rows
 
-def estimated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The pairs that the sketch of the union does not reject."""
-    side = lambda c: reps.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
 
+def inverted(reps: DataFrame, percent: int) -> DataFrame:
+    """(list, rep, n): the lists, named by their value, that similar documents meet in."""
+    values = reps.select("rep", "n", F.explode("sketch").alias("list"))
+    shared = values.groupBy("list").agg(F.count("*").alias("df")).where("df > 1")
+    held = values.join(shared, "list").groupBy("rep").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "list"))).alias("rare"))
+    t = F.when(F.col("n") * 100 <= K * percent, F.ceil(F.col("n") * percent / 100)).otherwise(LEAST)
+    length = (F.size("rare") - t + 1).cast("int")  # values that no one else holds come first and take up the rest
+    kept = held.where(length > 0).select("rep", "n", F.explode(F.slice("rare", 1, length)).alias("r"))
+    return kept.select(F.col("r.list").alias("list"), "rep", "n")
+
+
+def _near(a: str, b: str, percent: int) -> Column:
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+
+
+def dealt(rows: DataFrame, weight: Column, block: tuple[int, int]) -> DataFrame:
+    """A row for every group ``g`` it belongs to: a block of the left and a block of the right rows of a list, each of about that weight."""
+    side = lambda left: F.sum(F.when(F.col("left") == F.lit(left), weight).otherwise(0))
+    total = rows.groupBy("list").agg(F.ceil(side(True) / block[0]).alias("lb"), F.ceil(side(False) / block[1]).alias("rb"))
+    split = written(total.where("lb > 1 or rb > 1"), "blocks")
+    left = F.col("left")
+    rows = rows.join(split, "list", "left").withColumns({"lb": F.coalesce("lb", F.lit(1)), "rb": F.coalesce("rb", F.lit(1))})
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.when(left, F.col("lb")).otherwise(F.col("rb"))))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(left, F.col("rb")).otherwise(F.col("lb")) - 1)))
+    return rows.withColumn("g", F.xxhash64("list", F.when(left, F.col("own")).otherwise(F.col("other")), F.when(left, F.col("other")).otherwise(F.col("own")))).drop("lb", "rb", "own", "other")
+
+
+class Side:
+    """One side of a group: ids, set sizes, components, and the payloads laid end to end."""
+
+    def __init__(self, group: list[pa.RecordBatch], left: bool) -> None:
+        parts = [b.filter(b.column("left") if left else pa.compute.invert(b.column("left"))) for b in group]
+        parts = [p for p in parts if p.num_rows]
+        self.rep, self.n, self.component, self.list = (np.concatenate([p.column(c).to_numpy() for p in parts] or [np.empty(0, np.int64)]) for c in ("rep", "n", "component", "list"))
+        self.size = np.concatenate([pa.compute.list_value_length(p.column("payload")).to_numpy() for p in parts] or [np.empty(0, np.int64)]).astype(np.int64)
+        self.value = np.concatenate([p.column("payload").flatten().to_numpy() for p in parts] or [np.empty(0, np.int64)])
+        self.start = np.append(0, np.cumsum(self.size))
+
+    def payload(self, i: int) -> np.ndarray:
+        return self.value[self.start[i] : self.start[i + 1]]
+
+    def index(self) -> Side:
+        """Sorted values with their owners and their places in the owner's payload."""
+        owner = np.repeat(np.arange(len(self.rep)), self.size)
+        place = np.arange(len(self.value)) - self.start[owner]
+        order = np.argsort(self.value, kind="stable")
+        self.sorted, self.owner, self.place = self.value[order], owner[order], place[order]
+        return self
+
+    def overlaps(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How many values of x each row holds, and the range of each value of x in the index."""
+        lo, hi = np.searchsorted(self.sorted, x, "left"), np.searchsorted(self.sorted, x, "right")
+        n = hi - lo
+        at = np.repeat(hi - np.cumsum(n), n) + np.arange(n.sum())
+        return np.bincount(self.owner[at], minlength=len(self.rep)), lo, hi
+
+
+def _reachable(left: Side, i: int, right: Side, percent: int) -> np.ndarray:
+    return (right.component != left.component[i]) & (np.minimum(right.n, left.n[i]) * 100 >= np.maximum(right.n, left.n[i]) * percent)
+
+
+def estimated(group: list[pa.RecordBatch], percent: int) -> tuple[np.ndarray, ...]:
+    """(list, rep, left) of the rows with a partner of another component that the sketch of the union doesn't reject."""
+    left, right = Side(group, True), Side(group, False).index()
+    share = percent / 100 - SLACK
+    sound_left, sound_right = np.zeros(len(left.rep), bool), np.zeros(len(right.rep), bool)
+    for i in range(len(left.rep)):
+        x = left.payload(i)
+        both, lo, hi = right.overlaps(x)
+        whole = np.maximum(right.n, left.n[i]) <= K
+        union = np.minimum(K, len(x) + right.size - both)
+        ok = _reachable(left, i, right, percent) & np.where(whole, 100 * both >= percent * (len(x) + right.size - both), both >= share * union)
+        if (ok & ~whole).any():  # of the common values only those count that are among the K smallest of the union
+            met, inside = np.zeros(len(right.rep), np.int32), np.zeros(len(right.rep), np.int32)
+            for place in np.flatnonzero(hi > lo).tolist():
+                some = slice(lo[place], hi[place])
+                y = right.owner[some]
+                met[y] += 1
+                inside[y] += place + right.place[some] + 2 - met[y] <= K
+            ok &= whole | (inside >= share * union)
+        sound_left[i] = ok.any()
+        sound_right |= ok
+    return tuple(np.concatenate([left_part[sound_left], right_part[sound_right]]) for left_part, right_part in ((left.list, right.list), (left.rep, right.rep), (np.ones(len(left.rep), bool), np.zeros(len(right.rep), bool))))
+
+
+def linking(group: list[pa.RecordBatch], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b) of similar documents, as many as join the components of the group."""
+    left, right = Side(group, True), Side(group, False).index()
+    parent: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while (up := parent.get(c, c)) != c:
+            parent[c] = c = parent.get(up, up)
+        return c
+
+    a, b = [], []
+    for i in range(len(left.rep)):
+        x = left.payload(i)
+        both, _, _ = right.overlaps(x)
+        ok = _reachable(left, i, right, percent) & (100 * both >= percent * (len(x) + right.size - both))
+        for j in np.flatnonzero(ok).tolist():
+            p, q = find(int(left.component[i])), find(int(right.component[j]))
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+                a.append(left.rep[i])
+                b.append(right.rep[j])
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def _by_group(rows: DataFrame, kernel: Callable, percent: int, names: list[str], schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = (batch.column("s_a"), batch.column("s_b"), batch.column("n_a").to_pylist(), batch.column("n_b").to_pylist())
-            keep = [may_be_similar(x.values.to_numpy(), y.values.to_numpy(), (m, n), percent) for x, y, m, n in zip(*columns, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b", "n_a", "n_b").mapInArrow(run, "a long, b long")
-
+        for group in grouped(batches, "g"):
+            yield pa.record_batch([pa.array(c) for c in kernel(group, percent)], names=names)
 
-def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar enough. Only the texts of documents in a pair are moved."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    wanted = docs.join(ids, "doc_id", "left_semi")
+    spark = rows.sparkSession
+    return rows.repartition(partitions(spark), "g").sortWithinPartitions("g").mapInArrow(run, schema)
 
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
-            sets = shingle_sets([t.as_py() for t in batch.column("text").cast(pa.binary())], words)
-            yield pa.record_batch([batch.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "set"])
 
-    sets = wanted.mapInArrow(full, "doc_id long, set binary")
+def matched(rows: DataFrame, reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): links between left and right rows (list, left, rep, n, component) of the same list, enough to join all similar ones."""
+    rows = written(rows, "rows")
+    columns = ["g", "list", "left", "rep", "n", "component", "payload"]
+    sketched = dealt(rows, F.lit(1), SKETCH_BLOCK).join(reps.select("rep", F.col("sketch").alias("payload")), "rep").select(*columns)
+    left = _by_group(sketched, estimated, percent, ["list", "rep", "left"], "list long, rep long, left boolean")
+    sound = written(left.distinct().join(rows, ["list", "rep", "left"]), "estimated")
+    wanted = written(sound.select("rep").distinct().join(reps.select("rep", "hi", "lo"), "rep"), "wanted")
+    full = dealt(sound, F.col("n"), SET_BLOCK).join(full_sets(docs, wanted, words), "rep").select(*columns)
+    return written(_by_group(full, linking, percent, ["a", "b"], "a long, b long").distinct(), "links")
 
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    a, b = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(decide, "a long, b long")
+def by_leaders(now: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Rows for :func:`matched`: every document with the leader of the longest of its lists that is led by another component."""
+    order = F.col("rep") if turn == 0 else F.xxhash64("rep", F.lit(turn))
+    leaders = now.groupBy("list").agg(F.min_by(F.struct("rep", "n", "component"), order).alias("l"), F.count("*").alias("size"), F.min("component").alias("x"), F.max("component").alias("y"))
+    leaders = leaders.where("x <> y").select("list", F.col("l.rep").alias("l_rep"), F.col("l.n").alias("l_n"), F.col("l.component").alias("l_component"), "size")
+    pairs = now.join(leaders, "list").where((F.col("component") != F.col("l_component")) & _near("n", "l_n", percent))
+    chosen = pairs.groupBy("rep", "n", "component").agg(F.max_by(F.struct("l_rep", "l_n", "l_component"), F.struct("size", "list")).alias("l"))
+    chosen = written(chosen.select("rep", "n", "component", "l.*"), "leaders")
+    members = chosen.select(F.col("l_rep").alias("list"), F.lit(False).alias("left"), "rep", "n", "component")
+    return members.unionByName(chosen.select(F.col("l_rep").alias("list"), F.lit(True).alias("left"), F.col("l_rep").alias("rep"), F.col("l_n").alias("n"), F.col("l_component").alias("component")).distinct())
 
 
-def _near(a: str, b: str, percent: int):
-    return (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
+def by_lists(now: DataFrame) -> DataFrame:
+    """Rows for :func:`matched`: in lists of several components the members outside the largest one on the left, all on the right.
 
+    Of lists with the same members one is enough.
+    """
+    sizes = now.groupBy("list", "component").agg(F.count("*").alias("size"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("sign"))
+    whole = sizes.groupBy("list").agg(F.count("*").alias("components"), F.sum("size").alias("all"), F.max_by("component", F.struct("size", "component")).alias("main"), F.sum("sign").alias("sign"))
+    mixed = whole.where("components > 1").groupBy("all", "sign").agg(F.min(F.struct("list", "main")).alias("v")).select("v.list", "v.main")
+    held = now.join(written(mixed, "mixed-lists"), "list")
+    sides = F.when(F.col("component") == F.col("main"), F.array(F.lit(False))).otherwise(F.array(F.lit(True), F.lit(False)))
+    return held.select("list", F.explode(sides).alias("left"), "rep", "n", "component")
 
-def residual(lists: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Similar pairs of different components in lists that hold several, found block by block in numpy.
 
-    Of lists with the same members one is enough, and a pair is compared in the first list that both are in. A list's largest component needs no comparison inside, so only the
-    members outside it are dealt in blocks, and each block meets all members of the list.
-    """
-    sizes = lists.groupBy("value", "component").agg(F.count("*").alias("size"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("sign"))
-    whole = sizes.groupBy("value").agg(F.count("*").alias("components"), F.sum("size").alias("all"), F.max_by("component", F.struct("size", "component")).alias("main"), F.max("size").alias("inside"), F.sum("sign").alias("sign"))
-    mixed = whole.where("components > 1").groupBy("all", "sign").agg(F.min(F.struct("value", "main", "inside")).alias("v"))
-    mixed = mixed.select("v.value", "v.main", F.ceil((F.col("all") - F.col("v.inside")) / BLOCK).alias("blocks"))
-    held = lists.join(mixed, "value")
-    kept = held.groupBy("rep").agg(F.collect_list("value").alias("kept"))  # as many as a prefix is long
-    rows = held.withColumn("own", F.when(F.col("component") != F.col("main"), F.pmod(F.xxhash64("rep"), "blocks")).otherwise(-1))
-    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.join(reps.select("rep", "sketch"), "rep").join(kept, "rep").select("value", "block", "own", "rep", "n", "component", "sketch", "kept")
-
-    def compare(group: pa.Table) -> pa.Table:
-        names, n, comp, own = (group.column(c).to_numpy() for c in ("rep", "n", "component", "own"))
-        sketch = [s.values.to_numpy() for s in group.column("sketch")]
-        kept = [set(k) for k in group.column("kept").to_pylist()]
-        value = group.column("value")[0].as_py()
-        out: list[tuple[int, int]] = []
-        for x in np.flatnonzero(own == group.column("block")[0].as_py()):
-            near = np.flatnonzero((comp != comp[x]) & (np.minimum(n, n[x]) * 100 >= np.maximum(n, n[x]) * percent))
-            out += [(int(min(names[x], names[y])), int(max(names[x], names[y]))) for y in near if value == min(kept[x] & kept[y]) and may_be_similar(sketch[x], sketch[y], (n[x], n[y]), percent)]
-        return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
-
-    return rows.groupBy("value", "block").applyInArrow(compare, "a long, b long").distinct()
-
-
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rounds: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rounds: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): components of 100 * intersection >= percent * union."""
     docs = keyed_text(docs, key, text).withColumn("doc_id", numbered())
     sets = written(sketches(docs, words), "sketches")
     one = sets.groupBy("doc_id").agg(F.min(F.struct("hi", "lo", "n")).alias("s")).select("doc_id", "s.*")
     classes = written(one.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    first = sets.join(classes.select("hi", "lo", F.col("rep").alias("doc_id")), ["doc_id", "hi", "lo"], "left_semi")
-    reps = written(first.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "n", "sketch"), "sketches-of-classes")
+    by_set = sets.where("n > 0").groupBy("hi", "lo", "n").agg(F.first("sketch").alias("sketch"))
+    reps = written(by_set.join(classes, ["hi", "lo", "n"]).select("rep", "n", "hi", "lo", "sketch"), "sketches-of-classes")
     lists = written(inverted(reps, percent), "lists")
-    found = docs.limit(0).select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
-    labels = found.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    classed, turn = classes.count(), 0
-    while turn <= rounds:
-        now = lists.join(labels, lists.rep == labels.node, "left").select("value", "rep", "n", F.coalesce("component", "rep").alias("component"))
-        if turn < rounds:
-            order = F.col("rep") if turn == 0 else F.xxhash64("rep", F.lit(turn))
-            leaders = now.groupBy("value").agg(F.min_by(F.struct("rep", "n", "component"), order).alias("l"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("value", F.col("l.rep").alias("l"), F.col("l.n").alias("ln"), F.col("l.component").alias("lc"))
-            pairs = now.join(leaders, "value").where((F.col("component") != F.col("lc")) & _near("n", "ln", percent))
-            pairs = estimated(pairs.select(F.least("rep", "l").alias("a"), F.greatest("rep", "l").alias("b")).distinct(), reps, percent)
-        else:
-            pairs = residual(now, reps, percent)
-        linked = written(confirmed(written(pairs, "pairs"), reps, docs, words, percent), "confirmed")
-        gained = linked.count()
-        if gained:
-            found = found.unionByName(linked)
-            labels = connected(found)
-        turn = turn + 1 if turn == rounds or gained * 100 > classed else rounds  # another leader would link few more
+    found, labels = None, None
+    for turn in range(rounds + 1):
+        now = lists.withColumn("component", F.col("rep"))
+        if labels is not None:
+            now = lists.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("list", "rep", "n", F.coalesce("component", "rep").alias("component"))
+        links = matched(by_leaders(now, turn, percent) if turn < rounds else by_lists(now), reps, docs, words, percent)
+        found = links if found is None else found.unionByName(links)
+        labels = connected(found)
     of_rep = classes.join(labels, classes.rep == labels.node, "left").select("hi", "lo", "n", F.coalesce("component", "rep").alias("component_id"))
     out = one.select("doc_id", "hi", "lo", "n").join(of_rep, ["hi", "lo", "n"], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
