@@ -22,37 +22,43 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from concordat.llm.common import keyed_text, partitions, table, written
+from concordat.llm.common import chunks, keyed_text, partitions, table, written
+from concordat.llm.units import Units
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = f"{PIECES}, sequence_id long, offset long"
-# Other characters, or the string of a special token, can make normalising or splitting reach across white space.
+# Other characters, or the string of a special token, can make normalising or splitting reach across a unit's border.
 UNUSUAL = re.compile("[^\t\n\r\x20-\x7e¡-įĲ-ɏ–—‘-„…€]|<[|]")
+_SUSPECT = np.zeros(256, bool)
+_SUSPECT[:32] = _SUSPECT[127] = _SUSPECT[0xC2] = _SUSPECT[0xC4] = _SUSPECT[0xC9:] = True
+_SUSPECT[[9, 10, 13]] = False
 
 
-class ChunkCache:
+class UnitCache:
     """Token ids of texts, as packed little-endian 32-bit integers.
 
-    The tokenizer never merges across white space, so what stands between white space always has the same ids: each
-    such chunk goes through the library when a worker first meets it, texts are joined from the chunks it holds. A text
-    with an unusual character goes through the library whole.
+    The tokenizer never merges across white space or between a letter and a mark, so a unit (:mod:`concordat.llm.units`)
+    always has the same ids: each goes through the library when a worker first meets it. A text with an unusual character
+    goes through the library whole. ``keep`` units are held at most.
     """
 
-    def __init__(self, path: str, keep: int = 600_000) -> None:
+    def __init__(self, path: str, keep: int = 300_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.keep = Tokenizer.from_file(path), {}, keep
+        self.folds = bool(self.tokenizer.normalizer) and self.tokenizer.normalizer.normalize_str("ABC") == "abc"
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def each(self, chunks: list[str]) -> list[bytes]:
-        """Of many chunks in one call; the library's offsets tell whose each id is."""
+    def each(self, units: list[bytes]) -> list[bytes]:
+        """Of many units in one call; the library's offsets tell whose each id is."""
         out: list[bytes] = []
-        for at in range(0, len(chunks), 4096):
-            some = chunks[at : at + 4096]
+        for at in range(0, len(units), 4096):
+            some = [u.decode() for u in units[at : at + 4096]]
             coded = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
             ids, starts = np.asarray(coded.ids, "<u4"), np.fromiter((o[0] for o in coded.offsets), np.int64, len(coded.ids))
             ends = np.cumsum([len(c) + 1 for c in some])
@@ -60,41 +66,48 @@ class ChunkCache:
             out += [ids[i:j].tobytes() for i, j in zip([0, *cuts], cuts, strict=False)]
         return out
 
-    def __call__(self, text: str) -> bytes:
-        if UNUSUAL.search(text):
-            return self.whole(text)
-        found, known = text.split(), self.known
-        try:
-            return b"".join([known[c] for c in found])
-        except KeyError:
-            new = [c for c in dict.fromkeys(found) if c not in known]
-            if len(known) + len(new) > self.keep:
-                for c in list(islice(known, self.keep // 2, None)):  # the first to be met are the most common
-                    del known[c]
-                new = [c for c in dict.fromkeys(found) if c not in known]
-            known |= zip(new, self.each(new), strict=True)
-            out = b"".join([known[c] for c in found])
-            for c in new:
-                if len(c) > 64:  # too long to be worth keeping
-                    del known[c]
-            return out
+    def of_units(self, units: list[bytes]) -> list[bytes]:
+        known = self.known
+        bare = [u.strip(b" \t\n\r").lower() if self.folds else u.strip(b" \t\n\r") for u in units]
+        new = [u for u in dict.fromkeys(bare) if u not in known]
+        if len(known) + len(new) > self.keep:
+            for u in list(islice(known, self.keep // 2, None)):  # the first to be met are the most common
+                del known[u]
+            new = [u for u in dict.fromkeys(bare) if u not in known]
+        own = dict(zip(new, self.each(new), strict=True))
+        out = [known[u] if u in known else own[u] for u in bare]
+        known |= {u: ids for u, ids in islice(own.items(), max(0, self.keep - len(known))) if len(u) <= 64}
+        return out
+
+    def __call__(self, texts: pa.Array) -> Iterator[memoryview]:
+        """The ids of each text."""
+        found = Units(texts, leading=False)
+        raw = found.raw
+        suspect = np.flatnonzero(_SUSPECT[raw] | np.append((raw[:-1] == 60) & (raw[1:] == 124), False)[: len(raw)])
+        many = np.diff(np.append(0, np.searchsorted(suspect, found.ends))).tolist()
+        unusual = [bool(n) and bool(UNUSUAL.search(t.as_py())) for n, t in zip(many, texts, strict=True)]
+        if any(unusual):
+            found = Units(pa.array(["" if u else t.as_py() for u, t in zip(unusual, texts, strict=True)], pa.string()), leading=False)
+        ids, at = found.joined(self.of_units(found.different))
+        for i, u in enumerate(unusual):
+            yield memoryview(self.whole(texts[i].as_py())) if u else ids[at[i] : at[i + 1]]
 
 
 @cache
-def chunk_cache(path: str) -> ChunkCache:
+def unit_cache(path: str) -> UnitCache:
     """Kept by the worker for later tasks."""
-    return ChunkCache(path)
+    return UnitCache(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The pieces of every document: its ids and a closing 0, cut only where they exceed ``capacity``."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = chunk_cache(tokenizer)
-        for batch in batches:
+        encode = unit_cache(tokenizer)
+        for batch in chunks(batches, max_bytes=8 << 20):
             rows: list[list] = [[], [], [], [], []]
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = encode(text.as_py()) + b"\0\0\0\0"
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text")), strict=True):
+                ids = bytes(ids) + b"\0\0\0\0"
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     for column, value in zip(rows, (doc, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
