@@ -4,10 +4,14 @@ A text is split by the vocabulary's pattern; each match is a word that is encode
 it has not met yet to an in-process DuckDB: a row is a token at its position in a word, with its successor. The
 recursive step joins these pairs with the merge table (two ids and the id of their concatenation, which is its rank),
 contracts the leftmost pair of least rank of every word, and ends when no word has a pair left. Ids are an ordered
-aggregate of a word's last step; decoding joins ids back to tokens and concatenates them in order.
+aggregate of a word's last step. Decoding joins the ids of a document with the tokens and concatenates them in order, by
+an ordered aggregate too.
+
+The steps of a word are about half the square of its length in rows, so words go through DuckDB in batches whose squares
+are bounded. A word of more than ``WHOLE`` bytes is cut first, at the places that no occurrence of a token spans: no merge
+ever crosses them, so the parts are encoded each for itself. What is still longer than ``LONGEST`` (one letter repeated)
+would take a turn of all its rows for each merge; it runs through the same contraction with a heap.
 
-A step costs a row per token, so a word costs the square of its length. Words of more than ``long_word`` bytes (a page
-of letters without a space) run through the same contraction with a heap instead, in time close to linear.
 Null texts count as empty ones; an empty text has no ids. Whole texts are encoded; a lone surrogate can't occur in a
 Parquet string. Special tokens are ordinary text.
 """
@@ -17,7 +21,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import re
+import tempfile
 from collections.abc import Iterator
 from functools import cache
 from itertools import islice
@@ -25,11 +29,16 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from concordat.llm.common import keyed_text, table
+from concordat.llm.common import chunks, keyed_text, table
+from concordat.llm.units import Units
 
+WHOLE, LONGEST = 64, 256
+#: Of the words of a recursive query the sum of squared lengths; of a decoding query the ids.
+SQUARES, DECODED = 3_000_000, 1_000_000
 ENCODED = "doc_id long, ids array<int>"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -54,7 +63,7 @@ FROM step s JOIN (SELECT w, max(turn) AS turn FROM step GROUP BY w) l ON s.w = l
 GROUP BY s.w ORDER BY s.w
 """
 DECODE_SQL = """
-SELECT c.w, string_agg(t.hex, '' ORDER BY c.pos) AS hex FROM coded c JOIN tokens t ON t.id = c.id GROUP BY c.w ORDER BY c.w
+SELECT c.w, list(t.token ORDER BY c.pos) AS tokens FROM coded c JOIN tokens t ON t.id = c.id GROUP BY c.w
 """
 
 
@@ -84,95 +93,122 @@ def contract(word: bytes, rank: dict[bytes, int]) -> list[int]:
     return [rank[t] for t in tokens if t is not None]
 
 
+def _unicode_white(raw: np.ndarray) -> np.ndarray:
+    """Bytes with which characters outside ASCII begin that the pattern may take for white space, and ASCII separators."""
+    a, b = np.append(raw[1:], [0])[: len(raw)], np.append(raw[2:], [0, 0])[: len(raw)]
+    out = (raw >= 28) & (raw <= 31) | (raw == 0xC2) & ((a == 0x85) | (a == 0xA0))
+    return out | (raw == 0xE1) & ((a == 0x9A) | (a == 0xA0)) | (raw == 0xE2) & ((a == 0x80) | (a == 0x81)) & ((b < 0x90) | (b > 0xA6)) | (raw == 0xE3) & (a == 0x80) & (b == 0x80)
+
+
 class Codec:
-    """Words and their ids, encoded by DuckDB when first met. One to a Python worker; ``keep`` bounds the words it holds."""
+    """Units of text and their ids, encoded by DuckDB when first met. One to a Python worker; ``keep`` bounds the units it holds."""
 
-    def __init__(self, path: str, pattern: str, long_word: int = 200, keep: int = 1_100_000) -> None:
+    def __init__(self, path: str, pattern: str, keep: int = 400_000) -> None:
         import duckdb
 
-        self.rank, self.pattern, self.long_word, self.keep = ranks(path), regex.compile(pattern), long_word, keep
-        self.known: dict[str, tuple[str, int, bytes]] = {}
-        self.passing: list[str] = []
-        self.runs = re.compile(r"[^\S \n]|\s\s")
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.rank, self.pattern, self.keep = ranks(path), regex.compile(pattern), keep
+        self.known: dict[bytes, bytes] = {}
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": tempfile.mkdtemp(prefix="bpe-")})
         pairs = [(self.rank[t[:i]] << 16 | self.rank[t[i:]], r) for t, r in self.rank.items() for i in range(1, len(t)) if t[:i] in self.rank and t[i:] in self.rank]
         self._given(given=pa.table({"pair": pa.array([p for p, _ in pairs], pa.int64()), "id": pa.array([r for _, r in pairs], pa.int32())}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM given ORDER BY pair")
-        self._given(given=pa.table({"id": pa.array(self.rank.values(), pa.int64()), "hex": [t.hex() for t in self.rank]}))
+        self._given(given=pa.table({"id": pa.array(self.rank.values(), pa.int64()), "token": pa.array(list(self.rank), pa.binary())}))
         self.db.execute("CREATE TABLE tokens AS SELECT * FROM given")
         self.single = np.array([self.rank[bytes([i])] for i in range(256)], dtype=np.int64)
+        self.decimal = pa.array([b"%d," % i for i in range(max(self.rank.values()) + 1)], pa.large_binary())
+        self.finder = None
 
     def _given(self, **tables: pa.Table) -> None:
         for name, rows in tables.items():
             self.db.register(name, rows)
 
     @staticmethod
-    def _positions(sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        n = np.array(sizes, dtype=np.int64)
-        ends = np.cumsum(n)
-        return np.repeat(np.arange(len(n)), n), np.arange(int(n.sum())) - np.repeat(ends - n, n), ends
-
-    def encode(self, words: list[bytes]) -> list[list[int]]:
-        short = [w for w in words if len(w) <= self.long_word]
-        out: dict[bytes, list[int]] = {w: contract(w, self.rank) for w in words if len(w) > self.long_word}
-        for at in range(0, len(short), 16384):  # bounds the rows of all steps
-            some = short[at : at + 16384]
-            tok = self.single[np.frombuffer(b"".join(some), np.uint8)]
-            w, pos, ends = self._positions([len(x) for x in some])
+    def _positions(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ends = np.cumsum(sizes)
+        return np.repeat(np.arange(len(sizes)), sizes), np.arange(int(sizes.sum())) - np.repeat(ends - sizes, sizes), ends
+
+    def parts(self, word: bytes) -> list[bytes]:
+        """The word, cut where no occurrence of a token spans the cut."""
+        if self.finder is None:
+            import ahocorasick
+
+            self.finder = ahocorasick.Automaton()
+            for t in self.rank:
+                if len(t) > 1:
+                    self.finder.add_word(t.decode("latin-1"), len(t))
+            self.finder.make_automaton()
+        spanned = np.zeros(len(word) + 1, np.int64)
+        for end, size in self.finder.iter(word.decode("latin-1")):
+            spanned[end - size + 2] += 1
+            spanned[end + 1] -= 1
+        cuts = [0, *(np.flatnonzero(np.cumsum(spanned)[1:-1] == 0) + 1).tolist(), len(word)]
+        return [word[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, as packed 32-bit integers."""
+        cut = {w: self.parts(w) for w in words if len(w) > WHOLE}
+        todo = list(dict.fromkeys([w for w in words if w not in cut] + [p for ps in cut.values() for p in ps]))
+        out: dict[bytes, bytes] = {w: np.asarray(contract(w, self.rank), "<i4").tobytes() for w in todo if len(w) > LONGEST}
+        todo = [w for w in todo if w not in out]
+        sizes = np.array([len(w) for w in todo], np.int64)
+        batch = np.cumsum(sizes * sizes) // SQUARES
+        edges = np.flatnonzero(np.diff(batch, prepend=-1, append=-1)).tolist() if todo else [0]
+        for i, j in zip(edges[:-1], edges[1:], strict=True):
+            tok = self.single[np.frombuffer(b"".join(todo[i:j]), np.uint8)]
+            w, pos, ends = self._positions(sizes[i:j])
             after = np.append(tok[1:], -1)
             after[ends - 1] = -1  # no token: joins with no pair
             self._given(words=pa.table({"w": w, "pos": pos, "after": pos + 1, "tok": tok, "next": after}))
-            out |= zip(some, self.db.sql(ENCODE_SQL).to_arrow_table().column("ids").to_pylist(), strict=True)
-        return [out[w] for w in words]
-
-    def decode(self, coded: list[list[int]]) -> list[bytes]:
-        """Of lists with at least one id each."""
-        out: list[bytes] = []
-        for at in range(0, len(coded), 16384):
-            some = coded[at : at + 16384]
-            w, pos, _ = self._positions([len(x) for x in some])
-            self._given(coded=pa.table({"w": w, "pos": pos, "id": np.concatenate([np.asarray(x, np.int64) for x in some])}))
-            out += map(bytes.fromhex, self.db.sql(DECODE_SQL).to_arrow_table().column("hex").to_pylist())
-        return out
+            found = self.db.sql(ENCODE_SQL).to_arrow_table().column("ids").combine_chunks()
+            ids = found.flatten().to_numpy().astype("<i4").tobytes()
+            stops = (4 * np.cumsum(pa.compute.list_value_length(found).to_numpy())).tolist()
+            out |= zip(todo[i:j], (ids[a:b] for a, b in zip([0, *stops], stops, strict=False)), strict=True)
+        return [b"".join([out[p] for p in cut[w]]) if w in cut else out[w] for w in words]
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> Iterator[bytes]:
+        """Of lists of ids laid end to end, a bounded number of ids at a time."""
+        sizes = np.diff(ends, prepend=0)
+        for some in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(ends // DECODED)) + 1) if len(sizes) else ():
+            w, pos, _ = self._positions(sizes[some])
+            part = ids[ends[some[0]] - sizes[some[0]] : ends[some[-1]]]
+            self._given(coded=pa.table({"w": w, "pos": pos, "id": part.astype(np.int64)}))
+            found = self.db.sql(DECODE_SQL).to_arrow_table()
+            back = dict.fromkeys(range(len(some)), b"")
+            at = 0
+            for chunk in found.column("tokens").chunks:
+                laid = chunk.flatten().cast(pa.large_binary())
+                edge = np.frombuffer(laid.buffers()[1], np.int64)[laid.offset : laid.offset + len(laid) + 1]
+                stops = np.cumsum(pa.compute.list_value_length(chunk).to_numpy())
+                data = memoryview(laid.buffers()[2])
+                for n, (i, j) in enumerate(zip(np.append(0, stops[:-1]).tolist(), stops.tolist(), strict=True)):
+                    back[found.column("w")[at + n].as_py()] = bytes(data[edge[i] : edge[j]])
+                at += len(chunk)
+            yield from (back[i] for i in range(len(some)))
 
     def split(self, text: str) -> list[str]:
         return self.pattern.findall(text)
 
-    def units(self, text: str) -> list[str]:
-        """Parts of the text whose words are those of the text: what follows a single space, with it, and single line ends.
-
-        The pattern never matches across a space or line end that has other characters on both sides, except that it
-        takes a space with what follows. A text with longer white space is one unit.
-        """
-        if self.runs.search(text) or text[:1].isspace() or text[-1:].isspace():
-            return [text] if text else []
-        parts = text.replace("\n", " \n").split(" ")
-        return parts[:1] + [p if p[0] == "\n" else " " + p for p in parts[1:]] if parts != [""] else []
-
-    def learn(self, units: list[list[str]]) -> None:
-        """Encodes and decodes the units not met before; of their words DuckDB gets those that are no known unit, once each."""
-        new = list(dict.fromkeys(u for t in units for u in t if u not in self.known))
-        if len(self.known) + len(new) > self.keep:
-            for u in list(islice(self.known, self.keep // 2, None)):  # the first to be met are the most common
-                del self.known[u]
-            new = list(dict.fromkeys(u for t in units for u in t if u not in self.known))
-        split = [self.split(u) for u in new]
-        words = list(dict.fromkeys(w for s in split for w in s))
-        own = {w: self.known[w] for w in words if w in self.known}
-        words = [w for w in words if w not in own]
-        if words:
-            coded = self.encode([w.encode() for w in words])
-            own |= {w: (",".join(map(str, ids)), len(ids), back) for w, ids, back in zip(words, coded, self.decode(coded), strict=True)}
-        for u, s in zip(new, split, strict=True):
-            parts = [own[w] for w in s]
-            self.known[u] = parts[0] if len(parts) == 1 else (",".join([p[0] for p in parts]), sum(p[1] for p in parts), b"".join([p[2] for p in parts]))
-        self.passing = [u for u in new if len(u) > 64]
-
-    def forget(self) -> None:
-        """Drops what was learnt last but is too long to be worth keeping, such as texts that are one unit."""
-        for u in self.passing:
-            self.known.pop(u, None)
-        self.passing = []
+    def of_units(self, units: list[bytes]) -> list[bytes]:
+        """The ids of each unit, as packed 32-bit integers; of the words of new ones DuckDB gets those that are no known unit, once each."""
+        known = self.known
+        new = [u for u in units if u not in known]
+        if len(known) + len(new) > self.keep:
+            for u in list(islice(known, self.keep // 2, None)):  # the first to be met are the most common
+                del known[u]
+            new = [u for u in units if u not in known]
+        split = [[w.encode() for w in self.split(u.decode())] for u in new]
+        words = list(dict.fromkeys(w for s in split for w in s if w not in known))
+        own = dict(zip(words, self.encode(words), strict=True))
+        fresh = {u: b"".join([known[w] if w in known else own[w] for w in s]) for u, s in zip(new, split, strict=True)}
+        out = [known[u] if u in known else fresh[u] for u in units]
+        known |= {u: ids for u, ids in islice(fresh.items(), max(0, self.keep - len(known))) if len(u) <= WHOLE}
+        return out
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts, laid end to end, and where each text's end."""
+        found = Units(texts, leading=True, whole=_unicode_white)
+        packed, at = found.joined(self.of_units(found.different))
+        return np.frombuffer(packed, "<i4")[: at[-1] // 4], np.array(at[1:]) // 4
 
 
 _CODECS: dict[tuple, Codec] = {}
@@ -185,31 +221,15 @@ def codec(path: str, pattern: str) -> Codec:
     return _CODECS[path, pattern]
 
 
-def _groups(batches: Iterator[pa.RecordBatch], size: int = 1 << 20) -> Iterator[tuple[list, list[str]]]:
-    """Keys and texts, about ``size`` characters at a time."""
-    keys, texts, held = [], [], 0
-    for batch in batches:
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            keys.append(key)
-            texts.append(text.as_py())
-            held += len(texts[-1])
-            if held >= size:
-                yield keys, texts
-                keys, texts, held = [], [], 0
-    if keys:
-        yield keys, texts
-
-
 def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The ids of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for keys, texts in _groups(batches):
-            own.learn(split := [own.units(t) for t in texts])
-            ids = [[int(i) for w in t for i in own.known[w][0].split(",")] for t in split]
-            own.forget()
-            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        for batch in chunks(batches):
+            ids, ends = own.ids(batch.column("text"))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.record_batch([batch.column("doc_id"), lists], names=["doc_id", "ids"])
 
     return keyed_text(docs, key, text).mapInArrow(run, ENCODED)
 
@@ -220,11 +240,12 @@ def decode(coded: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
-            ids = [x or [] for x in batch.column("ids").to_pylist()]
-            if any(i < 0 or i >= len(own.rank) for x in ids for i in x):
+            lists = batch.column("ids")
+            sizes = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy()
+            ids = lists.flatten().to_numpy()
+            if len(ids) and (ids.min() < 0 or ids.max() >= len(own.decimal)):
                 raise ValueError("an id is not in the vocabulary")
-            full = dict(zip([k for k, x in enumerate(ids) if x], own.decode([x for x in ids if x]), strict=True))
-            yield pa.record_batch([batch.column("doc_id"), pa.array([full.get(k, b"") for k in range(len(ids))], pa.binary())], names=["doc_id", "bytes"])
+            yield pa.record_batch([batch.column("doc_id"), pa.array(own.decode(ids, np.cumsum(sizes)), pa.binary())], names=["doc_id", "bytes"])
 
     return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
 
@@ -234,16 +255,14 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for keys, texts in _groups(batches):
-            own.learn(split := [own.units(t) for t in texts])
-            rows: list[list] = [[], [], []]
-            for words in split:
-                found = [own.known[w] for w in words]
-                rows[0].append(sum([f[1] for f in found]))
-                rows[1].append(hashlib.sha256(",".join([f[0] for f in found]).encode()).hexdigest())
-                rows[2].append(hashlib.sha256(b"".join([f[2] for f in found])).hexdigest())
-            own.forget()
-            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(rows[0], pa.int64()), pa.array(rows[1]), pa.array(rows[2])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for batch in chunks(batches):
+            ids, ends = own.ids(batch.column("text"))
+            laid = own.decimal.take(pa.array(ids))
+            edge = np.frombuffer(laid.buffers()[1], np.int64)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
+            written, at = memoryview(laid.buffers()[2] or b""), edge[np.append(0, ends)].tolist()
+            coded = [hashlib.sha256(written[i : max(i, j - 1)]).hexdigest() for i, j in zip(at[:-1], at[1:], strict=True)]
+            back = [hashlib.sha256(b).hexdigest() for b in own.decode(ids, ends)]
+            yield pa.record_batch([batch.column("doc_id"), pa.array(np.diff(ends, prepend=0), pa.int64()), pa.array(coded), pa.array(back)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return keyed_text(docs).mapInArrow(run, DIGESTS)
 

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings, strategies as st
@@ -38,11 +40,34 @@ def test_empty_table(spark):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(max_size=40) | st.text("ab',.1 \n\té\xa0\x1c", max_size=20), min_size=1, max_size=5))
+@given(st.lists(st.text(max_size=40) | st.text("ab',.1 \n\t\r\v\x85é×\xa0\x1c\u2003\u200b(", max_size=20), min_size=1, max_size=6))
 def test_recursive_query_equals_library(reference, texts):
     own = bpe.codec(PATH, P.PATTERN)
-    for text in texts:
-        own.learn([words := own.units(text)])
-        assert [int(i) for w in words for i in own.known[w][0].split(",")] == reference.encode_ordinary(text)
-        assert b"".join(own.known[w][2] for w in words) == text.encode()
+    ids, ends = own.ids(pa.array(texts, pa.string()))
+    for text, i, j, back in zip(texts, [0, *ends], ends, own.decode(ids, ends), strict=False):
+        assert ids[i:j].tolist() == reference.encode_ordinary(text)
+        assert back == text.encode()
         assert [i for w in own.split(text) for i in bpe.contract(w.encode(), own.rank)] == reference.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("size", [64, 65, 100, 199, 256, 257, 1000, 5000])
+def test_long_words(reference, size):
+    rng = random.Random(size)
+    words = ["".join(rng.choice("abcdeé") for _ in range(size)), "".join(rng.choice("etaoinshr") for _ in range(size)), "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(size // 3)), "ab" * (size // 2), "".join(rng.choice(["上海", "的", "中国", "人民", "是"]) for _ in range(size // 6))]
+    own = bpe.codec(PATH, P.PATTERN)
+    ids, ends = own.ids(pa.array(words, pa.string()))
+    for word, i, j in zip(words, [0, *ends], ends, strict=False):
+        assert ids[i:j].tolist() == reference.encode_ordinary(word)
+
+
+def test_many_long_words_and_a_long_text_without_spaces(reference):
+    """Both once outgrew DuckDB's memory."""
+    rng = random.Random(1)
+    many = " ".join("".join(rng.choice("abcdefghij") for _ in range(64)) for _ in range(16_000))
+    chinese = "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(300_000)) + "。" * 3000
+    one = "x" * 1_000_000
+    own = bpe.codec(PATH, P.PATTERN)
+    ids, ends = own.ids(pa.array([many, chinese, one], pa.string()))
+    assert ids[: ends[0]].tolist() == reference.encode_ordinary(many)
+    assert ids[ends[0] : ends[1]].tolist() == [i for w in own.split(chinese) for i in bpe.contract(w.encode(), own.rank)]
+    assert [len(b) for b in own.decode(ids, ends)] == [len(x.encode()) for x in (many, chinese, one)]
