@@ -1,11 +1,16 @@
-"""Best-fit packing of tokenised documents into fixed-length training sequences.
+"""Best-fit packing of tokenised documents into fixed-length training sequences, in bulk-synchronous supersteps.
 
-Bulk-synchronous best fit. Pieces are ranked by a distributed sort within their length; the sorted pieces and the
-sorted gaps of open sequences are held run-length encoded (there are at most ``capacity`` different lengths, whatever
-the size of the corpus). One superstep per length, longest first: a successor sweep gives the pieces of that length the
-smallest gaps that take them, the rank of a piece decides which gap of a run is its own (so no two pieces conflict),
-filled gaps shrink and are sorted back in, pieces left over open new sequences, and the next superstep begins. The
-supersteps' decisions are rank ranges, a few thousand rows at most; applying them to the pieces is a distributed map.
+Pieces still to be placed and the gaps of open sequences are one table, range-sorted by size, gaps before pieces of the
+same size. A superstep matches both in a sweep from large to small: a piece takes the smallest gap that was passed and
+not taken, its successor in size. Every task sweeps its range; what stays loose there, pieces that only earlier ranges
+have gaps for and gaps that only later ranges have pieces for, is numbered in order, and the numbers of each range (one
+row a range) say which rank of one range meets which rank of another. Ranks settle conflicts: a gap takes one piece, a
+piece one gap. Filled gaps shrink by their piece, and the next superstep sorts anew, until no piece is left.
+
+New sequences are opened when pieces are longer than every gap: as many as those pieces need at least. Pieces that fill a
+sequence are placed at once. Short pieces (up to ``1 / SHORT`` of a sequence) of one length that a task reads one after
+another are first bundled to twice that size at most, so a sequence takes few items and supersteps stay few: a sequence
+takes one item in each.
 
 Null texts count as empty ones; an empty document is one piece holding only the closing id. Repeated doc_ids are
 packed row by row. An empty table gives an empty result.
@@ -15,7 +20,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import cache
 from itertools import islice
@@ -23,13 +27,15 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from concordat.llm.common import chunks, keyed_text, partitions, table, written
 from concordat.llm.units import Units
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PLACED = f"{PIECES}, sequence_id long, offset long"
+GAP, PIECE, PLACED = 0, 1, 2
+SHORT = 32
 # Other characters, or the string of a special token, can make normalising or splitting reach across a unit's border.
 UNUSUAL = re.compile("[^\t\n\r\x20-\x7e¡-įĲ-ɏ–—‘-„…€]|<[|]")
 _SUSPECT = np.zeros(256, bool)
@@ -100,91 +106,138 @@ def unit_cache(path: str) -> UnitCache:
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The pieces of every document: its ids and a closing 0, cut only where they exceed ``capacity``."""
+    """The pieces of every document: its ids and a closing 0, cut only where they exceed ``capacity``; and the item each is part of."""
+    short = capacity // SHORT
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = unit_cache(tokenizer)
+        item = TaskContext.get().partitionId() << 40
+        open_items: dict[int, tuple[int, int]] = {}
         for batch in chunks(batches, max_bytes=8 << 20):
-            rows: list[list] = [[], [], [], [], []]
+            rows: list[list] = [[], [], [], [], [], [], []]
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text")), strict=True):
                 ids = bytes(ids) + b"\0\0\0\0"
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
-                    for column, value in zip(rows, (doc, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+                    n = len(part) // 4
+                    own, within = open_items.pop(n, (item, 0))
+                    item += not within
+                    if within + 2 * n <= 2 * short:
+                        open_items[n] = own, within + n
+                    for column, value in zip(rows, (doc, k, at // 4, n, zlib.crc32(part), own, within), strict=True):
                         column.append(value)
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "item", "within"])
 
-    return keyed_text(docs, key, text).mapInArrow(cut, PIECES)
+    return keyed_text(docs, key, text).mapInArrow(cut, f"{PIECES}, item long, within long")
 
 
-def supersteps(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
-    """Best fit over run lengths: (length, first rank, pieces, first sequence, pieces per sequence, offset) of each run.
+def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Matches the gaps and pieces of one range, largest first; (kind, id, size, gap, room, range, nth), a row for each piece and each loose gap.
 
-    ``gaps`` holds the open sequences by free space; a run of sequences is (first id, how many). The number of runs is
-    bounded by the number of lengths, since a superstep splits one run at most and opens two at most.
+    Loose gaps are numbered in order of size, largest first, and so are loose pieces.
+    """
+    own, passed, loose = TaskContext.get().partitionId(), [], 0
+
+    def rows(columns: list[list]) -> pa.RecordBatch:
+        kinds = (pa.int32(), *(pa.int64(),) * 4, pa.int32(), pa.int64())
+        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["kind", "id", "size", "gap", "room", "range", "nth"])
+
+    for batch in batches:
+        out: list[list] = [[], [], [], [], [], [], []]
+        for kind, i, size in zip(*(batch.column(c).to_pylist() for c in ("kind", "id", "size")), strict=True):
+            if kind == GAP:
+                passed.append((i, size))
+                continue
+            gap, room, nth = (*passed.pop(), None) if passed else (None, None, loose)
+            loose += nth is not None
+            for column, value in zip(out, (PIECE, i, size, gap, room, own, nth), strict=True):
+                column.append(value)
+        yield rows(out)
+    for at in range(0, len(passed), 1 << 16):
+        some = passed[at : at + (1 << 16)]
+        n = len(some)
+        yield rows([[GAP] * n, [i for i, _ in some], [s for _, s in some], [None] * n, [None] * n, [own] * n, list(range(at, at + n))])
+
+
+def across(loose: dict[tuple[int, int], int]) -> tuple[list[tuple], list[tuple]]:
+    """Which loose pieces meet which loose gaps, from how many each range has of either: runs (range, first, many, gap's range, gap's number), a run's gaps being numbered downwards.
+
+    And what stays: (range, gaps that stay, pieces that were matched).
     """
-    gaps: dict[int, list[tuple[int, int]]] = {}
-    order: list[int] = []
-    plan: list[tuple[int, int, int, int, int, int]] = []
+    ranges = sorted({r for r, _ in loose})
+    gaps: list[list[int]] = []
+    runs, matched = [], {}
+    for r in ranges:
+        at, many = 0, loose.get((r, PIECE), 0)
+        while at < many and gaps:
+            of, left = gaps[-1]
+            n = min(many - at, left)
+            runs.append((r, at, n, of, left - 1))
+            at += n
+            gaps[-1][1] -= n
+            if not gaps[-1][1]:
+                gaps.pop()
+        matched[r] = at
+        if loose.get((r, GAP), 0):
+            gaps.append([r, loose[r, GAP]])
+    stay = dict(map(tuple, gaps))
+    return runs, [(r, stay.get(r, 0), matched[r]) for r in ranges]
+
+
+def needed(sizes: dict[int, int], capacity: int) -> int:
+    """As many sequences as pieces of these sizes need at least."""
+    return max(-(-sum(size * n for size, n in sizes.items()) // capacity), sum(n for size, n in sizes.items() if 2 * size > capacity))
+
+
+def superstep(state: DataFrame) -> DataFrame:
+    """The next state (kind, id, size, gap, room): gaps and pieces that are left, and the items placed, with their gap and its room."""
+    spark = state.sparkSession
+    dealt = state.repartitionByRange(partitions(spark), F.desc("size"), "kind", "id").sortWithinPartitions(F.desc("size"), "kind", "id")
+    swept = written(dealt.mapInArrow(sweep, "kind int, id long, size long, gap long, room long, range int, nth long"), "swept")
+    loose = swept.where("nth IS NOT NULL")
+    counts = {(r["range"], r["kind"]): r["count"] for r in loose.groupBy("range", "kind").count().collect()}  # two rows a range
+    runs, stay = across(counts)
+    stays = F.broadcast(spark.createDataFrame(stay, "range int, gaps long, met long"))  # one row a range
+    runs = F.broadcast(spark.createDataFrame(runs, "range int, first long, many long, of int, number long"))  # two rows a range at most
+    late = loose.where(F.col("kind") == PIECE).join(runs, "range").where("nth >= first AND nth < first + many")
+    late = late.select("id", "size", F.col("of").alias("range"), (F.col("number") - F.col("nth") + F.col("first")).alias("nth"))
+    late = late.join(loose.where(F.col("kind") == GAP).select("range", "nth", F.col("id").alias("gap"), F.col("size").alias("room")), ["range", "nth"])
+    met = swept.where("gap IS NOT NULL").select("id", "size", "gap", "room").unionByName(late.select("id", "size", "gap", "room"))
+    entries = F.array(
+        F.struct(F.lit(PLACED).alias("kind"), F.col("id").alias("id"), F.col("size").alias("size"), F.col("gap").alias("gap"), F.col("room").alias("room")),
+        F.struct(F.lit(GAP).alias("kind"), F.col("gap").alias("id"), (F.col("room") - F.col("size")).alias("size"), F.lit(None).cast("long").alias("gap"), F.lit(None).cast("long").alias("room")))
+    after = met.select(F.explode(entries).alias("e")).select("e.*").where("size > 0")
+    left = loose.join(stays, "range").where(F.when(F.col("kind") == GAP, F.col("nth") < F.col("gaps")).otherwise(F.col("nth") >= F.col("met")))
+    return written(after.unionByName(left.select("kind", "id", "size", "gap", "room")), "superstep")
+
+
+def placed(items: DataFrame, capacity: int) -> DataFrame:
+    """(item, sequence_id, at) for ``items`` (item, size). Sequences of one full item are numbered below 0."""
+    spark = items.sparkSession
+    out = items.where(F.col("size") == capacity).select("item", (-1 - F.col("item")).alias("sequence_id"), F.lit(0).cast("long").alias("at"))
+    none = F.lit(None).cast("long")
+    state = written(items.where(F.col("size") < capacity).select(F.lit(PIECE).alias("kind"), F.col("item").alias("id"), "size", none.alias("gap"), none.alias("room")), "superstep")
     opened = 0
-
-    def free(gap: int, first: int, many: int) -> None:
-        if gap and many:
-            if gap not in gaps:
-                gaps[gap] = []
-                insort(order, gap)
-            gaps[gap].append((first, many))
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left and (at := bisect_left(order, length)) < len(order):
-            gap, each = order[at], order[at] // length
-            first, many = gaps[gap].pop()
-            if not gaps[gap]:
-                del gaps[gap], order[at]
-            full = min(many, left // each)
-            used, rest = full, left - full * each
-            if full:
-                plan.append((length, rank, full * each, first, each, capacity - gap))
-                free(gap - each * length, first, full)
-                rank += full * each
-            if full < many and 0 < rest < each:
-                plan.append((length, rank, rest, first + full, rest, capacity - gap))
-                free(gap - rest * length, first + full, 1)
-                rank, rest, used = rank + rest, 0, used + 1
-            free(gap, first + used, many - used)
-            left = rest
-        each = capacity // length
-        for many, n in ((left // each, each), (1 if left % each else 0, left % each)):
-            if many:
-                plan.append((length, rank, many * n, opened, n, 0))
-                free(capacity - n * length, opened, many)
-                rank, opened = rank + many * n, opened + many
-    return plan
-
-
-def pack(cut: DataFrame, capacity: int = 2048, buckets: int | None = None) -> DataFrame:
-    """Places the pieces. ``cut`` must be a written table: it is read for the counts and again for the placing."""
-    spark = cut.sparkSession
-    buckets = buckets or partitions(spark)
-    cut = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))  # splits a length that many pieces share
-    sizes = cut.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
-    plan = np.array(sorted(supersteps(counts, capacity)), dtype=np.int64).reshape(-1, 6)
-    ranked = cut.withColumn("nth", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")))
-    ranked = ranked.join(offsets, ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("nth") - 1)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts = plan[:, 0] << 44 | plan[:, 1]
-        for batch in batches:
-            length, rank = (batch.column(c).to_numpy() for c in ("length", "rank"))
-            run = plan[np.searchsorted(starts, length << 44 | rank, side="right") - 1] if len(plan) else plan
-            nth, each = rank - run[:, 1], run[:, 4]
-            yield pa.record_batch([*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(run[:, 3] + nth // each), pa.array(run[:, 5] + nth % each * length)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
-
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(place, PLACED)
+    while True:
+        sizes: tuple[dict, dict] = ({}, {})  # of gaps and of pieces: `capacity` sizes at most
+        for r in state.where(F.col("kind") != PLACED).groupBy("kind", "size").count().collect():
+            sizes[r["kind"]][r["size"]] = r["count"]
+        if not sizes[PIECE]:
+            return out
+        state = state.where(F.col("kind") != PLACED)
+        if fresh := needed({s: n for s, n in sizes[PIECE].items() if s > max(sizes[GAP], default=0)}, capacity):
+            state = state.unionByName(spark.range(opened, opened + fresh).select(F.lit(GAP).alias("kind"), "id", F.lit(capacity).cast("long").alias("size"), none.alias("gap"), none.alias("room")))
+            opened += fresh
+        state = superstep(state.select("kind", "id", "size"))
+        out = out.unionByName(state.where(F.col("kind") == PLACED).select(F.col("id").alias("item"), F.col("gap").alias("sequence_id"), (capacity - F.col("room")).alias("at")))
+
+
+def pack(cut: DataFrame, capacity: int = 2048) -> DataFrame:
+    """Places the pieces. ``cut`` must be a written table: it is read for the items and again for the placing."""
+    items = cut.groupBy("item").agg(F.sum("length").alias("size"))
+    found = placed(items, capacity)
+    return cut.join(found, "item").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", (F.col("at") + F.col("within")).alias("offset"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048) -> DataFrame:

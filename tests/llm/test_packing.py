@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+import bisect
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
@@ -52,30 +55,61 @@ def test_empty_table(spark):
     assert out.count() == 0 and out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.dictionaries(st.integers(1, 40), st.integers(1, 60), max_size=20))
-def test_supersteps_are_best_fit(counts):
-    """Ranks are all placed once, sequences are filled without overlap, and no more are opened than item-by-item best fit opens."""
-    plan = packing.supersteps(counts, 40)
-    ranks, filled = {}, {}
-    for length, rank, many, first, each, offset in plan:
-        for j in range(many):
-            ranks.setdefault(length, []).append(rank + j)
-            filled.setdefault(first + j // each, []).append((offset + j % each * length, length))
-    assert {k: sorted(v) for k, v in ranks.items()} == {k: list(range(n)) for k, n in counts.items()}
-    for spans in filled.values():
+def best_fit_decreasing(sizes, capacity):
+    gaps = []
+    for size in sorted(sizes, reverse=True):
+        at = bisect.bisect_left(gaps, size)
+        gap = gaps.pop(at) if at < len(gaps) else capacity
+        bisect.insort(gaps, gap - size)
+    return len(gaps)
+
+
+@pytest.mark.parametrize("kind", ["any", "short", "large"])
+def test_supersteps_place_all_in_few_sequences(spark, kind):
+    rng = random.Random(kind)
+    sizes = {"any": [rng.randrange(1, 65) for _ in range(300)], "short": [rng.randrange(1, 12) for _ in range(400)], "large": [rng.randrange(33, 65) for _ in range(80)]}[kind]
+    items = spark.createDataFrame(list(enumerate(sizes)), "item long, size long")
+    rows = packing.placed(items, 64).collect()
+    assert sorted(r["item"] for r in rows) == list(range(len(sizes)))
+    by_sequence = {}
+    for r in rows:
+        by_sequence.setdefault(r["sequence_id"], []).append((r["at"], sizes[r["item"]]))
+    for spans in by_sequence.values():
         at = 0
-        for start, length in sorted(spans):
+        for start, size in sorted(spans):
             assert start == at
-            at += length
-        assert at <= 40
-    gaps = []
-    for length in sorted(counts, reverse=True):
-        for _ in range(counts[length]):
-            fits = [g for g in gaps if g >= length]
-            if fits:
-                gaps.remove(min(fits))
-                gaps.append(min(fits) - length)
+            at += size
+        assert at <= 64
+    assert len(by_sequence) <= 1.03 * best_fit_decreasing(sizes, 64) + 1
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 20), st.booleans()), max_size=40), st.lists(st.integers(0, 40), max_size=4))
+def test_sweep_over_ranges_equals_one_sweep(items, cuts):
+    """Every piece meets the gap that one sweep over all ranges gives it, whatever the ranges."""
+    order = sorted((-size, int(piece), i) for i, (size, piece) in enumerate(items))
+    stack, expected = [], {}
+    for _, piece, i in order:
+        if not piece:
+            stack.append(i)
+        else:
+            expected[i] = stack.pop() if stack else None
+    edges = [0, *sorted(min(c, len(order)) for c in cuts), len(order)]
+    found, loose = {}, {}
+    for r, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        passed = []
+        for _, piece, i in order[a:b]:
+            if not piece:
+                passed.append(i)
+            elif passed:
+                found[i] = passed.pop()
             else:
-                gaps.append(40 - length)
-    assert len(filled) == len(gaps)
+                loose.setdefault((r, packing.PIECE), []).append(i)
+        if passed:
+            loose[r, packing.GAP] = passed
+    runs, stay = packing.across({k: len(v) for k, v in loose.items()})
+    for r, first, many, of, number in runs:
+        for j in range(many):
+            found[loose[r, packing.PIECE][first + j]] = loose[of, packing.GAP][number - j]
+    assert found == {i: g for i, g in expected.items() if g is not None}
+    assert sum(gaps for _, gaps, _ in stay) == len(stack)
