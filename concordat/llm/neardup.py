@@ -39,7 +39,7 @@ from concordat.llm.hashing import BYTE, mix, powers, prefix
 
 K, LEAST, SLACK = 64, 36, 0.2
 #: Rows of sketches, and shingles of full sets, on either side of a block.
-SKETCH_BLOCK, SET_BLOCK = (1024, 4096), (1 << 18, 1 << 20)
+SKETCH_BLOCK, SET_BLOCK = (512, 1024), (1 << 16, 1 << 17)
 SKETCHES = "doc_id long, n long, hi long, lo long, sketch array<long>"
 _FOLDED = BYTE.copy()
 _FOLDED[65:91] = _FOLDED[97:123]
