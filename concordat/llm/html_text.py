@@ -10,8 +10,9 @@ The labeller is trained here, in seconds, on ``SITES`` pages that a generator la
 headers, notices, adverts, sidebars, forms, comments around and inside articles of many wrappings), so no page of the
 table is needed and none is a label source. Training is seeded; every call with one version of numpy gives one model.
 
-Null html counts as empty and gives an empty text. Scripts, styles, comments and unfinished tags are no text; a page that
-ends early is read as far as it goes. Repeated rows are extracted each for itself.
+Null html counts as empty and gives an empty text. Scripts, styles, comments and unfinished tags are no text, each found
+in page order: what looks like a script inside a comment or a quoted value is none. A page that ends early is read as far
+as it goes, and a very long page whole, in time in line with its length. Repeated rows are extracted each for itself.
 """
 
 from __future__ import annotations
@@ -35,37 +36,70 @@ SITES = 1400
 TEXTS = "page_id long, url string, text string, n_chars long"
 
 # The block-level elements of HTML, those that hold no text, and those without an end tag.
-BLOCKS = frozenset("html head title body p div h1 h2 h3 h4 h5 h6 li ul ol dl dt dd section article header footer nav aside main blockquote pre table thead tbody tr td th caption form fieldset legend label button select option textarea figure figcaption details summary address hr menu dialog".split())
+BLOCKS = frozenset("html head title body p div h1 h2 h3 h4 h5 h6 li ul ol dl dt dd section article header footer nav aside main blockquote pre table thead tbody tr td th caption form fieldset legend label button option figure figcaption details summary address hr menu dialog".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = re.compile(r"<(script|style|noscript|template|svg|iframe|textarea|select)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+HIDDEN_TEXT = frozenset("script style noscript template svg iframe textarea select".split())
+NESTING = frozenset("noscript template svg select".split())
+TOKEN = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))"  # comments
+    r"|<[!?][^>]*(?:>|\Z)|</(?![a-zA-Z])[^>]*(?:>|\Z)"  # declarations and end tags without a name
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)(?:>|\Z)",  # tags; only a value can be quoted
+    re.S)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
+@cache
+def _edge(name: str) -> re.Pattern:
+    return re.compile(rf"<(/?){name}(?=[\s/>])(?:[^>]*>|[^>]*\Z)", re.I)
+
+
+def _after_hidden(page: str, name: str, at: int) -> int | None:
+    """Where an element without visible text ends that begins before ``at``: at its own end tag, or the next one of its name."""
+    depth, first = 1, None
+    for m in _edge(name).finditer(page, at):
+        if m[1]:
+            first = first or m.end()
+            depth -= 1
+        elif name in NESTING:
+            depth += 1
+        if not depth:
+            return m.end()
+    return first
+
+
 def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
     """(text, path elements, characters inside links) of every block with text."""
-    page = RAW.sub(" ", page)
     out: list[tuple[str, tuple[str, ...], int]] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
+    endless: set[str] = set()
     linked, links, at = 0, 0, 0
 
     def close() -> None:
         nonlocal linked
-        text = " ".join(html.unescape("".join(parts)).split())
+        text = " ".join("".join(parts).split())
         if text:
             out.append((text, stack[-1][1] if stack else (), linked))
         parts.clear()
         linked = 0
 
-    for m in TOKEN.finditer(page):
+    while m := TOKEN.search(page, at):
         if m.start() > at:
-            parts.append(piece := page[at : m.start()])
+            parts.append(piece := html.unescape(page[at : m.start()]))
             linked += len(piece) if links else 0
         at = m.end()
         if not m[2]:
             continue
         name = m[2].lower()
+        if name in HIDDEN_TEXT:
+            parts.append(" ")
+            if not m[1] and name not in endless and not (name == "svg" and m[3].endswith("/")):
+                end = _after_hidden(page, name, at)
+                if end is None:  # scripts and styles run to the end of the page; of others only the start tag is hidden
+                    endless.add(name)
+                    end = len(page) if name in ("script", "style") else at
+                at = end
+            continue
         if name == "a":
             links = max(0, links + (-1 if m[1] else 1))
         if name not in BLOCKS:
@@ -92,7 +126,7 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
                 own = list(dict.fromkeys([f"<{name}>", *own]))
                 stack.append((name, (*(e for e in stack[-1][1] if e not in own), *own) if stack else tuple(own)))
     if at < len(page):
-        parts.append(page[at:])
+        parts.append(html.unescape(page[at:]))
     close()
     return out
 
