@@ -8,7 +8,7 @@ Reading: partitions are planned by file, large files alone and small ones togeth
 header fields are pushed into the reader. It inflates a record's headers first; a record that the predicates reject, and
 any payload when the option ``payload`` is ``false``, is skipped by its length without being inflated.
 
-Payloads are bytes; null counts as empty. Equal payloads of at least ``least`` bytes are archived once, with the record
+Payloads are bytes, read whole however long they are; null counts as empty. Equal payloads of at least ``least`` bytes are archived once, with the record
 of the smallest page_id; the others are revisits that name it. Identical repeated rows share a page_id and so its kind.
 """
 
@@ -234,13 +234,22 @@ def archive_records(pages: DataFrame, least: int = 100) -> DataFrame:
     return out.select(kind.alias("record_type"), "page_id", "target_uri", "payload_digest", "payload_bytes", F.col("first").alias("refers_to"), F.when(F.col("first").isNull(), F.col("payload")).alias("payload"))
 
 
+def verified(spark: SparkSession, path: str) -> DataFrame:
+    """The records of an archive: digest and size of responses from their payloads, which must agree with the headers; of revisits from the headers alone."""
+    columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    read = lambda payload, kind: spark.read.format("warc").option("path", path).option("payload", payload).load().where(F.col("record_type") == kind)
+    full = read("true", "response").withColumns({"own_digest": F.sha2("payload", 256), "own_bytes": F.octet_length("payload").cast("long")})
+    sound = (F.col("own_digest") == F.col("payload_digest")) & (F.col("own_bytes") == F.col("payload_bytes"))
+    wrong = F.raise_error(F.concat(F.lit("payload and header differ in record "), F.col("page_id").cast("string")))
+    full = full.withColumn("payload_digest", F.when(sound, F.col("own_digest")).otherwise(wrong)).withColumn("payload_bytes", F.col("own_bytes"))
+    return full.select(*columns).unionByName(read("false", "revisit").select(*columns))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     register(spark)
     path = f"{shared_dir(spark)}/concordat/warc-{uuid.uuid4().hex}"
     archive_records(table(spark, sf_dir, "pages")).write.format("warc").mode("append").option("path", path).save()
-    back = spark.read.format("warc").option("path", path).option("payload", "false").load()
-    back = back.where(F.col("record_type").isin("response", "revisit"))
-    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return verified(spark, path)
 
 
 OP5_SQL = """
