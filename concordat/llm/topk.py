@@ -3,7 +3,7 @@
 Vectors are grouped by length into buckets, and buckets into blocks of bounded size. The blocks of the longest vectors
 are searched first and give every query a score that its k-th best can't fall below. For every other block that score
 becomes a local cosine threshold, ``bound / (|query| * longest |vector| of the block)``, which chooses how the block is
-pruned for that query: above 1 it is skipped, from ``COORDINATE_FROM`` on its vectors must lie in the range that the
+pruned for that query: above 1 it is skipped (for all queries of a block that is decided before any vector moves), from ``COORDINATE_FROM`` on its vectors must lie in the range that the
 threshold leaves to the query's heaviest coordinate, below that they must be long enough for the bound. Products of all
 vectors that remain are computed; pruning never changes the result.
 
@@ -70,7 +70,8 @@ def _search(pairs: DataFrame, k: int) -> DataFrame:
             for row in batch.to_pylist():
                 ids, norms = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["norms"])
                 data = np.frombuffer(row["data"], np.int64).reshape(len(ids), -1)
-                qids, qnorms, bounds = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["q_norms"]), np.frombuffer(row["q_bounds"])
+                qids, qnorms = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["q_norms"])
+                bounds = np.full(len(qids), -np.inf) if row["q_bounds"] is None else np.frombuffer(row["q_bounds"])
                 queries = np.frombuffer(row["q_data"], np.int64).reshape(len(qids), -1)
                 with np.errstate(divide="ignore", invalid="ignore"):
                     local = np.where(bounds > 0, bounds / (qnorms * row["longest"]) * (1 - 1e-12), -1.0)
@@ -111,23 +112,24 @@ def _search(pairs: DataFrame, k: int) -> DataFrame:
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = 20, block: int = 4096, query_block: int = 1024, buckets: int = 8) -> DataFrame:
     """Each query's k best of ``vectors``; both as from :func:`integer_vectors`. ``buckets`` norm quantiles are the groups."""
-    spark = vectors.sparkSession
     edges = vectors.agg(F.percentile_approx("norm", [i / buckets for i in range(1, buckets)], 1000)).first()[0] or []
     bucket = sum((F.when(F.col("norm") < e, 1).otherwise(0) for e in sorted(set(edges))), F.lit(0))
-    packed = written(_packed(vectors.withColumn("dim", F.size("v")).withColumn("bucket", bucket), block), "norm-buckets")
+    packed = written(_packed(vectors.withColumn("dim", F.size("v")).withColumn("bucket", bucket), block), "norm-buckets").withColumn("c_block", F.xxhash64("dim", "bucket", "ids"))
     asked = written(_packed(queries.withColumn("dim", F.size("v")).withColumn("bucket", F.lit(0)), query_block), "queries")
     asked = asked.select("dim", F.xxhash64("ids").alias("q_block"), *(F.col(c).alias(f"q_{c}") for c in ("ids", "data", "norms", "n")))
-    first = packed.groupBy("dim").agg(F.max_by(F.struct("bucket", "ids"), F.struct("longest", "ids")).alias("f")).select("dim", "f.*")
-    seeds = packed.join(F.broadcast(first), ["dim", "bucket", "ids"], "left_semi")  # one block per dimension
-    unbounded = F.udf(lambda n: np.full(n, -np.inf).tobytes(), "binary")
-    start = written(_best(_search(seeds.join(asked.withColumn("q_bounds", unbounded("q_n")), "dim").repartition(spark.sparkContext.defaultParallelism), k), k), "seeds")
+    first = packed.groupBy("dim").agg(F.max_by("c_block", F.struct("longest", "c_block")).alias("c_block")).select("c_block")
+    first = written(first, "first-blocks")  # one row a dimension
+    seeds = packed.join(F.broadcast(first), "c_block", "left_semi")
+    start = written(_best(_search(seeds.join(asked.withColumn("q_bounds", F.lit(None).cast("binary")), "dim"), k), k), "seeds")
     bounds = start.where(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
 
     spread = asked.select("q_block", "q_ids").mapInArrow(_ids, "query_id long, q_block long, nth int")
     known = spread.join(bounds, "query_id", "left").groupBy("q_block").agg(F.sort_array(F.collect_list(F.struct("nth", "bound"))).alias("b"))  # one block of queries a group
-    known = known.mapInArrow(_bounds, "q_block long, q_bounds binary")
-    rest = packed.join(F.broadcast(first), ["dim", "bucket", "ids"], "left_anti")
-    more = _search(rest.join(asked.join(known, "q_block"), "dim").repartition(2 * spark.sparkContext.defaultParallelism), k)
+    known = written(known.join(asked.select("q_block", "dim", "q_norms"), "q_block").mapInArrow(_bounds, "q_block long, dim int, q_bounds binary, reach double"), "bounds")
+    rest = packed.join(F.broadcast(first), "c_block", "left_anti")
+    meeting = rest.select("dim", "c_block", "longest").join(known.select("dim", "q_block", "reach"), "dim").where(F.col("longest") >= F.col("reach"))  # of blocks, a row of numbers each; vectors move for what remains
+    meeting = written(meeting.select("c_block", "q_block"), "meeting-blocks")
+    more = _search(meeting.join(asked.join(known.select("q_block", "q_bounds"), "q_block").drop("dim"), "q_block").join(rest, "c_block"), k)
     return _best(start.drop("rank").unionByName(more), k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -139,9 +141,13 @@ def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bounds of a block's queries, and the length below which no vector matters to any of them."""
     for batch in batches:
-        out = [np.array([-np.inf if x["bound"] is None else x["bound"] for x in b], np.float64).tobytes() for b in batch.column("b").to_pylist()]
-        yield pa.record_batch([batch.column("q_block"), pa.array(out, pa.binary())], names=["q_block", "q_bounds"])
+        out = [np.array([-np.inf if x["bound"] is None else x["bound"] for x in b], np.float64) for b in batch.column("b").to_pylist()]
+        norms = [np.frombuffer(n) for n in batch.column("q_norms").to_pylist()]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            reach = [float(np.where(b > 0, b / n, 0.0).min(initial=np.inf)) * (1 - 1e-9) for b, n in zip(out, norms, strict=True)]
+        yield pa.record_batch([batch.column("q_block"), batch.column("dim"), pa.array([b.tobytes() for b in out], pa.binary()), pa.array(reach, pa.float64())], names=["q_block", "dim", "q_bounds", "reach"])
 
 
 def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
