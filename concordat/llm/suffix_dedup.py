@@ -279,17 +279,19 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, key: s
 
 
 def digests(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
+    """What went and what is left; ``text`` is what is left, without characters that a cut divides."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns: list[list] = [[], [], [], []]
+        for batch in chunks(batches):
+            columns: list[list] = [[], [], [], [], []]
             for text, found in zip(batch.column("text").cast(pa.binary()), batch.column("spans"), strict=True):
                 raw, ranges = text.as_py(), _merged(found.as_py() or [])
                 kept = _remaining(raw, ranges)
-                for column, value in zip(columns, (len(raw), len(raw) - len(kept), len(ranges), hashlib.sha256(kept).hexdigest()), strict=True):
+                for column, value in zip(columns, (len(raw), len(raw) - len(kept), len(ranges), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")), strict=True):
                     column.append(value)
-            yield pa.record_batch([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.record_batch([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:3]), *(pa.array(c, pa.string()) for c in columns[3:])], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
-    return with_spans(docs, least, gram).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_spans(docs, least, gram).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ def brute(rows, least):
                 gone[j : j + least] = b"\1" * least
         kept = bytes(b for b, g in zip(raw, gone, strict=True) if not g)
         n_spans = sum(1 for j, g in enumerate(gone) if g and (not j or not gone[j - 1]))
-        out.append((i, len(raw), sum(gone), n_spans, hashlib.sha256(kept).hexdigest()))
+        out.append((i, len(raw), sum(gone), n_spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
     return sorted(out)
 
 
