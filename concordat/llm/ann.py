@@ -4,8 +4,9 @@ The index: centroids are learnt on a bounded sample (``SAMPLE`` vectors, documen
 cluster in two until there are about as many clusters as the table needs lists; that keeps lists balanced. Every vector
 of the table goes to the list of its nearest centroid, and vectors near a boundary to the further lists whose centroid
 is at most ``closure`` times as far. Centroids (``MAX_LISTS`` at most, so their size is bounded) are searched through an
-in-memory neighbour graph, beam-wise and for many vectors at a time. A query reads the lists whose centroid is at most
-``ratio`` times as far as the nearest, never fewer than hold ``least`` vectors; candidates are scored by exact cosine in
+in-memory neighbour graph, beam-wise and for many vectors at a time. A query reads all lists whose centroid is at most
+``ratio`` times as far as the nearest (the beam widens until it ends beyond that), and more only if those hold fewer than
+``least`` vectors, a few times ``k``; candidates are scored by exact cosine in
 double precision. Lists and the queries of a list are dealt in blocks, so a list that holds a third of all vectors is
 split over tasks.
 
@@ -89,6 +90,10 @@ class CentroidGraph:
     def search(self, x: np.ndarray, beam: int, hops: int = 6) -> tuple[np.ndarray, np.ndarray]:
         """The nearest centroids found and their distances, nearest first; at most ``beam`` a vector."""
         beam = min(beam, len(self.centres))
+        if 8 * beam >= len(self.centres):  # the walk would meet nearly all of them
+            distance = (x * x).sum(axis=1)[:, None] + self.square - 2 * x @ self.centres.T
+            order = np.argsort(distance, axis=1, kind="stable")[:, :beam]
+            return order, np.sqrt(np.maximum(np.take_along_axis(distance, order, axis=1), 0))
         own = (x * x).sum(axis=1)[:, None]
         got = np.full((len(x), len(self.centres)), np.inf)  # distances of the centroids that were reached
         at = np.broadcast_to(self.entry, (len(x), len(self.entry)))
@@ -106,8 +111,8 @@ class CentroidGraph:
         return np.take_along_axis(top, order, axis=1), np.sqrt(np.maximum(np.take_along_axis(distance, order, axis=1), 0))
 
 
-def _lists_of(df: DataFrame, centres: np.ndarray | None, dim: int, ratio: float, most: int, counts: dict[int, int] | None = None, least: int = 0) -> DataFrame:
-    """A row for every vector and list it belongs to (``counts`` None) or has to read."""
+def _lists_of(df: DataFrame, centres: np.ndarray | None, dim: int, ratio: float, most: int | None = None, counts: dict[int, int] | None = None, least: int = 0) -> DataFrame:
+    """A row for every vector and list it belongs to (``most`` at most) or, with ``counts``, has to read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph = CentroidGraph(centres) if centres is not None else None
@@ -119,11 +124,16 @@ def _lists_of(df: DataFrame, centres: np.ndarray | None, dim: int, ratio: float,
                 same = np.flatnonzero(sizes == dim)
                 if len(same):
                     x = _unit(vectors.take(pa.array(same)).flatten().to_numpy().reshape(len(same), -1))
-                    lists, distance = graph.search(x, most)
-                    take = distance <= np.maximum(ratio * distance[:, :1], 1e-9)
-                    if counts is not None:
-                        held = np.cumsum(np.vectorize(lambda c: counts.get(c, 0))(lists), axis=1)
-                        take |= np.hstack([np.zeros((len(x), 1)), held[:, :-1]]) < least
+                    beam = most or 32
+                    while True:
+                        lists, distance = graph.search(x, beam)
+                        take = distance <= np.maximum(ratio * distance[:, :1], 1e-9)
+                        if counts is not None:
+                            held = np.cumsum(np.vectorize(lambda c: counts.get(c, 0))(lists), axis=1)
+                            take |= np.hstack([np.zeros((len(x), 1)), held[:, :-1]]) < least
+                        if most or beam >= len(centres) or not take[:, -1].any():
+                            break
+                        beam *= 2
                     take[:, 0] = True
                     rows += [(int(same[i]), int(lists[i, j]), int(j)) for i, j in zip(*np.nonzero(take), strict=True)]
                 at = pa.array([r[0] for r in rows])
@@ -132,7 +142,7 @@ def _lists_of(df: DataFrame, centres: np.ndarray | None, dim: int, ratio: float,
     return df.select("vec_id", "v").mapInArrow(run, ASSIGNED)
 
 
-def search(queries: DataFrame, vectors: DataFrame, k: int = 5, list_size: int = 128, closure: float = 1.08, replicas: int = 3, ratio: float = 1.25, probes: int = 192, least: int = 2048, block: int = 4096) -> DataFrame:
+def search(queries: DataFrame, vectors: DataFrame, k: int = 5, list_size: int = 128, closure: float = 1.08, replicas: int = 3, ratio: float = 1.18, least: int = 32, block: int = 4096) -> DataFrame:
     spark = vectors.sparkSession
     n = vectors.count()
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()  # SAMPLE vectors at most
@@ -143,7 +153,7 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 5, list_size: int =
 
     postings = written(_lists_of(vectors, centres, dim, closure, replicas), "postings")
     counts = {r["list"]: r["count"] for r in postings.groupBy("list").count().collect()}  # one row a list
-    asked = written(_lists_of(queries, centres, dim, ratio, probes, counts, least), "probes")
+    asked = written(_lists_of(queries, centres, dim, ratio, counts=counts, least=least), "probes")
     asking = asked.groupBy("list").agg(F.count("*").alias("q"))
     deal = postings.groupBy("list").agg(F.count("*").alias("c")).join(asking, "list")
     deal = F.broadcast(deal.select("list", F.ceil(F.col("c") / block).alias("cb"), F.ceil(F.col("q") / 1024).alias("qb")))  # one row a list
@@ -179,11 +189,3 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 5, list_size: int =
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = usable_vectors(table(spark, sf_dir, "embeddings"))
     return search(vectors.where(F.col("vec_id") % 50 == 0), vectors)
-
-
-EXACT_SQL = """
-WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_cosine_similarity(q.v, c.v) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
-SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
-"""
