@@ -1,11 +1,12 @@
 """Best-fit packing of tokenised documents into fixed-length training sequences, in bulk-synchronous supersteps.
 
 Pieces still to be placed and the gaps of open sequences are one table, range-sorted by size, gaps before pieces of the
-same size. A superstep matches both in a sweep from large to small: a piece takes the smallest gap that was passed and
-not taken, its successor in size. Every task sweeps its range; what stays loose there, pieces that only earlier ranges
-have gaps for and gaps that only later ranges have pieces for, is numbered in order, and the numbers of each range (one
-row a range) say which rank of one range meets which rank of another. Ranks settle conflicts: a gap takes one piece, a
-piece one gap. Filled gaps shrink by their piece, and the next superstep sorts anew, until no piece is left.
+same size, about ``RANGE`` rows to a range. A superstep matches both in a sweep from large to small: a piece takes the
+smallest gap that was passed and not taken, its successor in size. Every range is swept by a task; what is left of a gap
+is swept again if its size is still ahead in the range. Pieces that only earlier ranges have gaps for and gaps that only
+later ranges have pieces for stay loose; they are numbered in order, and how many each range has (one row a range) says
+which rank of one range meets which rank of another. Ranks settle conflicts: a loose gap takes one piece, a piece one gap.
+Gaps are updated, and the next superstep sorts anew, until no piece is left.
 
 New sequences are opened when pieces are longer than every gap: as many as those pieces need at least. Pieces that fill a
 sequence are placed at once. Short pieces (up to ``1 / SHORT`` of a sequence) of one length that a task reads one after
@@ -22,6 +23,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from heapq import heappop, heappush
 from itertools import islice
 
 import numpy as np
@@ -35,7 +37,8 @@ from concordat.llm.units import Units
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 GAP, PIECE, PLACED = 0, 1, 2
-SHORT = 32
+SHORT, RANGE = 32, 1 << 15
+SWEPT = "kind int, id long, size long, gap long, room long, range long, nth long"
 # Other characters, or the string of a special token, can make normalising or splitting reach across a unit's border.
 UNUSUAL = re.compile("[^\t\n\r\x20-\x7e¡-įĲ-ɏ–—‘-„…€]|<[|]")
 _SUSPECT = np.zeros(256, bool)
@@ -133,31 +136,56 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, text: str = "t
 
 
 def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Matches the gaps and pieces of one range, largest first; (kind, id, size, gap, room, range, nth), a row for each piece and each loose gap.
+    """Matches the gaps and pieces of each range, largest first; see ``SWEPT``.
 
-    Loose gaps are numbered in order of size, largest first, and so are loose pieces.
+    A row for each piece, placed or loose, and for each gap that is left. Loose pieces are numbered in order of size, largest
+    first, and so are loose gaps; what is left of a gap that took a piece and passed the range's end has no number.
     """
-    own, passed, loose = TaskContext.get().partitionId(), [], 0
-
-    def rows(columns: list[list]) -> pa.RecordBatch:
-        kinds = (pa.int32(), *(pa.int64(),) * 4, pa.int32(), pa.int64())
-        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["kind", "id", "size", "gap", "room", "range", "nth"])
+    passed: list[tuple[int, int]] = []  # (id, size), the smallest last
+    ahead: list[tuple[int, int]] = []  # heap of (-size, id)
+    out: list[list] = [[] for _ in range(7)]
+    own, loose = None, 0
+
+    def put(*row: int | None) -> None:
+        for column, value in zip(out, row, strict=True):
+            column.append(value)
+
+    def end() -> None:
+        for nth, (i, size) in enumerate(passed):
+            put(GAP, i, size, None, None, own, nth)
+        for size, i in ahead:
+            put(GAP, i, -size, None, None, own, None)
+        passed.clear()
+        ahead.clear()
+
+    def rows() -> pa.RecordBatch:
+        kinds = (pa.int32(), *(pa.int64(),) * 6)
+        batch = pa.record_batch([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["kind", "id", "size", "gap", "room", "range", "nth"])
+        for column in out:
+            column.clear()
+        return batch
 
     for batch in batches:
-        out: list[list] = [[], [], [], [], [], [], []]
-        for kind, i, size in zip(*(batch.column(c).to_pylist() for c in ("kind", "id", "size")), strict=True):
+        for place, kind, i, size in zip(*(batch.column(c).to_pylist() for c in ("range", "kind", "id", "size")), strict=True):
+            if place != own:
+                end()
+                own, loose = place, 0
+            while ahead and -ahead[0][0] >= size:
+                left, gap = heappop(ahead)
+                passed.append((gap, -left))
             if kind == GAP:
                 passed.append((i, size))
-                continue
-            gap, room, nth = (*passed.pop(), None) if passed else (None, None, loose)
-            loose += nth is not None
-            for column, value in zip(out, (PIECE, i, size, gap, room, own, nth), strict=True):
-                column.append(value)
-        yield rows(out)
-    for at in range(0, len(passed), 1 << 16):
-        some = passed[at : at + (1 << 16)]
-        n = len(some)
-        yield rows([[GAP] * n, [i for i, _ in some], [s for _, s in some], [None] * n, [None] * n, [own] * n, list(range(at, at + n))])
+            elif passed:
+                gap, room = passed.pop()
+                put(PLACED, i, size, gap, room, None, None)
+                if room > size:
+                    heappush(ahead, (size - room, gap))
+            else:
+                put(PIECE, i, size, None, None, own, loose)
+                loose += 1
+        yield rows()
+    end()
+    yield rows()
 
 
 def across(loose: dict[tuple[int, int], int]) -> tuple[list[tuple], list[tuple]]:
@@ -190,26 +218,46 @@ def needed(sizes: dict[int, int], capacity: int) -> int:
     return max(-(-sum(size * n for size, n in sizes.items()) // capacity), sum(n for size, n in sizes.items() if 2 * size > capacity))
 
 
-def superstep(state: DataFrame) -> DataFrame:
+def ranges(counts: dict[tuple[int, int], int]) -> list[tuple[int, int, int, int]]:
+    """(kind, size, first range, ranges), from how many rows there are of each; a size that many share has several ranges to itself."""
+    out, at, held = [], 0, 0
+    for kind, size in sorted(counts, key=lambda c: (-c[1], c[0])):
+        n = counts[kind, size]
+        if held and held + n > RANGE:
+            at, held = at + 1, 0
+        many = -(-n // RANGE)
+        out.append((kind, size, at, many))
+        at, held = (at + many, 0) if many > 1 else (at, held + n)
+    return out
+
+
+def superstep(state: DataFrame, counts: dict[tuple[int, int], int]) -> DataFrame:
     """The next state (kind, id, size, gap, room): gaps and pieces that are left, and the items placed, with their gap and its room."""
     spark = state.sparkSession
-    dealt = state.repartitionByRange(partitions(spark), F.desc("size"), "kind", "id").sortWithinPartitions(F.desc("size"), "kind", "id")
-    swept = written(dealt.mapInArrow(sweep, "kind int, id long, size long, gap long, room long, range int, nth long"), "swept")
+    classes = ranges(counts)
+    last = max(first + many for _, _, first, many in classes)
+    sized = F.broadcast(spark.createDataFrame(classes, "kind int, size long, first long, many long"))  # two rows a size at most
+    dealt = state.join(sized, ["kind", "size"]).withColumn("range", F.col("first") + F.pmod(F.xxhash64("id"), "many"))
+    dealt = dealt.select("range", "kind", "id", "size").repartition(min(last, partitions(spark)), "range").sortWithinPartitions("range", F.desc("size"), "kind", "id")
+    swept = written(dealt.mapInArrow(sweep, SWEPT), "swept")
+    if last == 1:
+        return swept.drop("range", "nth")
     loose = swept.where("nth IS NOT NULL")
-    counts = {(r["range"], r["kind"]): r["count"] for r in loose.groupBy("range", "kind").count().collect()}  # two rows a range
-    runs, stay = across(counts)
-    stays = F.broadcast(spark.createDataFrame(stay, "range int, gaps long, met long"))  # one row a range
-    runs = F.broadcast(spark.createDataFrame(runs, "range int, first long, many long, of int, number long"))  # two rows a range at most
+    found = {(r["range"], r["kind"]): r["count"] for r in loose.groupBy("range", "kind").count().collect()}  # two rows a range
+    runs, stay = across(found)
+    stays = F.broadcast(spark.createDataFrame(stay, "range long, gaps long, met long"))  # one row a range
+    runs = F.broadcast(spark.createDataFrame(runs, "range long, first long, many long, of long, number long"))  # two rows a range at most
     late = loose.where(F.col("kind") == PIECE).join(runs, "range").where("nth >= first AND nth < first + many")
     late = late.select("id", "size", F.col("of").alias("range"), (F.col("number") - F.col("nth") + F.col("first")).alias("nth"))
     late = late.join(loose.where(F.col("kind") == GAP).select("range", "nth", F.col("id").alias("gap"), F.col("size").alias("room")), ["range", "nth"])
-    met = swept.where("gap IS NOT NULL").select("id", "size", "gap", "room").unionByName(late.select("id", "size", "gap", "room"))
+    none = F.lit(None).cast("long")
     entries = F.array(
         F.struct(F.lit(PLACED).alias("kind"), F.col("id").alias("id"), F.col("size").alias("size"), F.col("gap").alias("gap"), F.col("room").alias("room")),
-        F.struct(F.lit(GAP).alias("kind"), F.col("gap").alias("id"), (F.col("room") - F.col("size")).alias("size"), F.lit(None).cast("long").alias("gap"), F.lit(None).cast("long").alias("room")))
-    after = met.select(F.explode(entries).alias("e")).select("e.*").where("size > 0")
+        F.struct(F.lit(GAP).alias("kind"), F.col("gap").alias("id"), (F.col("room") - F.col("size")).alias("size"), none.alias("gap"), none.alias("room")))
+    after = late.select(F.explode(entries).alias("e")).select("e.*").where("size > 0")
     left = loose.join(stays, "range").where(F.when(F.col("kind") == GAP, F.col("nth") < F.col("gaps")).otherwise(F.col("nth") >= F.col("met")))
-    return written(after.unionByName(left.select("kind", "id", "size", "gap", "room")), "superstep")
+    columns = ("kind", "id", "size", "gap", "room")
+    return written(swept.where("nth IS NULL").select(*columns).unionByName(after).unionByName(left.select(*columns)), "superstep")
 
 
 def placed(items: DataFrame, capacity: int) -> DataFrame:
@@ -220,16 +268,17 @@ def placed(items: DataFrame, capacity: int) -> DataFrame:
     state = written(items.where(F.col("size") < capacity).select(F.lit(PIECE).alias("kind"), F.col("item").alias("id"), "size", none.alias("gap"), none.alias("room")), "superstep")
     opened = 0
     while True:
-        sizes: tuple[dict, dict] = ({}, {})  # of gaps and of pieces: `capacity` sizes at most
-        for r in state.where(F.col("kind") != PLACED).groupBy("kind", "size").count().collect():
-            sizes[r["kind"]][r["size"]] = r["count"]
-        if not sizes[PIECE]:
+        counts = {(r["kind"], r["size"]): r["count"] for r in state.where(F.col("kind") != PLACED).groupBy("kind", "size").count().collect()}  # two rows a size at most
+        if not any(kind == PIECE for kind, _ in counts):
             return out
+        widest = max((size for kind, size in counts if kind == GAP), default=0)
+        fresh = needed({size: n for (kind, size), n in counts.items() if kind == PIECE and size > widest}, capacity)
         state = state.where(F.col("kind") != PLACED)
-        if fresh := needed({s: n for s, n in sizes[PIECE].items() if s > max(sizes[GAP], default=0)}, capacity):
+        if fresh:
             state = state.unionByName(spark.range(opened, opened + fresh).select(F.lit(GAP).alias("kind"), "id", F.lit(capacity).cast("long").alias("size"), none.alias("gap"), none.alias("room")))
+            counts[GAP, capacity] = counts.get((GAP, capacity), 0) + fresh
             opened += fresh
-        state = superstep(state.select("kind", "id", "size"))
+        state = superstep(state.select("kind", "id", "size"), counts)
         out = out.unionByName(state.where(F.col("kind") == PLACED).select(F.col("id").alias("item"), F.col("gap").alias("sequence_id"), (capacity - F.col("room")).alias("at")))
 
 

@@ -65,7 +65,9 @@ def best_fit_decreasing(sizes, capacity):
 
 
 @pytest.mark.parametrize("kind", ["any", "short", "large"])
-def test_supersteps_place_all_in_few_sequences(spark, kind):
+@pytest.mark.parametrize("rows", [40, 1 << 15])
+def test_supersteps_place_all_in_few_sequences(spark, monkeypatch, kind, rows):
+    monkeypatch.setattr(packing, "RANGE", rows)
     rng = random.Random(kind)
     sizes = {"any": [rng.randrange(1, 65) for _ in range(300)], "short": [rng.randrange(1, 12) for _ in range(400)], "large": [rng.randrange(33, 65) for _ in range(80)]}[kind]
     items = spark.createDataFrame(list(enumerate(sizes)), "item long, size long")
