@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-from concordat.plans.queries import FLAGSHIP, ORACLES, QUERIES
+from concordat.plans import queries, reviewing
 
-__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
+FLAGSHIP = queries.FLAGSHIP
+QUERIES = queries.QUERIES | reviewing.QUERIES
+ORACLES = queries.ORACLES | reviewing.ORACLES

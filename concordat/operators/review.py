@@ -8,6 +8,8 @@ from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from concordat.functions.text import strip
+
 # What a decision may say.
 TRACKS, ROLES, DECISIONS = ("estimate", "requisite"), ("expert", "controller"), ("accepted", "rejected")
 DECISION_SCHEMA = "id long, track string, item_id string, decision string, role string, actor string, comment string, severity string, evidence_json string, model_metadata_json string, created_at timestamp"
@@ -71,6 +73,28 @@ def history(log: DataFrame, track: str, item_id: str) -> DataFrame:
     return own.select("id", "decision", "role", "actor", "comment", "severity", "created_at").orderBy(F.desc("id"))
 
 
+def history_counts(log: DataFrame) -> DataFrame:
+    """How many decisions every item has seen, and the ids of the first and the last."""
+    return log.groupBy("track", "item_id").agg(F.count("*").alias("decisions"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+
+
+def web_decisions(requests: DataFrame) -> DataFrame:
+    """Requests (caseId, caseType, action, role, reviewer, severity, comment) as rows of the web log: trimmed and cut, those that fail the checks left out.
+
+    That log has no version check: a decision is appended whatever came before it.
+    """
+    # How long a field may be.
+    most = {"caseId": 64, "reviewer": 80, "severity": 16, "comment": 1000}
+    cut = {c: F.substring(strip(F.coalesce(F.col(c).cast("string"), F.lit(""))), 1, n) for c, n in most.items()}
+    rows = requests.withColumns(cut)
+    sound = (F.col("caseId") != "") & (F.col("reviewer") != "") & F.col("severity").isin("critical", "high", "medium", "info")
+    for column, allowed in (("caseType", TRACKS), ("action", DECISIONS), ("role", ROLES)):
+        sound = sound & F.coalesce(F.col(column).isin(*allowed), F.lit(False))
+    names = {"caseId": "case_id", "caseType": "case_type"}
+    kept = [c for c in requests.columns if c not in ("caseId", "caseType", "action", "role", "reviewer", "severity", "comment")]
+    return rows.where(sound).select(*kept, *(F.col(c).alias(names.get(c, c)) for c in ("caseId", "caseType", "severity", "action", "reviewer", "role", "comment")))
+
+
 def _encoded(values: Mapping | None) -> str:
     return json.dumps(dict(values or {}), ensure_ascii=False, sort_keys=True)
 
@@ -121,3 +145,23 @@ class DecisionStore:
         own = self.decisions().where((F.col("track") == track) & (F.col("item_id") == item_id))
         row = states(own, F.lit(severity)).first()
         return row.asDict() if row else {"track": track, "item_id": item_id, "status": "pending", "label": LABELS["pending"], "version": 0, "accepted_roles": [], "last_actor": None, "last_updated_at": None}
+
+
+class WebDecisionLog:
+    """The web profile's store: decisions of :func:`web_decisions` and an audit event for each, as Parquet folders."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def append(self, decisions: DataFrame) -> None:
+        """``decisions`` with an ``id`` (growing, the caller's) and ``created_at``. The events go first and name the decisions they announce."""
+        payload = F.to_json(F.struct(F.col("id").alias("decisionId"), F.col("case_id").alias("caseId"), F.col("case_type").alias("caseType"), "severity", "action", "role"))
+        events = decisions.select("id", F.lit("decision.created").alias("event_type"), F.col("reviewer").alias("actor"), payload.alias("payload"), "created_at")
+        events.write.mode("append").parquet(f"{self.path}/audit_events")
+        decisions.write.mode("append").parquet(f"{self.path}/decisions")
+
+    def decisions(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/decisions")
+
+    def audit_events(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/audit_events")

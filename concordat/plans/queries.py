@@ -5,7 +5,7 @@ Each query has SQL that states the same result plainly, with self-joins where th
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from concordat.functions import numbers, similarity as sim, text as tx
 from concordat.operators import importer, positions, registry, requisites, review, search, tfidf
@@ -62,12 +62,15 @@ FROM p WHERE cb OR ca OR cn
 """
 
 
-def position_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as positions: pairs of one brand, type and size; size is a quantity in metres."""
+def part_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as positions: pairs of one brand and type; size is a quantity in metres or kilograms."""
     part = _table(spark, sf_dir, "part")
     rows = part.select(F.col("p_partkey").alias("row_idx"), F.col("p_brand").alias("document_id"), F.col("p_partkey").cast("string").alias("position_id"), F.lit("1").alias("page_or_sheet"), F.col("p_name").alias("work_description"), F.when(F.col("p_size") % 5 == 0, "kg").otherwise("m").alias("unit"), F.col("p_size").cast("double").alias("quantity"), F.col("p_retailprice").alias("unit_price"), F.lit("").alias("norm_ref"), "p_brand", "p_type")
-    pairs = positions.find_pairs(rows, block=("p_brand", "p_type"))
-    return pairs.select("left_index", "right_index", "flag_type", "status", "filter_reason", F.round("fuzzy_score", 6).alias("fuzzy_score"), F.round("embedding_score", 6).alias("embedding_score"), "unit_mismatch", F.round("quantity_diff_pct", 6).alias("quantity_diff_pct"), F.round("price_diff_pct", 6).alias("price_diff_pct"), "has_numeric_conflict")
+    return positions.find_pairs(rows, block=("p_brand", "p_type"))
+
+
+def position_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return part_pairs(spark, sf_dir).select("left_index", "right_index", "flag_type", "status", "filter_reason", F.round("fuzzy_score", 6).alias("fuzzy_score"), F.round("embedding_score", 6).alias("embedding_score"), "unit_mismatch", F.round("quantity_diff_pct", 6).alias("quantity_diff_pct"), F.round("price_diff_pct", 6).alias("price_diff_pct"), "has_numeric_conflict")
 
 
 POSITION_SQL = """

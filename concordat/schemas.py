@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 # The columns of both kinds, in order.
 POSITION_COLUMNS = ["document_id", "position_id", "page_or_sheet", "work_description", "unit", "quantity", "unit_price", "norm_ref"]
 REQUISITE_COLUMNS = ["document_id", "page_or_sheet", "entity_name", "bin", "legal_address", "bank_name", "bik", "account_number"]
@@ -15,6 +13,3 @@ KINDS = {"estimate": "позиции работ", "requisite": "реквизит
 class SchemaError(ValueError):
     """A document lacks columns or rows, or holds values that its kind doesn't allow."""
 
-
-def strings(columns: list[str]) -> T.StructType:
-    return T.StructType([T.StructField(c, T.StringType()) for c in columns])

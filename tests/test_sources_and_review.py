@@ -122,7 +122,8 @@ def test_registry(spark):
     for provider in (registry.DisabledRegistry(), registry.GatewayRegistry()):
         with pytest.raises(registry.RegistryUnavailable):
             provider.lookup(keys)
-    assert registry.GatewayRegistry("https://x", "t").configured and not registry.GatewayRegistry("http://x", "t").configured
+    gateway = registry.GatewayRegistry(lambda asked: asked.where("bin = '1'").withColumn("entity_name", F.lit("w")))
+    assert {r["bin"]: (r["entity_name"], r["found"]) for r in gateway.lookup(keys.withColumn("bin", F.col("bin"))).collect()} == {"1": ("w", True), "3": (None, False)}
     answers = spark.createDataFrame([("2", '[{"code":"1","name":"n1"},{"code":"2","name":"n2","endDate":"2020","endReason":{"ru":"Ликвидация"}}]'), ("9", '[{"code":"1","name":"n1"}]'), ("8", "[]")], "bin string, payload string")
     got = {r["bin"]: (r["registry_name"], r["active"], r["registry_status"]) for r in registry.taxpayer_status(answers).collect()}
     assert got == {"2": ("n2", False, "Ликвидация"), "9": ("n1", True, "Действующий"), "8": (None, None, None)}
