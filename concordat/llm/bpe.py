@@ -103,7 +103,7 @@ def _unicode_white(raw: np.ndarray) -> np.ndarray:
 class Codec:
     """Units of text and their ids, encoded by DuckDB when first met. One to a Python worker; ``keep`` bounds the units it holds."""
 
-    def __init__(self, path: str, pattern: str, keep: int = 400_000) -> None:
+    def __init__(self, path: str, pattern: str, keep: int = 250_000) -> None:
         import duckdb
 
         self.rank, self.pattern, self.keep = ranks(path), regex.compile(pattern), keep
@@ -226,7 +226,7 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for batch in chunks(batches):
+        for batch in chunks(batches, max_bytes=4 << 20):
             ids, ends = own.ids(batch.column("text"))
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids, pa.int32()))
             yield pa.record_batch([batch.column("doc_id"), lists], names=["doc_id", "ids"])
@@ -255,7 +255,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for batch in chunks(batches):
+        for batch in chunks(batches, max_bytes=4 << 20):
             ids, ends = own.ids(batch.column("text"))
             laid = own.decimal.take(pa.array(ids))
             edge = np.frombuffer(laid.buffers()[1], np.int64)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int64)

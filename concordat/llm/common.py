@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -50,7 +52,14 @@ def keyed_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def release() -> None:
+    """Gives what a task no longer needs back to the system: Python workers live on for later tasks, and memory that they only keep would add up."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every platform's library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches of at most ``max_bytes`` of the column, or of one row: bounds what numpy expands at once."""
     for batch in batches:
         lengths = pa.compute.binary_length(batch.column(batch.schema.get_field_index(column))).to_pylist()
@@ -63,6 +72,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: i
             size += n
         if start < len(lengths):
             yield batch.slice(start)
+    release()
 
 
 def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[pa.RecordBatch]]:
@@ -82,3 +92,4 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[pa.Rec
         held.append(batch.slice(start))
     if held:
         yield held
+    release()

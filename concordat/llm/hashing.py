@@ -13,7 +13,7 @@ _POWERS: dict = {"n": 0}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse."""
     if _POWERS["n"] < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 20)
         for name, base in (("up", _P), ("down", pow(_P, -1, 2**64))):
             a = np.full(size, base, np.uint64)
             a[0] = 1

@@ -54,7 +54,7 @@ class UnitCache:
     goes through the library whole. ``keep`` units are held at most.
     """
 
-    def __init__(self, path: str, keep: int = 300_000) -> None:
+    def __init__(self, path: str, keep: int = 150_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.keep = Tokenizer.from_file(path), {}, keep
@@ -116,7 +116,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, text: str = "t
         encode = unit_cache(tokenizer)
         item = TaskContext.get().partitionId() << 40
         open_items: dict[int, tuple[int, int]] = {}
-        for batch in chunks(batches, max_bytes=8 << 20):
+        for batch in chunks(batches, max_bytes=4 << 20):
             rows: list[list] = [[], [], [], [], [], [], []]
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text")), strict=True):
                 ids = bytes(ids) + b"\0\0\0\0"

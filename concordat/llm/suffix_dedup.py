@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from concordat.llm.common import chunks, keyed_text, partitions, table, written
+from concordat.llm.common import chunks, keyed_text, partitions, release, table, written
 from concordat.llm.hashing import BYTE, mix, powers, prefix
 from concordat.llm.induced import neighbours
 
@@ -110,7 +110,7 @@ def all_contexts(docs: DataFrame, least: int, gram: int, read: Callable[[bytes],
     unit = 1 if read is bytes else CODE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, max_bytes=2 << 20):
+        for batch in chunks(batches):
             text, *rest = contexts([read(t.as_py()) for t in batch.column("text").cast(pa.binary())], least, gram, fewer, unit)
             own = [batch.column(c).take(pa.array(text)) for c in ("doc_id", "body")]
             yield pa.record_batch([*own, *map(pa.array, rest)], names=["doc_id", "body", "at", "windows", "anchor", "lead", "context"])
@@ -200,6 +200,7 @@ def repeated(parts: DataFrame, least: int) -> DataFrame:
                 size += len(row[4])
         if rows:
             yield sort()
+        release()
 
     spark = parts.sparkSession
     dealt = parts.repartition(partitions(spark), "shard").sortWithinPartitions("shard")

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from concordat.llm.common import keyed_text, table
+from concordat.llm.common import chunks, keyed_text, table
 
 SAMPLE, LONGEST = 2000, 1 << 16
 WINDOW, SIZE, LEVEL, TOP = 40, 16384, 12, 3
@@ -141,10 +141,8 @@ def drop_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` without the rows that score ``THRESHOLD`` or more; all columns come back as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                yield some.filter(pa.array(_scores(some.column(text), model) < THRESHOLD))
+        for some in chunks(batches, text):
+            yield some.filter(pa.array(_scores(some.column(text), model) < THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -153,13 +151,10 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                score = _scores(some.column("text"), model)
-                yield pa.record_batch([some.column("doc_id"), some.column("text"), pa.array(score)], names=["doc_id", "text", "score"])
+        for some in chunks(batches):
+            yield pa.record_batch([some.column("doc_id"), pa.array(_scores(some.column("text"), model))], names=["doc_id", "score"])
 
-    return keyed_text(docs).mapInArrow(run, "doc_id long, text string, score double")
+    return keyed_text(docs).mapInArrow(run, "doc_id long, score double")
 
 
 def trained(spark: SparkSession, sf_dir: str) -> Model:
