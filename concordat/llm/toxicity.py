@@ -1,17 +1,19 @@
-"""Toxicity by compression distance: two zstandard dictionaries, one of ordinary and one of toxic text.
-
-Both dictionaries hold the ordinary words that stand in most different contexts; the toxic one ends with the words that
-are typical of toxic texts, the ordinary one with bytes that occur in no text, so that their layout is the same. A word is
-typical if it follows many more different words in toxic texts than its use in ordinary texts explains; contexts are
-counted instead of occurrences because copies of one text repeat its contexts. A text is cut into windows of about
-``WINDOW`` bytes at spaces, both compressors pack every window, and what the toxic dictionary saves is the window's
-distance. A logistic curve over the largest distances and the number of windows turns them into a score; it is fitted on
-texts that the dictionaries behind their distances have not seen, so its threshold holds for new text.
+"""Toxicity by compression distance: two zstandard dictionaries, one trained on ordinary and one on toxic text.
+
+zstandard's trainer picks what is frequent, and in whole texts of either class that is the same common syllables. So texts
+are split first by what explains them: a word is typical of toxic text if it follows many more different words there than
+its use in ordinary texts explains (contexts are counted instead of occurrences, because copies of one text repeat its
+contexts). The toxic dictionary is trained on toxic texts without the words that ordinary text explains, the ordinary one
+on windows of ordinary texts without the typical ones. Both compressors get the ordinary content; the toxic one ends with
+the toxic content, the other with bytes that occur in no text, so that their layout is the same. A text is cut into
+windows of about ``WINDOW`` bytes at spaces, both compressors pack every window, and what the toxic dictionary saves is
+the window's distance. A logistic curve over the largest distances and the number of windows turns them into a score; it
+is fitted on texts that the dictionaries behind their distances have not seen, so its threshold holds for new text.
 
 Learning takes at most ``SAMPLE`` labelled rows of each class (by hash of doc_id) with texts of at most ``LONGEST`` bytes;
 class weights restore the shares of all labelled rows. Scoring reads every text whole. Null texts count as empty. A
 doc_id labelled twice counts as toxic if any label says so; null labels are ignored. Without labels of one class the
-score is the share of the other one everywhere.
+score is the share of the other one everywhere. Where samples are too few for the trainer they are the content themselves.
 """
 
 from __future__ import annotations
@@ -73,7 +75,8 @@ def features(texts: list[bytes], model: Model) -> np.ndarray:
     return np.maximum(out, 0)
 
 
-def dictionaries(texts: list[bytes], labels: np.ndarray) -> Model:
+def typical_words(texts: list[bytes], labels: np.ndarray) -> set[bytes]:
+    """Words with many more different contexts in toxic texts than their use in ordinary ones explains."""
     contexts: tuple[set, set] = (set(), set())
     size = [0, 0]
     for raw, y in zip(texts, labels, strict=True):
@@ -83,12 +86,26 @@ def dictionaries(texts: list[bytes], labels: np.ndarray) -> Model:
     common, typical = (Counter(w for _, w in c) for c in contexts)
     least = min(6, max(3, int(labels.sum()) // 75))
     share = max(1, size[0]) / max(1, size[1])
-    chosen = [w for w, n in typical.items() if n >= least and len(w) > 2 and n * share / (common[w] + 0.5) >= ODDS]
-    chosen = sorted(chosen, key=lambda w: (typical[w], w))[-SIZE // 8 :]
-    held = set(chosen)
-    words = sorted((w for w in common if w not in held), key=lambda w: (common[w], w))
-    base = b" ".join(words)[-SIZE:]
-    tail = b" " + b" ".join(chosen) + b" "
+    return {w for w, n in typical.items() if n >= least and len(w) > 2 and n * share / (common[w] + 0.5) >= ODDS}
+
+
+def trained_content(samples: list[bytes], size: int, segment: int) -> bytes:
+    """``size`` bytes at most that the trainer picks from the samples, the best last."""
+    import zstandard
+
+    try:
+        return zstandard.train_dictionary(size, samples, k=segment, d=6, level=LEVEL).as_bytes()[-size:]
+    except zstandard.ZstdError:  # too few samples
+        return b"".join(dict.fromkeys(samples))[-size:]
+
+
+def dictionaries(texts: list[bytes], labels: np.ndarray) -> Model:
+    typical = typical_words(texts, labels)
+    reduced = lambda raw, kept: b" " + b" ".join([w for w in raw.split() if (w in typical) == kept]) + b" "
+    toxic = [r for raw, y in zip(texts, labels, strict=True) if y and len(r := reduced(raw, True)) > 8]
+    ordinary = [w for raw, y in zip(texts, labels, strict=True) if not y for w in windows(reduced(raw, False))]
+    base = trained_content(ordinary, SIZE, 64)
+    tail = trained_content(3 * toxic, SIZE // 16, 20)
     unused = np.random.default_rng(1).integers(128, 160, len(tail)).astype(np.uint8).tobytes()  # continuation bytes only: no text holds such runs
     return Model(base + unused, base + tail)
 

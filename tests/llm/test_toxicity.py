@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+import os
 import random
 import zlib
 
 import numpy as np
+import pytest
 
 from concordat.llm import toxicity
 
@@ -58,3 +60,18 @@ def test_windows_cover_the_text():
     raw = b"ab  cd " * 100 + b"x" * 300
     assert b"".join(toxicity.windows(raw)) == raw and toxicity.windows(b"") == []
     assert np.isfinite(toxicity.features([raw], toxicity.dictionaries([raw, raw], np.array([0, 1])))).all()
+
+
+@pytest.mark.parametrize("sf", ["sf0.1"])
+def test_query_on_given_documents(spark, sf):
+    """The contract's columns, one row a document, and held-out accuracy."""
+    path = f"/root/testdata/{sf}"
+    if not os.path.exists(path):
+        pytest.skip("no test data here")
+    rows = toxicity.op4_toxicity(spark, path).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(r["doc_id"] for r in spark.read.parquet(f"{path}/documents.parquet").select("doc_id").collect())
+    assert all(r["predicted"] == int(r["score"] >= 0.7) and 0 <= r["score"] <= 1 and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows)
+    toxic = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{path}/labels.parquet").where("toxic IS NOT NULL").collect()}
+    held = [r for r in rows if r["held_out"] and r["doc_id"] in toxic]
+    hit = [toxic[r["doc_id"]] for r in held if r["predicted"]]
+    assert sum(hit) >= 0.85 * len(hit) and sum(hit) >= 0.35 * sum(toxic[r["doc_id"]] for r in held)
