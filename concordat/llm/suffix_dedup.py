@@ -39,7 +39,7 @@ GRAM, LEAST = 192, 400
 SHARD = 2 << 20
 HOT, STEP = 2048, 32
 LOW = np.uint64(2**28 - 1)
-CONTEXTS = "doc_id long, body long, at int, windows int, anchor long, lead int, context long"
+CONTEXTS = "doc_id long, body long, at int, windows int, anchor long, lead int, context long, times int"
 CODE = 8
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -68,9 +68,9 @@ def _sparse(raw: np.ndarray, least: int, fewer: int) -> np.ndarray:
 
 
 def contexts(texts: list[bytes], least: int, gram: int, fewer: int | None = None, unit: int = 1) -> tuple[np.ndarray, ...]:
-    """(text, start, windows, anchor hash, anchor's offset, context hash) of all contexts of the texts.
+    """(text, start, windows, anchor hash, anchor's offset, context hash, times) of all contexts of the texts.
 
-    With ``fewer``, of windows with fewer whole words; with ``unit``, of windows that start at multiples of it.
+    Equal contexts that follow one another, as in a text that repeats a few bytes, are one row with their number. With ``fewer``, of windows with fewer whole words; with ``unit``, of windows that start at multiples of it.
     """
     of = np.arange(len(texts))
     if fewer is not None and sum(map(len, texts)) >= least:
@@ -83,7 +83,7 @@ def contexts(texts: list[bytes], least: int, gram: int, fewer: int | None = None
     least, gram = least // unit, gram // unit
     n, wide = len(raw), least - gram + 1
     if n < least:
-        return tuple(np.empty(0, t) for t in (np.int64, np.int32, np.int32, np.int64, np.int32, np.int64))
+        return tuple(np.empty(0, t) for t in (np.int64, np.int32, np.int32, np.int64, np.int32, np.int64, np.int32))
     total, down = prefix(BYTE[raw] if unit == 1 else raw), powers(n + 1)[1]
     gram_hash = mix((total[gram:] - total[:-gram]) * down[: n - gram + 1])
     smallest, width = gram_hash & ~LOW | np.arange(len(gram_hash), dtype=np.uint64) & LOW, 1
@@ -103,7 +103,11 @@ def contexts(texts: list[bytes], least: int, gram: int, fewer: int | None = None
     last = np.flatnonzero(inside & np.append(~same, True))
     lead = anchor[first] - first
     whole = mix(((total[last + least] - total[first]) * down[first]) ^ (lead.astype(np.uint64) << np.uint64(32) | (last - first).astype(np.uint64)))
-    return of[text[first]], (unit * (first - starts[text[first]])).astype(np.int32), (unit * (last - first) + 1).astype(np.int32), gram_hash[anchor[first]].view(np.int64), (unit * lead).astype(np.int32), whole.view(np.int64)
+    again = (whole[1:] == whole[:-1]) & (text[first[1:]] == text[first[:-1]]) & (first[1:] == last[:-1] + 1)
+    row = np.flatnonzero(np.append(True, ~again)[: len(first)])
+    times = np.diff(np.append(row, len(first))).astype(np.int32)
+    first, last, lead, whole = first[row], last[row], lead[row], whole[row]
+    return of[text[first]], (unit * (first - starts[text[first]])).astype(np.int32), (unit * (last - first) + 1).astype(np.int32), gram_hash[anchor[first]].view(np.int64), (unit * lead).astype(np.int32), whole.view(np.int64), times
 
 
 def all_contexts(docs: DataFrame, least: int, gram: int, read: Callable[[bytes], bytes] = bytes, fewer: int | None = None) -> DataFrame:
@@ -113,7 +117,7 @@ def all_contexts(docs: DataFrame, least: int, gram: int, read: Callable[[bytes],
         for batch in chunks(batches):
             text, *rest = contexts([read(t.as_py()) for t in batch.column("text").cast(pa.binary())], least, gram, fewer, unit)
             own = [batch.column(c).take(pa.array(text)) for c in ("doc_id", "body")]
-            yield pa.record_batch([*own, *map(pa.array, rest)], names=["doc_id", "body", "at", "windows", "anchor", "lead", "context"])
+            yield pa.record_batch([*own, *map(pa.array, rest)], names=["doc_id", "body", "at", "windows", "anchor", "lead", "context", "times"])
 
     shortest = least if unit == 1 else 2 * (least // unit) - 1
     return docs.select("doc_id", "body", "text").where(F.octet_length("text") >= shortest).mapInArrow(run, CONTEXTS)
@@ -213,16 +217,17 @@ def spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, read: Callable[
     Ranges are those of the text as ``read`` gives it. With ``fewer``, only windows with fewer whole words are judged.
     """
     found = written(all_contexts(docs, least, gram, read, fewer), "contexts")
-    twice = written(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")  # a table of its own: both sides of the join are then dealt for it, and a hot anchor's rows can be split
+    twice = written(found.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor"), "anchors")  # a table of its own: both sides of the join are then dealt for it, and a hot anchor's rows can be split
     shared = written(found.join(twice, "anchor", "left_semi"), "shared-contexts")
     place = F.min(F.struct("doc_id", "body", "at", "windows", "lead")).alias("r")
-    distinct = written(shared.groupBy("anchor", "context").agg(F.count("*").alias("n"), place), "distinct-contexts")
-    groups = distinct.groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts > 1")
+    distinct = written(shared.groupBy("anchor", "context").agg(F.sum("times").alias("n"), place), "distinct-contexts")
+    groups = written(distinct.groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts > 1"), "anchors-of-several")
     chosen = distinct.join(groups, "anchor").select("r.*", "anchor", "context", (F.col("contexts") > HOT).alias("hot"))
     sorted_out = repeated(pieces(docs, chosen, least, read), least)
     whole = distinct.where("n > 1").select("anchor", "context", F.lit(0).alias("start"), F.col("r.windows").alias("stop"))
     runs = written(whole.unionByName(sorted_out), "runs")
-    hits = shared.join(runs, ["anchor", "context"]).select("doc_id", "body", (F.col("at") + F.col("start")).alias("start"), (F.col("at") + F.col("stop") - 1 + least).alias("stop"))
+    step = F.col("windows") + (0 if read is bytes else CODE - 1)  # to the next of equal contexts; windows of codes start every CODE bytes
+    hits = shared.join(runs, ["anchor", "context"]).select("doc_id", "body", (F.col("at") + F.col("start")).alias("start"), (F.col("at") + F.col("stop") - 1 + least + (F.col("times") - 1) * step).alias("stop"))
     ordered = F.sort_array(F.collect_set(F.struct("start", "stop")))
     return hits.groupBy("doc_id", "body").agg(ordered.alias("spans"))
 

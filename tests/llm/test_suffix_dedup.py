@@ -54,6 +54,14 @@ def test_hot_anchors_are_split(spark, monkeypatch):
     assert run(spark, rows, 40, 12) == brute(rows, 40)
 
 
+def test_periodic_texts(spark):
+    rows = [(1, "a" * 3000), (2, "ab" * 900), (3, "abcdefghi" * 150 + "x"), (4, "x" + "a" * 45 + "y"), (5, "ab" * 30 + "z" * 200 + "ab" * 30), (6, "é" * 300)]
+    assert run(spark, rows, 40, 16) == brute(rows, 40)
+    assert all(len(suffix_dedup.contexts([t.encode()], 40, 16)[0]) < 200 for _, t in rows)
+    texts = {r["doc_id"]: r["text"] for r in suffix_dedup.remove_repeats(spark.createDataFrame([(1, "so la " * 100 + "end", "b", 1), (2, "la la " * 4 + "so", "b", 1)], SCHEMA), 4000, 192, words=9).collect()}
+    assert texts[1].split() == ["end"] and texts[2].split() == "la la la la la la la la so".split()
+
+
 def test_contract_lengths(spark):
     base = "".join(random.Random(5).choice("abcdefgh ") for _ in range(1200))
     rows = [(1, base), (2, "y" + base[100:499] + "z"), (3, "y" + base[300:700] + "z"), (4, base[800:] + "é")]
