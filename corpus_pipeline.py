@@ -3,6 +3,11 @@
 Every stage but the last returns the columns of ``documents`` with its decisions applied: toxic documents are gone,
 recurring lines are cut out, one document of each near-duplicate group stays, repeated passages are cut out. A document
 that loses all its text stays as an empty one; only toxicity and near-duplicate removal drop documents.
+
+Null texts count as empty (they come out of the cutting stages as empty ones), null values in other columns stay. Very long
+texts are read whole in every stage. Repeated rows: toxicity scores each, line and repeat removal see them as places of
+their own, near-duplicate removal keeps all rows of the doc_id that stays; rows without a doc_id see there. Ties go to
+the smaller doc_id. Columns besides the five of ``documents`` are dropped at the first stage. Empty tables give empty ones.
 """
 
 from __future__ import annotations
