@@ -3,7 +3,7 @@
 Both profiles give every pair the all-pairs rules would give. Descriptions are scored once per different text: pairs of
 texts come from inverted indexes (TF-IDF prefixes, tokens, and characters for texts without a common token), are scored
 and gated, and only then expanded to the rows that hold them. ``block`` restricts pairs to rows that agree on the given
-columns; then texts are compared within a block only.
+columns: it is applied to the scored pairs of texts, so it bounds the rows that come out, not the texts that are compared.
 """
 
 from __future__ import annotations
