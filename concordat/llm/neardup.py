@@ -33,7 +33,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from concordat.llm.common import chunks, grouped, keyed_text, partitions, small, table, written
+from concordat.llm.common import chunks, discard, grouped, keyed_text, partitions, small, table, written
 from concordat.llm.components import connected
 from concordat.llm.hashing import BYTE, mix, powers, prefix
 
@@ -236,7 +236,9 @@ def matched(rows: DataFrame, reps: DataFrame, docs: DataFrame, words: int, perce
     sound = written(left.distinct().join(rows, ["list", "rep", "left"]), "estimated")
     wanted = written(sound.select("rep").distinct().join(reps.select("rep", "hi", "lo"), "rep"), "wanted")
     full = dealt(sound, F.col("n"), SET_BLOCK).join(full_sets(docs, wanted, words), "rep").select(*columns)
-    return written(_by_group(full, linking, percent, ["a", "b"], "a long, b long").distinct(), "links")
+    links = written(_by_group(full, linking, percent, ["a", "b"], "a long, b long").distinct(), "links")
+    discard(rows, sound, wanted)
+    return links
 
 
 def by_leaders(now: DataFrame, turn: int, percent: int) -> DataFrame:
@@ -281,6 +283,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rounds:
         links = matched(by_leaders(now, turn, percent) if turn < rounds else by_lists(now), reps, docs, words, percent)
         found = links if found is None else found.unionByName(links)
         labels = connected(found)
+    discard(reps, lists)
     of_rep = classes.join(labels, classes.rep == labels.node, "left").select("hi", "lo", "n", F.coalesce("component", "rep").alias("component_id"))
     out = one.select("doc_id", "hi", "lo", "n").join(of_rep, ["hi", "lo", "n"], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))

@@ -32,7 +32,7 @@ import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from concordat.llm.common import chunks, keyed_text, partitions, table, written
+from concordat.llm.common import chunks, discard, keyed_text, partitions, table, written
 from concordat.llm.units import Units
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -257,7 +257,9 @@ def superstep(state: DataFrame, counts: dict[tuple[int, int], int]) -> DataFrame
     after = late.select(F.explode(entries).alias("e")).select("e.*").where("size > 0")
     left = loose.join(stays, "range").where(F.when(F.col("kind") == GAP, F.col("nth") < F.col("gaps")).otherwise(F.col("nth") >= F.col("met")))
     columns = ("kind", "id", "size", "gap", "room")
-    return written(swept.where("nth IS NULL").select(*columns).unionByName(after).unionByName(left.select(*columns)), "superstep")
+    out = written(swept.where("nth IS NULL").select(*columns).unionByName(after).unionByName(left.select(*columns)), "superstep")
+    discard(swept)
+    return out
 
 
 def placed(items: DataFrame, capacity: int) -> DataFrame:

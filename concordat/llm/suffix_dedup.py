@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from concordat.llm.common import chunks, keyed_text, partitions, release, table, written
+from concordat.llm.common import chunks, discard, keyed_text, partitions, release, table, written
 from concordat.llm.hashing import BYTE, mix, powers, prefix
 from concordat.llm.induced import neighbours
 
@@ -219,6 +219,7 @@ def spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, read: Callable[
     found = written(all_contexts(docs, least, gram, read, fewer), "contexts")
     twice = written(found.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor"), "anchors")  # a table of its own: both sides of the join are then dealt for it, and a hot anchor's rows can be split
     shared = written(found.join(twice, "anchor", "left_semi"), "shared-contexts")
+    discard(found, twice)
     place = F.min(F.struct("doc_id", "body", "at", "windows", "lead")).alias("r")
     distinct = written(shared.groupBy("anchor", "context").agg(F.sum("times").alias("n"), place), "distinct-contexts")
     groups = written(distinct.groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts > 1"), "anchors-of-several")
@@ -226,6 +227,7 @@ def spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, read: Callable[
     sorted_out = repeated(pieces(docs, chosen, least, read), least)
     whole = distinct.where("n > 1").select("anchor", "context", F.lit(0).alias("start"), F.col("r.windows").alias("stop"))
     runs = written(whole.unionByName(sorted_out), "runs")
+    discard(distinct, groups)
     step = F.col("windows") + (0 if read is bytes else CODE - 1)  # to the next of equal contexts; windows of codes start every CODE bytes
     hits = shared.join(runs, ["anchor", "context"]).select("doc_id", "body", (F.col("at") + F.col("start")).alias("start"), (F.col("at") + F.col("stop") - 1 + least + (F.col("times") - 1) * step).alias("stop"))
     ordered = F.sort_array(F.collect_set(F.struct("start", "stop")))
