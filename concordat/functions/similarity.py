@@ -10,7 +10,7 @@ from pyspark.sql.types import DoubleType
 from concordat.functions.text import normalize, tokens
 
 # Stems of which two may not both describe one position, stop words, and opposed parts of words.
-QUALIFIERS = [("оптическ", "силов", "слаботочн"), ("горяч", "холодн"), ("деревянн", "металлическ"), ("газоблок", "кирпичн"), ("кругл", "прямоугольн")]
+QUALIFIERS = [("силов", "оптическ", "слаботочн"), ("холодн", "горяч"), ("металлическ", "деревянн"), ("газоблок", "кирпичн"), ("прямоугольн", "кругл")]
 STOPWORDS = ("в", "на", "по", "из", "для", "и", "внутри", "внутренний")
 TRAPS = [("силовой", "оптический"), ("горяч", "холод"), ("внутрен", "наруж"), ("демонтаж", "монтаж"), ("подающ", "обратн"), ("лев", "прав"), ("ручн", "механиз"), ("нов", "ремонт")]
 

@@ -41,6 +41,7 @@ def states(log: DataFrame, severity: Column | None = None) -> DataFrame:
 def status_of(accepted: Column, rejected: Column, critical: Column) -> tuple[Column, Column]:
     waiting = critical & ~(F.array_contains(accepted, "expert") & F.array_contains(accepted, "controller"))
     status = F.when(rejected, "rejected").when(waiting, "second_approval").when(F.size(accepted) > 0, "accepted").otherwise("pending")
+    # The labels of states, here and in LABELS.
     missing = F.when(F.array_contains(accepted, "expert"), "контролёра").otherwise("эксперта")
     label = F.when(status == "second_approval", F.concat(F.lit("Ожидает подтверждения "), missing))
     for name, shown in LABELS.items():
@@ -128,6 +129,7 @@ class DecisionStore:
         if not (actor := actor.strip()):
             raise ValueError("Reviewer name must not be empty")
         if self.version(track, item_id) != expected_version:
+            # Fixed value: the message.
             raise DecisionConflict("Результат уже изменён другим пользователем. Обновите страницу.")
         new = self.decisions().agg(F.coalesce(F.max("id"), F.lit(0)) + 1).first()[0]
         event = self.audit_events().agg(F.coalesce(F.max("id"), F.lit(0)) + 1).first()[0]
