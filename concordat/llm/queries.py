@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from concordat.llm import ann, bpe, html_text, lines, neardup, packing, suffix_dedup, topk, toxicity, warc
+from concordat.llm import ann, bpe, html_text, lines, neardup, packing, suffix_dedup, topk, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_exact_topk": topk.op1_exact_topk,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_suffix_array_dedup": suffix_dedup.op8_suffix_array_dedup,
     "op9_line_dedup": lines.op9_line_dedup,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "op12_url_filter": url_filter.op12_url_filter,
 }
-ORACLES = {"op1_exact_topk": topk.OP1_SQL, "op5_warc": warc.OP5_SQL, "op9_line_dedup": lines.OP9_SQL}
+ORACLES = {"op1_exact_topk": topk.OP1_SQL, "op5_warc": warc.OP5_SQL, "op9_line_dedup": lines.OP9_SQL, "op12_url_filter": url_filter.OP12_SQL}
