@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from concordat.llm import ann, bpe, html_text, lines, neardup, packing, suffix_dedup, topk, toxicity, url_filter, warc
+from concordat.llm import ann, bpe, html_text, lines, neardup, packing, suffix_dedup, topk, toxicity, url_filter, warc, whitening
 
 QUERIES = {
     "op1_exact_topk": topk.op1_exact_topk,
@@ -16,5 +16,6 @@ QUERIES = {
     "op9_line_dedup": lines.op9_line_dedup,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
     "op12_url_filter": url_filter.op12_url_filter,
+    "op13_embedding_whitening": whitening.op13_embedding_whitening,
 }
 ORACLES = {"op1_exact_topk": topk.OP1_SQL, "op5_warc": warc.OP5_SQL, "op9_line_dedup": lines.OP9_SQL, "op12_url_filter": url_filter.OP12_SQL}
