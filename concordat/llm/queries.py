@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from concordat.llm import ann, bpe, html_text, lines, neardup, packing, suffix_dedup, topk, toxicity, url_filter, warc, whitening
+from concordat.llm import ann, bpe, html_text, lines, neardup, packing, spelling, suffix_dedup, topk, toxicity, url_filter, warc, whitening
 
 QUERIES = {
     "op1_exact_topk": topk.op1_exact_topk,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_suffix_array_dedup": suffix_dedup.op8_suffix_array_dedup,
     "op9_line_dedup": lines.op9_line_dedup,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
     "op12_url_filter": url_filter.op12_url_filter,
     "op13_embedding_whitening": whitening.op13_embedding_whitening,
 }
