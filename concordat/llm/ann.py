@@ -10,7 +10,8 @@ in-memory neighbour graph, beam-wise and for many vectors at a time. A query rea
 double precision. Lists and the queries of a list are dealt in blocks, so a list that holds a third of all vectors is
 split over tasks.
 
-Vectors that are null, zero, or hold null or non-finite components take no part; only vectors of the commonest dimension
+Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without an id, which the
+result could not name. Rows that share an id count as one, with the nearest of their vectors. Only vectors of the commonest dimension
 of the sample are indexed together (others form a list of their own by dimension). Ties go to the smaller id.
 """
 
@@ -34,7 +35,7 @@ FOUND = "query_id long, vec_id long, score double"
 
 def usable_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     v = F.col(vector).cast("array<double>")
-    sound = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+    sound = F.col(key).isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     return df.where(sound).select(F.col(key).cast("long").alias("vec_id"), v.alias("v"))
 
 

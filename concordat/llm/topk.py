@@ -7,7 +7,8 @@ pruned for that query: above 1 it is skipped (for all queries of a block that is
 threshold leaves to the query's heaviest coordinate, below that they must be long enough for the bound. Products of all
 vectors that remain are computed; pruning never changes the result.
 
-Vectors that are null or hold null or non-finite components take no part. Only vectors of one dimension are compared.
+Vectors that are null or hold null or non-finite components take no part, nor do rows without an id, which the result
+could not name. Only vectors of one dimension are compared.
 Ties go to the smaller id; a repeated id is a row of its own, and a query is never matched with its own id. Queries
 meet candidates block by block, so neither side is ever held whole, and many equal vectors only make more blocks.
 """
@@ -30,7 +31,7 @@ FOUND = "query_id long, vec_id long, score long"
 def integer_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding", factor: float = 64.0) -> DataFrame:
     """Ids with floor(factor * component) of every usable vector."""
     v = F.col(vector).cast("array<double>")
-    sound = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    sound = F.col(key).isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     out = df.where(sound).select(F.col(key).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(factor * x)).alias("v"))
     return out.where(F.size("v") > 0).withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)))
 
@@ -158,7 +159,7 @@ def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64.0 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id,

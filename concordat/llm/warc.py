@@ -222,11 +222,11 @@ def register(spark: SparkSession) -> None:
 
 
 def archive_records(pages: DataFrame, least: int = 100) -> DataFrame:
-    """A record per page. Only ids and digests meet by digest; page texts are dealt evenly, by page and digest."""
+    """A record per page; a page without an id is a response that nothing refers to. Only ids and digests meet by digest; page texts are dealt evenly, by page and digest."""
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
     full = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("target_uri"), payload.alias("payload"))
     full = full.withColumns({"payload_digest": F.sha2("payload", 256), "payload_bytes": F.octet_length("payload").cast("long")})
-    narrow = full.where(F.col("payload_bytes") >= least).select("page_id", "payload_digest").distinct()
+    narrow = full.where((F.col("payload_bytes") >= least) & F.col("page_id").isNotNull()).select("page_id", "payload_digest").distinct()
     first = narrow.groupBy("payload_digest").agg(F.min("page_id").alias("first"))
     later = narrow.join(first, "payload_digest").where(F.col("page_id") > F.col("first"))
     out = full.join(later, ["page_id", "payload_digest"], "left")
@@ -255,7 +255,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP5_SQL = """
 WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS d, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n FROM pages),
 f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY d) ELSE page_id END AS first FROM p)
-SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN page_id IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN first <> page_id THEN first END AS refers_to
 FROM f
 """

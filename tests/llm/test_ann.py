@@ -70,3 +70,13 @@ def test_recall_on_the_given_vectors(spark, sf):
     right = {q: dict(best) for q, best in expected.items()}
     assert sum(i in right[q] for q, best in found.items() for i in best) >= 0.9 * 5 * len(expected)
     assert all(abs(s - right[q][i]) < 1e-9 for q, best in found.items() for i, s in best.items() if i in right[q])
+
+
+def test_rows_without_an_id_take_no_part_and_equal_ids_are_one(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.integers(-4, 5, 6).astype(float).tolist()) for i in range(60)]
+    rows = [r for r in rows if any(r[1])]
+    expected = brute(rows, 5, 5)
+    found = search(spark, [*rows, (None, [1.0] * 6), (None, rows[5][1]), rows[7], rows[10]], list_size=16, ratio=100.0, block=16)
+    assert found.keys() == expected.keys()
+    assert all([i for i, _ in found[q]] == [i for i, _ in best] for q, best in expected.items())

@@ -56,3 +56,9 @@ def test_one_large_negative_coordinate(spark):
     rows = [(i, [round(x * 64) / 64 for x in v]) for i, v in rows]
     for buckets in (1, 4):
         assert search(spark, rows, k=7, block=16, query_block=16, buckets=buckets) == brute(rows, 5, 7)
+
+
+def test_rows_without_an_id_take_no_part(spark):
+    random.seed(4)
+    rows = [(i, [random.randint(-8, 8) / 8 for _ in range(3)]) for i in range(60)]
+    assert search(spark, [*rows, (None, [9.0, 9.0, 9.0]), (None, None)], k=5, block=16, query_block=16) == brute(rows, 5, 5)

@@ -57,3 +57,15 @@ def test_files_outside_the_manifest_are_not_read(spark, tmp_path):
 
 def test_empty_table(spark, tmp_path):
     assert archive(spark, tmp_path, []).load().count() == 0
+
+
+def test_pages_without_an_id_are_responses_as_in_the_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [*ROWS, (None, "http://c/", BIG), (None, None, BIG), (None, "http://d/", "only here " * 20)]
+    spark.createDataFrame([(*r, "p", 1) for r in rows], SCHEMA).write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(map(tuple, warc.op5_warc(spark, str(tmp_path)).collect()), key=repr)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert got == sorted(con.sql(warc.OP5_SQL).fetchall(), key=repr)
+    assert [r[3:] for r in got if r[0] is None] == [("response", None)] * 3
