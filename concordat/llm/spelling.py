@@ -1,7 +1,7 @@
 """Spelling variants: words one code point apart, found by exact PartEnum signatures of their letter multisets.
 
-**Words.** Every maximal run of letters (``RUN``) of every text, A-Z lower-cased, is counted natively with partial aggregates,
-so a word that is everywhere is a row a task. Where crc32 of ``<doc_id>:<run>`` is divisible by ``every``, one code point is left
+**Words.** Every maximal run of letters (``RUNS``) of every text, A-Z lower-cased, is counted by tasks before counts are
+shuffled, so a word that is everywhere is a row or a few a task. Where crc32 of ``<doc_id>:<run>`` is divisible by ``every``, one code point is left
 out first, as the contract of the query has it; a null doc_id reads as an empty one. Kept are words of at least
 ``shortest`` code points that occur ``least`` times or more. Null texts have no words; repeated rows count again.
 
@@ -24,6 +24,9 @@ and keys are 64-bit hashes of exact contents: equal contents always meet, and wh
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -34,8 +37,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from concordat.llm import hashing
 from concordat.llm.common import chunks, discard, keyed_text, partitions, release, small, table, written
 
-RUN = "[A-Za-zÀ-ÿ]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+RUNS = re.compile("[a-zÀ-ÿ]+")
+HELD = 200_000  # different words that a task counts before it hands the counts on
 PARTS, BAND_PARTS, HOT = 6, 4, 256
 SAME, SHORT, LONG = 0, 1, 2
 KEYED = "sig long, kind byte, word string, n long"
@@ -45,14 +48,29 @@ ODD = np.uint64(0x9E3779B97F4A7C15)
 
 def words(docs: DataFrame, every: int = 97, shortest: int = 5, least: int = 3) -> DataFrame:
     """(word, n) of ``docs`` (doc_id, text)."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc"), F.col("text").rlike("[À-Þ]").alias("capitals"), F.explode(F.regexp_extract_all("text", F.lit(RUN), 0)).alias("run"))
-    rows = rows.where(F.length("run") >= shortest)
-    rows = rows.withColumn("run", F.when(F.col("capitals"), F.translate("run", UPPER, LOWER)).otherwise(F.lower("run")))  # lower() also lowers the capitals beyond A-Z
-    rows = rows.withColumn("h", F.crc32(F.concat("doc", F.lit(":"), "run")))
-    at = (F.col("h") % F.length("run")).cast("int")
-    cut = F.concat(F.substring(F.col("run"), F.lit(1), at), F.substring(F.col("run"), at + 2, F.length("run")))
-    rows = rows.select(F.when(F.col("h") % every == 0, cut).otherwise(F.col("run")).alias("word"))
-    return rows.where(F.length("word") >= shortest).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[str] = Counter()
+        for batch in chunks(batches):
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                text = text.encode().lower().decode()  # of bytes, so only A-Z change
+                runs = Counter(RUNS.findall(text) if len(text) < 1 << 20 else (m[0] for m in RUNS.finditer(text)))
+                before = zlib.crc32(f"{'' if doc is None else doc}:".encode())
+                for run, n in runs.items():
+                    if len(run) >= shortest:
+                        h = zlib.crc32(run.encode(), before)
+                        held[run if h % every else run[: h % len(run)] + run[h % len(run) + 1 :]] += n
+                if len(held) > HELD:
+                    yield _counts(held)
+                    held.clear()
+        yield _counts(held)
+
+    rows = docs.select("doc_id", "text").mapInArrow(counted, "word string, n long").where(F.length("word") >= shortest)
+    return rows.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+
+
+def _counts(held: Counter[str]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
 
 
 class Letters:
