@@ -1,8 +1,8 @@
 """Pairs of estimate positions that describe the same work, and where their numbers disagree.
 
 Both profiles give every pair the all-pairs rules would give. Descriptions are scored once per different text: pairs of
-texts come from inverted indexes (TF-IDF prefixes, tokens, and characters for texts without a common token), are scored
-and gated, and only then expanded to the rows that hold them. ``block`` restricts pairs to rows that agree on the given
+texts come from inverted indexes (TF-IDF prefixes, and those of :mod:`concordat.operators.overlaps`), are scored and
+gated, and only then expanded to the rows that hold them. Weights are computed once and written. ``block`` restricts pairs to rows that agree on the given
 columns: it is applied to the scored pairs of texts, so it bounds the rows that come out, not the texts that are compared.
 """
 
@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from concordat.functions import numbers, similarity as sim, text as tx
-from concordat.operators import tfidf
+from concordat.operators import overlaps, tfidf
+from concordat.stages import written
 
 COSINE, FUZZY, FEATURES = 0.75, 82.0, 6000
 WEB_SCORE, WEB_TRAP = 0.56, 0.48
@@ -24,41 +25,43 @@ def _paired(texts: DataFrame, pairs: DataFrame, columns: list[str]) -> DataFrame
     return pairs
 
 
-def character_candidates(texts: DataFrame, column: str, least: float) -> DataFrame:
-    """Pairs whose sorted-token strings can reach an indel ratio of ``least`` percent.
+def _weights(texts: DataFrame, words: Column, characters: Column, cap: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Unit vectors of both kinds of features, each written once."""
+    return written(tfidf.vectors(texts, words), "word-weights"), written(tfidf.vectors(texts, characters, cap), "character-weights")
 
-    Such strings share at least ``least / 100 * (la + lb) / 2`` characters, counted with repetition, so of the numbered
-    characters of each (the n-th "a" is one) the rarest prefixes meet.
-    """
-    t = least / 100
-    joined = F.array_join(F.array_sort(F.array_distinct(F.split(column, " "))), " ")
-    chars = texts.where(F.col(column) != "").select("id", joined.alias("s")).select("id", F.length("s").alias("n"), F.filter(F.split("s", ""), lambda c: c != "").alias("cs"))
-    counted = chars.select("id", "n", F.explode("cs").alias("c")).groupBy("id", "n", "c").count()
-    numbered = counted.select("id", "n", F.explode(F.transform(F.sequence(F.lit(1), F.col("count").cast("int")), lambda i: F.concat("c", i.cast("string")))).alias("e"))
-    rarity = numbered.groupBy("e").agg(F.count("*").alias("df"))
-    ordered = numbered.join(rarity, "e").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("es"))
-    overlap = F.ceil(t * (1 + t / (2 - t)) / 2 * F.col("n") - 1e-9)
-    prefix = ordered.select("id", "n", F.explode(F.slice("es", 1, (F.col("n") - overlap + 1).cast("int"))).alias("x")).select("id", "n", F.col("x.e").alias("e"))
-    a, b = (prefix.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), "e") for s in ("l", "r"))
-    near = a.join(b, "e").where((F.col("l") < F.col("r")) & (2 * F.least("nl", "nr") >= t * (F.col("nl") + F.col("nr")) - 1e-9))
-    return near.select("l", "r").distinct()
+
+def _products(pairs: DataFrame, words: DataFrame, characters: DataFrame) -> DataFrame:
+    """``pairs`` with the products ``w`` and ``c`` of their vectors, and whether a side has such a vector (l_w, l_c, r_w, r_c)."""
+    maps = written(tfidf.packed(words, "w").join(tfidf.packed(characters, "c"), "id", "full"), "text-weights")
+    for side in ("l", "r"):
+        pairs = pairs.join(maps.select(F.col("id").alias(side), *(F.col(m).alias(f"{side}{m}") for m in "wc")), side, "left")
+    out = pairs.withColumns({m: tfidf.dot(F.col(f"l{m}"), F.col(f"r{m}")) for m in "wc"} | {f"{s}_{m}": F.col(f"{s}{m}").isNotNull() for s in "lr" for m in "wc"})
+    return out.drop("lw", "lc", "rw", "rc")
 
 
-def _token_candidates(texts: DataFrame, column: str) -> DataFrame:
-    tokens = texts.select("id", F.explode(F.array_distinct(F.split(column, " "))).alias("t")).where("t <> ''")
-    return tokens.withColumnRenamed("id", "l").join(tokens.withColumnRenamed("id", "r"), "t").where("l < r").select("l", "r").distinct()
+def _cosine(pairs: DataFrame, words: DataFrame, characters: DataFrame) -> DataFrame:
+    out = _products(pairs, words, characters)
+    blocks = [F.col(f"{s}_w").cast("int") + F.col(f"{s}_c").cast("int") for s in "lr"]
+    score = F.when((blocks[0] == 0) | (blocks[1] == 0), F.lit(0.0)).otherwise((F.col("w") + F.col("c")) / F.sqrt(blocks[0] * blocks[1]))
+    return out.withColumn("cosine", F.round(score, 12)).drop("w", "c", "l_w", "l_c", "r_w", "r_c")
 
 
 def classic_scores(texts: DataFrame, pairs: DataFrame, column: str = "norm") -> DataFrame:
     """``pairs`` (l, r) of ``texts`` (id, column) with their cosine over words and characters."""
-    for name, features, cap in (("w", tx.word_features(F.col(column)), None), ("c", tx.char_features(F.col(column)), FEATURES)):
-        v = tfidf.packed(tfidf.vectors(texts, features, cap), name)
-        for side in ("l", "r"):
-            pairs = pairs.join(v.select(F.col("id").alias(side), F.col(name).alias(f"{side}{name}")), side, "left")
-    blocks = [F.col(f"{s}w").isNotNull().cast("int") + F.col(f"{s}c").isNotNull().cast("int") for s in ("l", "r")]
-    total = tfidf.dot(F.col("lw"), F.col("rw")) + tfidf.dot(F.col("lc"), F.col("rc"))
-    score = F.when((blocks[0] == 0) | (blocks[1] == 0), F.lit(0.0)).otherwise(total / F.sqrt(blocks[0] * blocks[1]))
-    return pairs.withColumn("cosine", F.round(score, 12)).drop("lw", "rw", "lc", "rc")
+    return _cosine(pairs, *_weights(texts, tx.word_features(F.col(column)), tx.char_features(F.col(column)), FEATURES))
+
+
+def classic_candidates(texts: DataFrame, raw: DataFrame, words: DataFrame, characters: DataFrame) -> DataFrame:
+    """Pairs (l, r) of ``texts`` (id, norm) that may pass the gate, each text with itself included.
+
+    Half of a cosine is the words' product and half the characters', so 0.75 needs 0.5 of the words'. Only where neither
+    side has words are characters all there is; a text with both against one without either stays below 1 / sqrt(2).
+    """
+    wordless = characters.join(words.select("id").distinct(), "id", "left_anti")
+    by_cosine = tfidf.candidates(words, 2 * COSINE - 1).union(tfidf.candidates(wordless, COSINE))
+    by_tokens = overlaps.contained_pairs(texts, "norm", FUZZY).union(overlaps.aligned_pairs(texts, "norm", FUZZY))
+    found = by_cosine.union(by_tokens).union(overlaps.opposed_pairs(texts, raw, "norm"))
+    return found.union(texts.select(F.col("id").alias("l"), F.col("id").alias("r"))).distinct()
 
 
 def _sides(rows: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -79,24 +82,25 @@ def _rows_of(rows: DataFrame, scored: DataFrame, keep: list[str], values: list[s
 def find_pairs(positions: DataFrame, include_excluded: bool = True, block: tuple[str, ...] = ()) -> DataFrame:
     """Classic profile: positions (row_idx and the position columns, numbers parsed) to the pair table."""
     category, canonical = tx.normalize_unit(F.col("unit"))
+    keep = list(dict.fromkeys(["row_idx", "document_id", "position_id", "work_description", "unit_category", "quantity", "unit_price", *block]))
     rows = positions.withColumns({"norm": tx.normalize_text(F.col("work_description")), "unit_category": category, "canonical_unit": canonical})
-    rows = rows.withColumn("text_id", F.xxhash64("norm", "work_description", *block))
+    rows = written(rows.withColumn("text_id", F.xxhash64("norm", "work_description", *block)).select(*keep, "norm", "text_id"), "positions")
     texts = rows.select("norm", "work_description", *block, F.col("text_id").alias("id")).distinct()
-    by_norm = rows.groupBy("norm").agg(F.count("*").alias("copies")).withColumn("id", F.xxhash64("norm"))
-    pairs = tfidf.candidates(tfidf.vectors(by_norm, tx.word_features(F.col("norm"))), 0.5)
-    pairs = pairs.union(tfidf.candidates(tfidf.vectors(by_norm, tx.char_features(F.col("norm")), FEATURES), 0.5))
-    pairs = pairs.union(_token_candidates(by_norm, "norm")).union(character_candidates(by_norm, "norm", FUZZY))
-    pairs = pairs.union(by_norm.select(F.col("id").alias("l"), F.col("id").alias("r"))).distinct()
-    scored = _paired(by_norm, classic_scores(by_norm, pairs), ["norm"])
-    scored = scored.withColumns({"fuzzy": F.round(sim.token_set_ratio("l_norm", "r_norm"), 9), "overlap": sim.meaningful_overlap(F.col("l_norm"), F.col("r_norm"))})
-    scored = scored.where((F.col("cosine") >= COSINE) | (F.col("fuzzy") >= FUZZY) | (F.col("overlap") >= 2))
+    by_norm = written(rows.groupBy("norm").agg(F.count("*").alias("copies")).withColumn("id", F.xxhash64("norm")), "descriptions")
+    weights = _weights(by_norm, tx.word_features(F.col("norm")), tx.char_features(F.col("norm")), FEATURES)
+    spoken = texts.select(F.xxhash64("norm").alias("id"), F.col("work_description").alias("text")).distinct()
+    pairs = classic_candidates(by_norm.select("id", "norm"), spoken, *weights)
+    scored = _paired(by_norm, _cosine(pairs, *weights), ["norm"])
+    same_text = F.col("l") == F.col("r")
+    ratio = F.when(same_text & (F.col("l_norm") != ""), F.lit(100.0)).otherwise(F.round(sim.token_set_ratio(F.when(~same_text, F.col("l_norm")), "r_norm"), 9))
+    scored = scored.withColumns({"fuzzy": ratio, "overlap": sim.meaningful_overlap(F.col("l_norm"), F.col("r_norm"))})
+    scored = written(scored.where((F.col("cosine") >= COSINE) | (F.col("fuzzy") >= FUZZY) | (F.col("overlap") >= 2)), "scored-descriptions")
     raw = texts.select(F.xxhash64("norm").alias("norm_id"), "id", "work_description", *block)
     sides = [raw.select(F.col("norm_id").alias(s), F.col("id").alias(f"{s}_raw"), F.col("work_description").alias(f"{s}_text"), *(F.col(b).alias(f"{s}_{b}") for b in block)) for s in ("l", "r")]
     full = scored.join(sides[0], "l").join(sides[1], "r").where(F.lit(True) if not block else F.expr(" AND ".join(f"l_{b} <=> r_{b}" for b in block)))
     full = full.withColumn("conflict", sim.technical_conflict(F.col("l_text"), F.col("r_text")))
     full = full.where((F.col("cosine") >= COSINE) | (F.col("fuzzy") >= FUZZY) | F.col("conflict").isNotNull())
     full = full.where((F.col("l") != F.col("r")) | (F.col("l_raw") <= F.col("r_raw"))).select(F.col("l_raw").alias("l"), F.col("r_raw").alias("r"), "cosine", "fuzzy", "conflict")
-    keep = list(dict.fromkeys(["row_idx", "document_id", "position_id", "work_description", "unit_category", "quantity", "unit_price", *block]))
     out = _rows_of(rows, full, keep, ["cosine", "fuzzy", "conflict"], block)
     side = lambda s: {c: F.col(f"{s}_{c}") for c in keep}
     compatible = (F.col("left_unit_category") == F.col("right_unit_category")) & (F.col("left_unit_category") != "unknown")
@@ -131,20 +135,12 @@ def explain_pair(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("explanation", F.when(F.col("status") == "excluded", excluded).otherwise(proposed))
 
 
-def web_scores(texts: DataFrame, pairs: DataFrame, column: str = "norm") -> DataFrame:
-    for name, features in (("w", tx.tokens(F.col(column))), ("c", tx.grams(F.col(column)))):
-        v = tfidf.packed(tfidf.vectors(texts, features), name)
-        for side in ("l", "r"):
-            pairs = pairs.join(v.select(F.col("id").alias(side), F.col(name).alias(f"{side}{name}")), side, "left")
-    score = 0.58 * tfidf.dot(F.col("lw"), F.col("rw")) + 0.42 * tfidf.dot(F.col("lc"), F.col("rc"))
-    return pairs.withColumn("similarity", F.round(score, 12)).drop("lw", "rw", "lc", "rc")
-
-
-def _panel(side: str) -> Column:
-    c = lambda n: tx.text(F.col(f"{side}_{n}"))
-    number = lambda n: numbers.format_number(numbers.parse_lenient(F.col(f"{side}_{n}")))
+def _panel() -> Column:
+    """What a reviewer sees of a row."""
+    c = lambda n: tx.text(F.col(n))
+    number = lambda n: numbers.format_number(F.col(n))
     norm = F.when(c("norm_ref") == "", "—").otherwise(c("norm_ref"))
-    entries = [("Документ", c("document_id")), ("№ позиции", c("position_id")), ("Лист / страница", c("page_or_sheet")), ("Наименование", c("work_description")), ("Ед. изм.", c("unit")), ("Объём", number("quantity")), ("Цена", F.concat(number("unit_price"), F.lit(" ₸"))), ("Норма", norm)]
+    entries = [("Документ", c("document_id")), ("№ позиции", c("position_id")), ("Лист / страница", c("page_or_sheet")), ("Наименование", c("work_description")), ("Ед. изм.", c("unit")), ("Объём", number("q")), ("Цена", F.concat(number("p"), F.lit(" ₸"))), ("Норма", norm)]
     return F.create_map(*(x for k, v in entries for x in (F.lit(k), v)))
 
 
@@ -153,33 +149,43 @@ def web_pairs(positions: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Document frequencies count rows, as that profile does: a description that occurs twice counts twice.
     """
-    from concordat.schemas import POSITION_COLUMNS
-
+    texts = {name: tx.text(F.col(c)) for name, c in (("document", "document_id"), ("position", "position_id"), ("title", "work_description"), ("unit_text", "unit"))}
     rows = positions.withColumns({"norm": tx.normalize(F.col("work_description")), "ref": F.when(tx.text(F.col("norm_ref")) != "", tx.normalize(F.col("norm_ref"))), "category": tx.unit_category(F.col("unit")), "q": numbers.parse_lenient(F.col("quantity")), "p": numbers.parse_lenient(F.col("unit_price"))})
-    docs = rows.select(F.col("row_idx").alias("id"), "norm")
-    pairs = tfidf.candidates(tfidf.vectors(docs, tx.tokens(F.col("norm"))), WEB_TRAP).union(tfidf.candidates(tfidf.vectors(docs, tx.grams(F.col("norm"))), WEB_TRAP))
-    refs = rows.where("ref IS NOT NULL").select("row_idx", "ref")
-    pairs = pairs.union(refs.withColumnRenamed("row_idx", "l").join(refs.withColumnRenamed("row_idx", "r"), "ref").where("l < r").select("l", "r")).distinct()
-    keep = [*POSITION_COLUMNS, "row_idx", "norm", "ref", "category", "q", "p"]
+    rows = rows.withColumns(texts | {"panel": _panel(), "text_id": F.xxhash64("norm")})
+    keep = ["row_idx", "text_id", "ref", "category", "q", "p", *texts, "panel"]
+    rows = written(rows.select(*keep, "norm"), "web-positions")
+    by_norm = written(rows.groupBy("norm").agg(F.count("*").alias("copies")).withColumn("id", F.xxhash64("norm")), "web-descriptions")
+    words, characters = _weights(by_norm, tx.tokens(F.col("norm")), tx.grams(F.col("norm")))
+    named = rows.where("ref IS NOT NULL").select("ref", "text_id").distinct()
+    by_ref = named.withColumnRenamed("text_id", "l").join(named.withColumnRenamed("text_id", "r"), "ref").where("l <= r").select("l", "r")
+    alone = by_norm.select(F.col("id").alias("l"), F.col("id").alias("r"))
+    pairs = tfidf.candidates(words, WEB_TRAP).union(tfidf.candidates(characters, WEB_TRAP)).union(by_ref).union(alone).distinct()
+    scored = _paired(by_norm, _products(pairs, words, characters), ["norm"])
+    scored = scored.select("l", "r", F.round(0.58 * F.col("w") + 0.42 * F.col("c"), 12).alias("similarity"), sim.has_trap(F.col("l_norm"), F.col("r_norm")).alias("trap"))
+    scored = written(scored, "web-scores")
+    near = scored.where(F.col("similarity") >= WEB_TRAP)
+    both = near.union(near.where("l <> r").select(F.col("r").alias("l"), F.col("l").alias("r"), "similarity", "trap"))
     left, right = _sides(rows, keep)
-    full = web_scores(docs, pairs).join(left, F.col("l") == F.col("left_row_idx")).join(right, F.col("r") == F.col("right_row_idx"))
-    t = lambda s, c: tx.text(F.col(f"{s}_{c}"))
-    full = full.where(~((t("left", "document_id") == t("right", "document_id")) & (t("left", "position_id") == t("right", "position_id"))))
-    trap = sim.has_trap(F.col("left_norm"), F.col("right_norm"))
-    trapped = full.where(trap & (F.col("similarity") >= WEB_TRAP)).agg(F.count("*").alias("excluded_technical_traps"))
+    in_line = F.col("left_row_idx") < F.col("right_row_idx")
+    full = left.join(both, F.col("left_text_id") == F.col("l")).join(right, (F.col("r") == F.col("right_text_id")) & in_line).drop("l", "r")
+    far = scored.where((F.col("similarity") < WEB_TRAP) & ~F.col("trap"))
+    of_ref = left.join(right, (F.col("left_ref") == F.col("right_ref")) & in_line)
+    of_ref = of_ref.join(far, (F.least("left_text_id", "right_text_id") == F.col("l")) & (F.greatest("left_text_id", "right_text_id") == F.col("r"))).drop("l", "r")
+    full = full.unionByName(of_ref).where(~((F.col("left_document") == F.col("right_document")) & (F.col("left_position") == F.col("right_position"))))
+    trapped = full.where(F.col("trap") & (F.col("similarity") >= WEB_TRAP)).agg(F.count("*").alias("excluded_technical_traps"))
     same_ref = F.coalesce(F.col("left_ref") == F.col("right_ref"), F.lit(False))
-    full = full.where(~trap & ((F.col("similarity") >= WEB_SCORE) | same_ref))
+    full = full.where(~F.col("trap") & ((F.col("similarity") >= WEB_SCORE) | same_ref))
     full = full.withColumns({"same_unit": F.col("left_category") == F.col("right_category"), "dq": numbers.percent(F.col("left_q"), F.col("right_q")), "dp": numbers.percent(F.col("left_p"), F.col("right_p"))})
     conflict = ~F.col("same_unit") | (F.col("dq") > 0.15) | (F.col("dp") > 0.15)
     severity = F.when(~F.col("same_unit") | (F.col("dp") > 0.3) | (F.col("dq") > 0.3), "critical").when(conflict, "high").when(F.col("similarity") >= 0.76, "medium").otherwise("info")
-    listed = F.array_compact(F.array(F.when(~F.col("same_unit"), F.concat(F.lit("единицы: "), t("left", "unit"), F.lit(" ↔ "), t("right", "unit"))), F.when(F.col("dq") > 0.001, F.concat(F.lit("объём "), numbers.pct(F.col("dq")))), F.when(F.col("dp") > 0.001, F.concat(F.lit("цена "), numbers.pct(F.col("dp"))))))
-    documents = F.array_distinct(F.array(t("left", "document_id"), t("right", "document_id")))
+    listed = F.array_compact(F.array(F.when(~F.col("same_unit"), F.concat(F.lit("единицы: "), F.col("left_unit_text"), F.lit(" ↔ "), F.col("right_unit_text"))), F.when(F.col("dq") > 0.001, F.concat(F.lit("объём "), numbers.pct(F.col("dq")))), F.when(F.col("dp") > 0.001, F.concat(F.lit("цена "), numbers.pct(F.col("dp"))))))
+    documents = F.array_distinct(F.array(F.col("left_document"), F.col("right_document")))
     explanation = F.concat(F.lit("TF‑IDF сходство по словам и символьным n‑граммам: "), F.format_string("%.1f", F.col("similarity") * 100), F.lit("%. "), F.when(F.col("same_unit"), "Категории единиц совместимы.").otherwise("Категории единиц различаются."), F.lit(" "), F.when(conflict, "Есть числовое отклонение выше порога 15% или конфликт единиц.").otherwise("Критических числовых расхождений не найдено."), F.lit(" Окончательное решение принимает эксперт."))
     cases = full.select(
-        F.concat(F.lit("EST-"), numbers.fnv_id(F.concat_ws("|", F.array_join(documents, "|"), t("left", "position_id"), t("right", "position_id")))).alias("id"),
-        F.lit("estimate").alias("type"), severity.alias("severity"), t("left", "work_description").alias("title"),
-        F.concat(t("left", "position_id"), F.lit(" ↔ "), t("right", "position_id"), F.lit(" · "), F.array_join(documents, " / ")).alias("subtitle"),
+        F.concat(F.lit("EST-"), numbers.fnv_id(F.concat_ws("|", F.array_join(documents, "|"), F.col("left_position"), F.col("right_position")))).alias("id"),
+        F.lit("estimate").alias("type"), severity.alias("severity"), F.col("left_title").alias("title"),
+        F.concat(F.col("left_position"), F.lit(" ↔ "), F.col("right_position"), F.lit(" · "), F.array_join(documents, " / ")).alias("subtitle"),
         F.when(F.size(listed) == 0, "семантически близкие позиции").otherwise(F.array_join(listed, " · ")).alias("difference"), explanation.alias("explanation"),
-        _panel("left").alias("left"), _panel("right").alias("right"), documents.alias("documents"), F.round("similarity", 3).alias("score"),
-        F.when(conflict, "both").otherwise("semantic").alias("flag_type"), F.col("l").alias("left_index"), F.col("r").alias("right_index"))
+        F.col("left_panel").alias("left"), F.col("right_panel").alias("right"), documents.alias("documents"), F.round("similarity", 3).alias("score"),
+        F.when(conflict, "both").otherwise("semantic").alias("flag_type"), F.col("left_row_idx").alias("left_index"), F.col("right_row_idx").alias("right_index"))
     return cases, trapped

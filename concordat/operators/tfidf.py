@@ -7,7 +7,11 @@ of at least t, so an inverted index over those prefixes finds every such pair an
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 
 def vectors(docs: DataFrame, features: Column, cap: int | None = None, unit: bool = True) -> DataFrame:
@@ -32,20 +36,32 @@ def vectors(docs: DataFrame, features: Column, cap: int | None = None, unit: boo
 
 
 def candidates(unit_vectors: DataFrame, least: float) -> DataFrame:
-    """(l, r), l < r: every pair with a product of at least ``least``, and some others."""
+    """(l, r), l < r: every pair with a product of at least ``least``, and some others: pairs that meet in a feature and whose remainders from it on have norms that allow the product."""
     w = Window.partitionBy("id").orderBy(F.desc("df"), F.desc("feature"))
-    rest = F.sum(F.col("weight") * F.col("weight")).over(w)  # of this feature and all that are more common
-    prefix = unit_vectors.withColumn("rest", rest).where(F.sqrt("rest") >= least - 1e-9).select("id", "feature")
-    left, right = prefix.withColumnRenamed("id", "l"), prefix.withColumnRenamed("id", "r")
-    return left.join(right, "feature").where("l < r").select("l", "r").distinct()
+    rest = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(w))  # of this feature and all that are more common
+    prefix = unit_vectors.withColumn("rest", rest).where(F.col("rest") >= least - 1e-9)
+    left, right = (prefix.select(F.col("id").alias(s), "feature", F.col("rest").alias(f"{s}_rest")) for s in ("l", "r"))
+    return left.join(right, "feature").where((F.col("l") < F.col("r")) & (F.col("l_rest") * F.col("r_rest") >= least - 1e-9)).select("l", "r").distinct()
 
 
 def packed(unit_vectors: DataFrame, name: str) -> DataFrame:
-    """(id, map of feature to weight)."""
-    return unit_vectors.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("feature", "weight"))).alias(name))
+    """(id, name): a vector as one struct of two arrays, features (64-bit hashes, in order) and weights."""
+    entries = F.sort_array(F.collect_list(F.struct(F.xxhash64("feature").alias("f"), F.col("weight").alias("w"))))
+    rows = unit_vectors.groupBy("id").agg(entries.alias("e"))
+    return rows.select("id", F.struct(F.col("e.f").alias("f"), F.col("e.w").alias("w")).alias(name))
+
+
+@pandas_udf(DoubleType())
+def _dots(af: pd.Series, aw: pd.Series, bf: pd.Series, bw: pd.Series) -> pd.Series:
+    out = np.zeros(len(af))
+    for k, (f, v, g, w) in enumerate(zip(af, aw, bf, bw, strict=True)):
+        if f is not None and g is not None and len(f) and len(g):
+            at = np.minimum(np.searchsorted(f, g), len(f) - 1)
+            same = f[at] == g
+            out[k] = float((v[at[same]] * w[same]).sum())
+    return pd.Series(out)
 
 
 def dot(a: Column, b: Column) -> Column:
-    """Product of two such maps; a missing one is zero. Summed in feature order, so it doesn't depend on partitions."""
-    shared = F.array_sort(F.array_intersect(F.map_keys(a), F.map_keys(b)))
-    return F.coalesce(F.aggregate(shared, F.lit(0.0), lambda acc, f: acc + a[f] * b[f]), F.lit(0.0))
+    """Product of two packed vectors; a missing one is zero. Both are in order of features, so a look-up is a binary search, and the sum doesn't depend on partitions."""
+    return _dots(a["f"], a["w"], b["f"], b["w"])
