@@ -6,7 +6,9 @@ from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from concordat.operators import vectors as joins
 from concordat.operators.positions import COSINE, classic_scores
+from concordat.stages import written
 
 
 class Backend(Protocol):
@@ -49,7 +51,28 @@ class VectorBackend:
             pairs = pairs.join(self.vectors.select(F.col("id").alias(side), F.col("v").alias(f"{side}_v")), side, "left")
         return pairs.withColumn("cosine", F.round(F.coalesce(cosine(F.col("l_v"), F.col("r_v")), F.lit(0.0)), 12)).drop("l_v", "r_v")
 
+    def pairs(self, least: float = COSINE) -> tuple[DataFrame, DataFrame]:
+        """All pairs of different vectors with a cosine of ``least`` or more (l, r, cosine), by the smallest id of each vector, and whose vector each id has (id, class, copies)."""
+        named = written(joins.classes(self.vectors, "id", "v"), "vector-classes")
+        return joins.similar_pairs(named, least).withColumn("cosine", F.round("cosine", 12)), named.select("id", "class", "copies")
+
 
 def described(scored: DataFrame, backend: Backend) -> DataFrame:
     """Scores with the backend's metadata beside them."""
     return scored.withColumns({name: F.lit(value) for name, value in backend.metadata().items()})
+
+
+#: How a backend may be asked for, and what is said of others and of one that isn't there.
+MODES = ("auto", "sentence-transformers", "tfidf")
+BAD_MODE = "ESTIMATE_EMBEDDING_BACKEND: use auto, sentence-transformers or tfidf"
+
+
+def chosen(mode: str, texts: DataFrame, encoded: DataFrame | None, model: str, column: str = "norm") -> Backend:
+    """The backend of a mode: vectors made elsewhere (``encoded``: id, vector) where they are there, else TF-IDF; a forced mode has no fallback."""
+    if (mode := mode.lower()) not in MODES:
+        raise ValueError(BAD_MODE)
+    if mode != "tfidf" and encoded is not None:
+        return VectorBackend(encoded, model)
+    if mode == "sentence-transformers":
+        raise RuntimeError(f"Не удалось загрузить локальную модель {model}")
+    return TfidfBackend(texts, column)

@@ -251,6 +251,23 @@ FROM p JOIN embeddings a ON a.vec_id = l JOIN embeddings b ON b.vec_id = r
 """
 
 
+def embedding_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of different vectors with a cosine of 0.4 or more, and how many rows have each."""
+    backend = backends.VectorBackend(_table(spark, sf_dir, "embeddings"), "given-64", "vec_id", "embedding")
+    pairs, classes = backend.pairs(0.4)
+    copies = classes.where("id = class").select("class", "copies").distinct()
+    for side in ("l", "r"):
+        pairs = pairs.join(copies.select(F.col("class").alias(side), F.col("copies").alias(f"{side}_copies")), side)
+    return pairs.select("l", "r", F.round("cosine", 6).alias("cosine"), "l_copies", "r_copies")
+
+
+EMBEDDING_PAIRS_SQL = """
+WITH c AS (SELECT embedding AS v, min(vec_id) AS id, count(*) AS copies FROM embeddings WHERE list_aggregate(list_transform(embedding, lambda x: abs(x)), 'max') > 0 GROUP BY embedding),
+p AS (SELECT a.id AS l, b.id AS r, list_cosine_similarity(CAST(a.v AS DOUBLE[]), CAST(b.v AS DOUBLE[])) AS s, a.copies AS l_copies, b.copies AS r_copies FROM c a JOIN c b ON a.id < b.id)
+SELECT l, r, round(s, 6) AS cosine, l_copies, r_copies FROM p WHERE round(s, 12) >= 0.4::DOUBLE
+"""
+
+
 def document_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parts on either side of a conflict of lines of one order."""
     line = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").cast("string").alias("document_id"))
@@ -264,7 +281,7 @@ WITH p AS (SELECT CAST(l_partkey AS VARCHAR) AS l, lead(CAST(l_partkey AS VARCHA
 SELECT l AS document_id FROM p WHERE r IS NOT NULL AND n IN (2, 3) UNION SELECT r FROM p WHERE r IS NOT NULL AND n IN (2, 3)
 """
 
-QUERIES = {f.__name__: f for f in (web_position_cases, explained_positions, imported_rows, import_reports, read_requisite_files, request_rows, refused_requests, response_bodies, items_with_state, decision_counts, web_decisions, taxpayer_records, vector_scores, document_names)}
+QUERIES = {f.__name__: f for f in (web_position_cases, explained_positions, imported_rows, import_reports, read_requisite_files, request_rows, refused_requests, response_bodies, items_with_state, decision_counts, web_decisions, taxpayer_records, vector_scores, embedding_pairs, document_names)}
 ORACLES = {
     "web_position_cases": WEB_POSITION_SQL,
     "explained_positions": EXPLAINED_SQL,
@@ -279,5 +296,6 @@ ORACLES = {
     "web_decisions": WEB_DECISIONS_SQL,
     "taxpayer_records": TAXPAYER_SQL,
     "vector_scores": VECTOR_SQL,
+    "embedding_pairs": EMBEDDING_PAIRS_SQL,
     "document_names": NAMES_SQL,
 }
