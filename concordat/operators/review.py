@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Mapping
 from datetime import datetime, timezone
@@ -9,11 +10,15 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from concordat.functions.text import strip
+from concordat.operators.commits import Folder
 
 # What a decision may say.
 TRACKS, ROLES, DECISIONS = ("estimate", "requisite"), ("expert", "controller"), ("accepted", "rejected")
 DECISION_SCHEMA = "id long, track string, item_id string, decision string, role string, actor string, comment string, severity string, evidence_json string, model_metadata_json string, created_at timestamp"
 AUDIT_SCHEMA = "id long, event_type string, track string, item_id string, actor string, role string, payload_json string, created_at timestamp"
+COMMIT_SCHEMA = f"decision struct<{DECISION_SCHEMA.replace(' ', ': ').replace(',:', ',')}>, event struct<{AUDIT_SCHEMA.replace(' ', ': ').replace(',:', ',')}>"
+# Fixed value: what a writer is told who saw an older version.
+CONFLICT = "Результат уже изменён другим пользователем. Обновите страницу."
 LABELS = {"pending": "На проверке", "rejected": "Отклонено экспертом", "accepted": "Подтверждено"}
 
 
@@ -79,21 +84,32 @@ def history_counts(log: DataFrame) -> DataFrame:
     return log.groupBy("track", "item_id").agg(F.count("*").alias("decisions"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
 
+def checked_web_decisions(requests: DataFrame) -> DataFrame:
+    """Requests (caseId, caseType, action, role, reviewer, severity, comment), trimmed and cut, with ``problem``: the first field that fails its check, or null."""
+    # How long a field may be, and the severities there are.
+    most = {"caseId": 64, "reviewer": 80, "severity": 16, "comment": 1000}
+    severities = ("critical", "high", "medium", "info")
+    rows = requests.withColumns({c: F.substring(strip(F.coalesce(F.col(c).cast("string"), F.lit(""))), 1, n) for c, n in most.items()})
+    of = lambda c, allowed: F.coalesce(F.col(c).isin(*allowed), F.lit(False))
+    checks = {"caseId": F.col("caseId") != "", "caseType": of("caseType", TRACKS), "action": of("action", DECISIONS), "role": of("role", ROLES), "reviewer": F.col("reviewer") != "", "severity": of("severity", severities)}
+    return rows.withColumn("problem", F.coalesce(*(F.when(~sound, F.lit(c)) for c, sound in checks.items())))
+
+
 def web_decisions(requests: DataFrame) -> DataFrame:
-    """Requests (caseId, caseType, action, role, reviewer, severity, comment) as rows of the web log: trimmed and cut, those that fail the checks left out.
+    """Sound requests as rows of the web log; the others are :func:`refused_web_decisions`.
 
     That log has no version check: a decision is appended whatever came before it.
     """
-    # How long a field may be.
-    most = {"caseId": 64, "reviewer": 80, "severity": 16, "comment": 1000}
-    cut = {c: F.substring(strip(F.coalesce(F.col(c).cast("string"), F.lit(""))), 1, n) for c, n in most.items()}
-    rows = requests.withColumns(cut)
-    sound = (F.col("caseId") != "") & (F.col("reviewer") != "") & F.col("severity").isin("critical", "high", "medium", "info")
-    for column, allowed in (("caseType", TRACKS), ("action", DECISIONS), ("role", ROLES)):
-        sound = sound & F.coalesce(F.col(column).isin(*allowed), F.lit(False))
     names = {"caseId": "case_id", "caseType": "case_type"}
-    kept = [c for c in requests.columns if c not in ("caseId", "caseType", "action", "role", "reviewer", "severity", "comment")]
-    return rows.where(sound).select(*kept, *(F.col(c).alias(names.get(c, c)) for c in ("caseId", "caseType", "severity", "action", "reviewer", "role", "comment")))
+    sent = ("caseId", "caseType", "severity", "action", "reviewer", "role", "comment")
+    kept = [c for c in requests.columns if c not in sent]
+    return checked_web_decisions(requests).where("problem IS NULL").select(*kept, *(F.col(c).alias(names.get(c, c)) for c in sent))
+
+
+def refused_web_decisions(requests: DataFrame) -> DataFrame:
+    """Requests that fail a check, as they were sent, with the field that fails first."""
+    kept = [c for c in requests.columns if c not in ("caseId", "caseType", "severity", "action", "reviewer", "role", "comment")]
+    return checked_web_decisions(requests).where("problem IS NOT NULL").select(*kept, "caseId", "problem")
 
 
 def _encoded(values: Mapping | None) -> str:
@@ -101,26 +117,40 @@ def _encoded(values: Mapping | None) -> str:
 
 
 class DecisionStore:
-    """Decisions and audit events as Parquet folders.
+    """Decisions and audit events as one document a commit, in a folder that all writers share.
 
-    One writer at a time: the version check and the append are two steps, so concurrent drivers need a lock of their own.
-    A decision and its audit event are separate appends; the event is written first and names the decision it announces.
+    A commit holds a decision and its audit event, so neither is ever there without the other. It is put, or not at all,
+    under the item and the version that it follows: of several writers who saw one version exactly one succeeds, and the
+    others get a :class:`DecisionConflict`. Ids are claimed one by one, so they are unique over all items and grow with
+    every item's versions; a claim that ends in a conflict leaves a gap. Reading is one Spark job over small documents.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
-        for name, schema in (("decisions", DECISION_SCHEMA), ("audit_events", AUDIT_SCHEMA)):
-            spark.createDataFrame([], schema).write.mode("append").parquet(f"{self.path}/{name}")
+        self._folder = Folder(spark, self.path)
+        self._folder.put("commits/.made", b"")
+
+    def _read(self, folder: str) -> DataFrame:
+        return self.spark.read.schema(COMMIT_SCHEMA).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(f"{self.path}/{folder}")
 
     def decisions(self) -> DataFrame:
-        return self.spark.read.schema(DECISION_SCHEMA).parquet(f"{self.path}/decisions")
+        return self._read("commits").select("decision.*")
 
     def audit_events(self) -> DataFrame:
-        return self.spark.read.schema(AUDIT_SCHEMA).parquet(f"{self.path}/audit_events")
+        return self._read("commits").select("event.*")
+
+    def _item(self, track: str, item_id: str) -> str:
+        return f"commits/{track}/{hashlib.sha256(item_id.encode()).hexdigest()}"
+
+    def _own(self, track: str, item_id: str) -> DataFrame:
+        """The item's decisions, from its own documents alone."""
+        folder = self._item(track, item_id)
+        if not self._folder.exists(folder):
+            return self.spark.createDataFrame([], DECISION_SCHEMA)
+        return self._read(folder).select("decision.*")
 
     def version(self, track: str, item_id: str) -> int:
-        own = self.decisions().where((F.col("track") == track) & (F.col("item_id") == item_id))
-        return own.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+        return self._own(track, item_id).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
 
     def record(self, *, track: str, item_id: str, decision: str, role: str, actor: str, expected_version: int, severity: str | None = None, comment: str = "", evidence: Mapping | None = None, model_metadata: Mapping | None = None) -> int:
         for value, allowed, what in ((track, TRACKS, "track"), (role, ROLES, "role"), (decision, DECISIONS, "decision")):
@@ -129,23 +159,20 @@ class DecisionStore:
         if not (actor := actor.strip()):
             raise ValueError("Reviewer name must not be empty")
         if self.version(track, item_id) != expected_version:
-            # Fixed value: the message.
-            raise DecisionConflict("Результат уже изменён другим пользователем. Обновите страницу.")
-        new = self.decisions().agg(F.coalesce(F.max("id"), F.lit(0)) + 1).first()[0]
-        event = self.audit_events().agg(F.coalesce(F.max("id"), F.lit(0)) + 1).first()[0]
-        now = datetime.now(timezone.utc)
-        payload = _encoded({"decision": decision, "severity": severity, "comment": comment, "expected_version": expected_version, "decision_id": new})
-        self.spark.createDataFrame([(event, "review_decision", track, item_id, actor, role, payload, now)], AUDIT_SCHEMA).write.mode("append").parquet(f"{self.path}/audit_events")
-        row = (new, track, item_id, decision, role, actor, comment.strip(), severity, _encoded(evidence), _encoded(model_metadata), now)
-        self.spark.createDataFrame([row], DECISION_SCHEMA).write.mode("append").parquet(f"{self.path}/decisions")
+            raise DecisionConflict(CONFLICT)
+        new, now = self._folder.claim("ids"), datetime.now(timezone.utc).isoformat()
+        payload = {"decision": decision, "severity": severity, "comment": comment, "expected_version": expected_version, "decision_id": new}
+        row = {"id": new, "track": track, "item_id": item_id, "decision": decision, "role": role, "actor": actor, "comment": comment.strip(), "severity": severity, "evidence_json": _encoded(evidence), "model_metadata_json": _encoded(model_metadata), "created_at": now}
+        event = {"id": new, "event_type": "review_decision", "track": track, "item_id": item_id, "actor": actor, "role": role, "payload_json": _encoded(payload), "created_at": now}
+        if not self._folder.put(f"{self._item(track, item_id)}/{expected_version}.json", json.dumps({"decision": row, "event": event}, ensure_ascii=False).encode()):
+            raise DecisionConflict(CONFLICT)  # someone who saw the same version was first
         return new
 
     def history(self, track: str, item_id: str) -> DataFrame:
-        return history(self.decisions(), track, item_id)
+        return history(self._own(track, item_id), track, item_id)
 
     def state(self, track: str, item_id: str, severity: str | None = None) -> dict:
-        own = self.decisions().where((F.col("track") == track) & (F.col("item_id") == item_id))
-        row = states(own, F.lit(severity)).first()
+        row = states(self._own(track, item_id), F.lit(severity)).first()
         return row.asDict() if row else {"track": track, "item_id": item_id, "status": "pending", "label": LABELS["pending"], "version": 0, "accepted_roles": [], "last_actor": None, "last_updated_at": None}
 
 

@@ -200,13 +200,21 @@ def decision_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 COUNTS_SQL = "SELECT CAST(user_id AS VARCHAR) AS item_id, count(*) AS decisions, min(event_id) AS first_id, max(event_id) AS last_id FROM events WHERE event_type IN ('click', 'purchase') GROUP BY user_id"
 
 
-def web_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _sent_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as decision requests, with spaces around them and some that fail a check."""
     e = _table(spark, sf_dir, "events")
-    sent = e.select(F.col("event_id").alias("id"), F.concat(F.lit("  REQ-"), "user_id", F.lit(" ")).alias("caseId"), F.when(F.col("event_id") % 11 == 0, "other").otherwise("requisite").alias("caseType"), F.when(F.col("value") < 15, "rejected").otherwise("accepted").alias("action"), F.when(F.col("event_type") == "click", "expert").when(F.col("event_type") == "purchase", "controller").alias("role"), F.concat(F.lit(" "), F.repeat(F.col("event_type"), 20)).alias("reviewer"), F.when(F.col("user_id") % 3 == 0, "critical").otherwise("high ").alias("severity"), F.when(F.col("event_id") % 2 == 0, F.col("props")).alias("comment"))
-    return review.web_decisions(sent)
+    return e.select(F.col("event_id").alias("id"), F.concat(F.lit("  REQ-"), "user_id", F.lit(" ")).alias("caseId"), F.when(F.col("event_id") % 11 == 0, "other").otherwise("requisite").alias("caseType"), F.when(F.col("value") < 15, "rejected").otherwise("accepted").alias("action"), F.when(F.col("event_type") == "click", "expert").when(F.col("event_type") == "purchase", "controller").alias("role"), F.concat(F.lit(" "), F.repeat(F.col("event_type"), 20)).alias("reviewer"), F.when(F.col("user_id") % 3 == 0, "critical").otherwise("high ").alias("severity"), F.when(F.col("event_id") % 2 == 0, F.col("props")).alias("comment"))
+
+
+def web_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.web_decisions(_sent_decisions(spark, sf_dir))
+
+
+def refused_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.refused_web_decisions(_sent_decisions(spark, sf_dir))
 
 
+REFUSED_DECISIONS_SQL = "SELECT event_id AS id, 'REQ-' || user_id AS \"caseId\", CASE WHEN event_id % 11 = 0 THEN 'caseType' ELSE 'role' END AS problem FROM events WHERE event_id % 11 = 0 OR event_type NOT IN ('click', 'purchase')"
 WEB_DECISIONS_SQL = """
 SELECT event_id AS id, 'REQ-' || user_id AS case_id, 'requisite' AS case_type, CASE WHEN user_id % 3 = 0 THEN 'critical' ELSE 'high' END AS severity, CASE WHEN value < 15 THEN 'rejected' ELSE 'accepted' END AS action,
   substr(repeat(event_type, 20), 1, 80) AS reviewer, CASE event_type WHEN 'click' THEN 'expert' ELSE 'controller' END AS role, CASE WHEN event_id % 2 = 0 THEN props ELSE '' END AS comment
@@ -281,7 +289,7 @@ WITH p AS (SELECT CAST(l_partkey AS VARCHAR) AS l, lead(CAST(l_partkey AS VARCHA
 SELECT l AS document_id FROM p WHERE r IS NOT NULL AND n IN (2, 3) UNION SELECT r FROM p WHERE r IS NOT NULL AND n IN (2, 3)
 """
 
-QUERIES = {f.__name__: f for f in (web_position_cases, explained_positions, imported_rows, import_reports, read_requisite_files, request_rows, refused_requests, response_bodies, items_with_state, decision_counts, web_decisions, taxpayer_records, vector_scores, embedding_pairs, document_names)}
+QUERIES = {f.__name__: f for f in (web_position_cases, explained_positions, imported_rows, import_reports, read_requisite_files, request_rows, refused_requests, response_bodies, items_with_state, decision_counts, web_decisions, refused_decisions, taxpayer_records, vector_scores, embedding_pairs, document_names)}
 ORACLES = {
     "web_position_cases": WEB_POSITION_SQL,
     "explained_positions": EXPLAINED_SQL,
@@ -294,6 +302,7 @@ ORACLES = {
     "items_with_state": WITH_STATE_SQL,
     "decision_counts": COUNTS_SQL,
     "web_decisions": WEB_DECISIONS_SQL,
+    "refused_decisions": REFUSED_DECISIONS_SQL,
     "taxpayer_records": TAXPAYER_SQL,
     "vector_scores": VECTOR_SQL,
     "embedding_pairs": EMBEDDING_PAIRS_SQL,

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from concordat.operators.review import DECISION_SCHEMA
+from concordat.operators.review import COMMIT_SCHEMA
 
 
 def decision_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Decisions as they are appended to a store's folder."""
-    return spark.readStream.schema(DECISION_SCHEMA).parquet(f"{path.rstrip('/')}/decisions")
+    """Decisions as they are committed to a store's folder."""
+    commits = spark.readStream.schema(COMMIT_SCHEMA).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(f"{path.rstrip('/')}/commits")
+    return commits.select("decision.*")
 
 
 def latest_decisions(decisions: DataFrame) -> DataFrame:
