@@ -2,27 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from concordat.operators import backends, importer, positions, registry, review, search
 from concordat.plans import queries as base
 from concordat.schemas import REQUISITE_COLUMNS
 from concordat.sources import requests, tables
+from concordat.stages import new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _folder(spark: SparkSession, label: str) -> str:
-    """A new folder that driver and executors share; where none is named, as in tests, a local one."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 def web_position_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items as positions of three documents; every norm covers a few of them."""
     i = F.col("item_id")
@@ -128,8 +120,8 @@ def read_requisite_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = s.select(F.lit("x").alias("spare"), F.concat(F.lit(" DOC-"), "s_suppkey").alias("document_id"), F.lit("1").alias("page_or_sheet"), F.concat(F.lit('ТОО "'), "s_name", F.lit('",\n'), F.col("s_nationkey")).alias("entity_name"), key.alias("bin"), F.lit("ул. Мира, 1 ").alias("legal_address"), F.lit("АО Банк").alias("bank_name"), F.lit("ABCD KZ-KA").alias("bik"), F.concat(F.lit("KZ"), F.lpad(key, 18, "1")).alias("account_number"))
     paths = []
     for part in (0, 1):
-        paths.append(f"{_folder(spark, 'requisites')}.csv")
-        rows.where(F.pmod(F.hash("bin"), F.lit(2)) == part).coalesce(1).write.options(header=True, quoteAll=True, escape='"', ignoreTrailingWhiteSpace=False, ignoreLeadingWhiteSpace=False).csv(paths[-1])  # a file with quoted line ends is read by one task, whoever writes it
+        paths.append(f"{new_path(spark, 'requisites')}.csv")
+        rows.where(F.pmod(F.hash("bin"), F.lit(2)) == part).write.options(header=True, quoteAll=True, escape='"', ignoreTrailingWhiteSpace=False, ignoreLeadingWhiteSpace=False).csv(paths[-1])
     return tables.read_requisites(spark, *paths).select(*REQUISITE_COLUMNS)
 
 

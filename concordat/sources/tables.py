@@ -1,4 +1,4 @@
-"""Strict readers of both document kinds: CSV by Spark's reader, spreadsheets by ours, then checks and parsing.
+"""Strict readers of both document kinds: CSV records found in parallel and parsed by Spark, spreadsheets by ours, then checks and parsing.
 
 Rows carry ``row_idx``, their place in the input: file by file, line by line. It is a file's ordinal and the row's
 number in the file, so it needs no global numbering and stays the same whatever the partitions.
@@ -12,23 +12,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from concordat.functions.numbers import parse_strict, stripped
 from concordat.schemas import COLUMNS, KINDS, NUMBERS, POSITION_COLUMNS, REQUISITE_COLUMNS, SchemaError
+from concordat.sources.csv_records import read_csv
 from concordat.sources.xlsx import read_cells
 
 FILE_ROWS = 1 << 33  # row_idx leaves room for so many rows a file
 
 
-def _numbered(df: DataFrame, ordinal: int) -> DataFrame:
-    """``row_idx`` by reading order within a file; a file with quoted line ends is one partition, whose ids count from 0."""
-    return df.withColumn("row_idx", F.lit(ordinal * FILE_ROWS) + F.monotonically_increasing_id() % FILE_ROWS)
-
-
 def read_raw(spark: SparkSession, path: str, name: str | None = None, ordinal: int = 0) -> DataFrame:
     """All cells of a file as strings under its header, null cells as empty ones."""
     suffix = PurePosixPath(name or path).suffix.lower()
     if suffix == ".csv":
-        raw = spark.read.options(header=True, multiLine=True, escape='"', ignoreLeadingWhiteSpace=False, enforceSchema=False).csv(path)
-        raw = raw.select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in raw.columns))
-        return _numbered(raw, ordinal)
+        raw = read_csv(spark, path)
+        return raw.select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in raw.columns if c != "row_idx"), (F.lit(ordinal * FILE_ROWS) + F.col("row_idx")).alias("row_idx"))
     if suffix in (".xlsx", ".xlsm"):
         cells = read_cells(spark, [path]).where("sheet_idx = 0").select("row_idx", "cells")
         header = cells.where("row_idx = 0").first()
