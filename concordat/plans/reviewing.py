@@ -113,15 +113,24 @@ FROM part GROUP BY p_brand, p_type
 """
 
 
-def read_requisite_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers written as two CSV files with quotes, line ends and spare columns, then read and checked."""
+def _supplier_rows(spark: SparkSession, sf_dir: str, broken: bool) -> DataFrame:
+    """Suppliers as requisites with quotes, line ends and a spare column; if ``broken``, every fifth has a short BIN, every seventh a long BIK, every eleventh an account with a sign in it."""
     s = _table(spark, sf_dir, "supplier")
     key = F.lpad(F.col("s_suppkey").cast("string"), 12, "0")
-    rows = s.select(F.lit("x").alias("spare"), F.concat(F.lit(" DOC-"), "s_suppkey").alias("document_id"), F.lit("1").alias("page_or_sheet"), F.concat(F.lit('ТОО "'), "s_name", F.lit('",\n'), F.col("s_nationkey")).alias("entity_name"), key.alias("bin"), F.lit("ул. Мира, 1 ").alias("legal_address"), F.lit("АО Банк").alias("bank_name"), F.lit("ABCD KZ-KA").alias("bik"), F.concat(F.lit("KZ"), F.lpad(key, 18, "1")).alias("account_number"))
-    paths = []
-    for part in (0, 1):
-        paths.append(f"{new_path(spark, 'requisites')}.csv")
-        rows.where(F.pmod(F.hash("bin"), F.lit(2)) == part).write.options(header=True, quoteAll=True, escape='"', ignoreTrailingWhiteSpace=False, ignoreLeadingWhiteSpace=False).csv(paths[-1])
+    wrong = lambda n, bad, good: F.when(F.lit(broken) & (F.col("s_suppkey") % n == 0), bad).otherwise(good)
+    return s.select(F.lit("x").alias("spare"), F.concat(F.lit(" DOC-"), "s_suppkey").alias("document_id"), F.lit("1").alias("page_or_sheet"), F.concat(F.lit('ТОО "'), "s_name", F.lit('",\n'), F.col("s_nationkey")).alias("entity_name"), wrong(5, F.substring(key, 1, 11), key).alias("bin"), F.lit("ул. Мира, 1 ").alias("legal_address"), F.lit("АО Банк").alias("bank_name"), wrong(7, F.lit("ABCD KZ-KAZ"), F.lit("ABCD KZ-KA")).alias("bik"), wrong(11, F.concat(F.lit("KZ*"), key), F.concat(F.lit("KZ"), F.lpad(key, 18, "1"))).alias("account_number"))
+
+
+def _as_csv(rows: DataFrame, label: str) -> str:
+    path = f"{new_path(rows.sparkSession, label)}.csv"
+    rows.write.options(header=True, quoteAll=True, escape='"', ignoreTrailingWhiteSpace=False, ignoreLeadingWhiteSpace=False).csv(path)
+    return path
+
+
+def read_requisite_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers written as two CSV documents, then read and checked."""
+    rows = _supplier_rows(spark, sf_dir, False)
+    paths = [_as_csv(rows.where(F.pmod(F.hash("bin"), F.lit(2)) == part), "requisites") for part in (0, 1)]
     return tables.read_requisites(spark, *paths).select(*REQUISITE_COLUMNS)
 
 
@@ -130,6 +139,36 @@ SELECT 'DOC-' || s_suppkey AS document_id, '1' AS page_or_sheet, 'ТОО "' || s
 """
 
 
+def requisite_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong in a CSV document of suppliers, by rule, with the number of rows that the pass counted."""
+    (found,) = tables.read_checked(spark, "requisite", _as_csv(_supplier_rows(spark, sf_dir, True), "requisites"))
+    return found.problems.groupBy("column", "value").agg(F.count("*").alias("n")).withColumn("rows", F.lit(found.counts["rows"]).cast("long"))
+
+
+REQUISITE_PROBLEMS_SQL = """
+WITH s AS (SELECT s_suppkey AS k, lpad(CAST(s_suppkey AS VARCHAR), 12, '0') AS key FROM supplier),
+p AS (SELECT 'bin' AS "column", left(key, 11) AS value FROM s WHERE k % 5 = 0 UNION ALL SELECT 'bik', 'ABCD KZ-KAZ' FROM s WHERE k % 7 = 0 UNION ALL SELECT 'account_number', 'KZ*' || key FROM s WHERE k % 11 = 0)
+SELECT "column", value, count(*) AS n, (SELECT count(*) FROM supplier) AS rows FROM p GROUP BY ALL
+"""
+
+
+def position_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts in a CSV document, some with a quantity or price that is no number: the problems, and of the sound rows the sums."""
+    p = _table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    rows = p.select(F.col("p_brand").alias("document_id"), k.cast("string").alias("position_id"), F.lit("1").alias("page_or_sheet"), F.concat(F.lit('"'), "p_name", F.lit('",\nтип ')).alias("work_description"), F.lit("м").alias("unit"), F.when(k % 13 == 0, F.concat(F.lit("n/a "), k)).otherwise(F.concat(F.lit("1 "), F.lpad(F.col("p_size").cast("string"), 3, "0"), F.lit(",5"))).alias("quantity"), F.when(k % 17 == 0, "1,2,3").otherwise(F.col("p_size").cast("string")).alias("unit_price"), F.lit("").alias("norm_ref"))
+    (found,) = tables.read_checked(spark, "estimate", _as_csv(rows, "positions"))
+    sound = found.rows.agg(F.lit("sound").alias("column"), F.concat_ws(" ", F.count("*"), F.sum("quantity").cast("long"), F.sum("unit_price").cast("long")).alias("value"), F.lit(found.counts["rows"]).alias("n"))
+    return found.problems.groupBy("column", "value").agg(F.count("*").alias("n")).unionByName(sound)
+
+
+POSITION_PROBLEMS_SQL = """
+SELECT 'quantity' AS "column", 'n/a ' || p_partkey AS value, count(*) AS n FROM part WHERE p_partkey % 13 = 0 GROUP BY ALL
+UNION ALL SELECT 'unit_price', '1,2,3', count(*) FROM part WHERE p_partkey % 17 = 0 HAVING count(*) > 0
+UNION ALL SELECT 'sound', count(*) || ' ' || CAST(floor(sum(1000.5::DOUBLE + p_size)) AS BIGINT) || ' ' || CAST(sum(p_size) AS BIGINT), (SELECT count(*) FROM part) FROM part WHERE p_partkey % 13 <> 0 AND p_partkey % 17 <> 0
+"""
+
+
 def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of every order as a request; orders of one line are too few, and those of a multiple of 7 lack a column."""
     line = _table(spark, sf_dir, "lineitem")
@@ -281,13 +320,15 @@ WITH p AS (SELECT CAST(l_partkey AS VARCHAR) AS l, lead(CAST(l_partkey AS VARCHA
 SELECT l AS document_id FROM p WHERE r IS NOT NULL AND n IN (2, 3) UNION SELECT r FROM p WHERE r IS NOT NULL AND n IN (2, 3)
 """
 
-QUERIES = {f.__name__: f for f in (web_position_cases, explained_positions, imported_rows, import_reports, read_requisite_files, request_rows, refused_requests, response_bodies, items_with_state, decision_counts, web_decisions, refused_decisions, taxpayer_records, vector_scores, embedding_pairs, document_names)}
+QUERIES = {f.__name__: f for f in (web_position_cases, explained_positions, imported_rows, import_reports, read_requisite_files, requisite_problems, position_problems, request_rows, refused_requests, response_bodies, items_with_state, decision_counts, web_decisions, refused_decisions, taxpayer_records, vector_scores, embedding_pairs, document_names)}
 ORACLES = {
     "web_position_cases": WEB_POSITION_SQL,
     "explained_positions": EXPLAINED_SQL,
     "imported_rows": IMPORTED_SQL,
     "import_reports": REPORTS_SQL,
     "read_requisite_files": REQUISITE_FILES_SQL,
+    "requisite_problems": REQUISITE_PROBLEMS_SQL,
+    "position_problems": POSITION_PROBLEMS_SQL,
     "request_rows": REQUEST_ROWS_SQL,
     "refused_requests": REFUSED_SQL,
     "response_bodies": RESPONSE_SQL,

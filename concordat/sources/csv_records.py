@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-BLOCKS = "file string, start long, bare_open boolean, bare_records long, open_open boolean, open_records long"
+BLOCKS = "file string, start long, bare_open boolean, bare_records long, open_open boolean, open_records long, head string"
 PIECES = "file string, record long, start long, whole boolean, text string"
 #: A line's complete fields from the start of one, up to a field that stays open; and from inside an open field to what follows it.
 _FIELDS = re.compile(r'(?:(?:"(?:[^"]|"")*"(?!")[^,]*|[^",][^,]*|(?=,)),)*+(?P<open>"(?:[^"]|"")*+\Z)?', re.DOTALL)
@@ -54,31 +54,45 @@ def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, str
 
 
 def _outlined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """First pass: a row for every block."""
+    """First pass: a row for every block; ``head`` is the file's first record, if the block holds all of it."""
     found: dict[tuple[str, int], list] = {}
     for file, start, line in _by_block(batches):
-        ends = found.setdefault((file, start), [False, 0, True, 0])
+        ends = found.setdefault((file, start), [False, 0, True, 0, None, []])
         blank = line in ("", "\r")
         for k in (0, 2):
             if not ends[k] and not blank:
                 ends[k + 1] += 1
             if not (blank and not ends[k]):
                 ends[k] = still_open(line, ends[k])
-    rows = [(*key, *ends) for key, ends in found.items()]
-    yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.bool_(), pa.int64()))], names=[c.split()[0] for c in BLOCKS.split(", ")])
-
-
-def records(spark: SparkSession, path: str) -> DataFrame:
+        if start == 0 and ends[4] is None and ends[1]:
+            ends[5].append(line)
+            if not ends[0]:
+                ends[4] = "\n".join(ends[5]).removesuffix("\r")
+    rows = [(*key, *ends[:5]) for key, ends in found.items()]
+    yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.bool_(), pa.int64(), pa.string()))], names=[c.split()[0] for c in BLOCKS.split(", ")])
+
+
+class Layout:
+    """Where every block begins, and how many records and what header every file has; found in one pass."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.lines = _lines(spark, path)
+        self.begins: dict[tuple[str, int], tuple[bool, int]] = {}
+        self.records: dict[str, int] = {}
+        self.heads: dict[str, str | None] = {}
+        open_ = False
+        for b in sorted(self.lines.mapInArrow(_outlined, BLOCKS).collect(), key=lambda b: (b["file"], b["start"])):  # a row a block of spark.sql.files.maxPartitionBytes
+            number = self.records.get(b["file"], 0)
+            open_ = open_ and b["file"] in self.records
+            self.begins[b["file"], b["start"]] = (open_, number)
+            self.heads.setdefault(b["file"], b["head"])
+            self.records[b["file"]] = number + (b["open_records"] if open_ else b["bare_records"])
+            open_ = b["open_open"] if open_ else b["bare_open"]
+
+
+def records(layout: Layout) -> DataFrame:
     """(file, record, text) of every record, headers too; numbers count from 0 in each file."""
-    lines = _lines(spark, path)
-    begins: dict[tuple[str, int], tuple[bool, int]] = {}
-    before, open_, number = None, False, 0
-    for b in sorted(lines.mapInArrow(_outlined, BLOCKS).collect()):  # a row a block of spark.sql.files.maxPartitionBytes
-        if b["file"] != before:
-            before, open_, number = b["file"], False, 0
-        begins[b["file"], b["start"]] = (open_, number)
-        number += b["open_records"] if open_ else b["bare_records"]
-        open_ = b["open_open"] if open_ else b["bare_open"]
+    begins = layout.begins
 
     def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Second pass: records and pieces of them, some thousands at a time."""
@@ -87,8 +101,7 @@ def records(spark: SparkSession, path: str) -> DataFrame:
         at, inside, number, whole = None, False, 0, True
 
         def put(done: bool) -> None:
-            text = "\n".join(held)
-            out.append((*at, number, whole and done, text))
+            out.append((*at, number, whole and done, "\n".join(held)))
             held.clear()
 
         for file, start, line in _by_block(batches):
@@ -113,7 +126,7 @@ def records(spark: SparkSession, path: str) -> DataFrame:
             put(False)
         yield _pieces(out)
 
-    pieces = lines.mapInArrow(assembled, PIECES)
+    pieces = layout.lines.mapInArrow(assembled, PIECES)
     crossing = pieces.where("NOT whole").groupBy("file", "record").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "text"))), lambda p: p["text"]), "\n").alias("text"))
     both = pieces.where("whole").select("file", "record", "text").union(crossing.select("file", "record", "text"))
     return both.select("file", "record", F.regexp_replace("text", "\r\\z", "").alias("text"))
@@ -126,18 +139,24 @@ def _pieces(rows: list[tuple]) -> pa.RecordBatch:
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """The cells of all records under the header, as strings, null where a record is short, with ``row_idx``: the record's number among those of all files, by path."""
-    found = records(spark, path)
-    heads = {r["file"]: r["text"] for r in found.where("record = 0").select("file", "text").collect()}  # a row a file
-    names: list[str] = next(csv.reader([heads[min(heads)]]), []) if heads else []
-    last = {r["file"]: r["n"] for r in found.groupBy("file").agg(F.max("record").alias("n")).collect()}
+    layout = Layout(spark, path)
+    found = records(layout)
+    names: list[str] = []
+    if any(layout.records.values()):
+        file = min(f for f, n in layout.records.items() if n)
+        head = layout.heads[file]
+        if head is None:  # a header that is longer than a block
+            head = found.where((F.col("record") == 0) & (F.col("file") == file)).first()["text"]
+        names = next(csv.reader([head]))
     base, first = 0, []
-    for file in sorted(last):
+    for file, n in sorted(layout.records.items()):
         first.append((file, base))
-        base += last[file]
+        base += max(n - 1, 0)
     files = F.broadcast(spark.createDataFrame(first, "file string, first long"))  # a row a file
-    cells = ", ".join(f"c{k} string" for k in range(len(names)))
     body = found.where("record > 0").join(files, "file")
+    number = (F.col("first") + F.col("record") - 1).alias("row_idx")
     if not names:
-        return body.select((F.col("first") + F.col("record") - 1).alias("row_idx"))
+        return body.select(number)
+    cells = ", ".join(f"c{k} string" for k in range(len(names)))
     parsed = F.from_csv("text", cells, {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
-    return body.select(parsed.alias("c"), (F.col("first") + F.col("record") - 1).alias("row_idx")).select(*(F.col(f"c.c{k}").alias(n) for k, n in enumerate(names)), "row_idx")
+    return body.select(parsed.alias("c"), number).select(*(F.col(f"c.c{k}").alias(n) for k, n in enumerate(names)), "row_idx")

@@ -7,15 +7,20 @@ number in the file, so it needs no global numbering and stays the same whatever
 from __future__ import annotations
 
 from pathlib import PurePosixPath
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from concordat.functions.numbers import parse_strict, stripped
 from concordat.schemas import COLUMNS, KINDS, NUMBERS, POSITION_COLUMNS, REQUISITE_COLUMNS, SchemaError
 from concordat.sources.csv_records import read_csv
 from concordat.sources.xlsx import read_cells
+from concordat.stages import written
 
 FILE_ROWS = 1 << 33  # row_idx leaves room for so many rows a file
+SHOWN = 1000  # lines that an error lists
+# What is said of a document with a wrong value, in this order.
+MESSAGES = {"bin": "БИН должен содержать 12 цифр", "bik": "БИК должен содержать 8 букв/цифр", "account_number": "ИИК должен быть 20-символьным KZ-форматом"}
 
 
 def read_raw(spark: SparkSession, path: str, name: str | None = None, ordinal: int = 0) -> DataFrame:
@@ -34,43 +39,82 @@ def read_raw(spark: SparkSession, path: str, name: str | None = None, ordinal: i
 
 
 def validated(raw: DataFrame, kind: str) -> DataFrame:
-    """The kind's columns in order, trimmed. Missing columns and empty tables are errors."""
+    """The kind's columns in order, trimmed. Missing columns are an error; whether there are rows is seen when they are read."""
     required = COLUMNS[kind]
     if missing := [c for c in required if c not in raw.columns]:
         raise SchemaError(f"В документе «{KINDS[kind]}» отсутствуют поля: {', '.join(missing)}")
-    if raw.limit(1).isEmpty():
-        raise SchemaError(f"Документ «{KINDS[kind]}» не содержит строк данных.")
     return raw.select("row_idx", *(stripped(F.col(c)).alias(c) for c in required))
 
 
+class Checked(NamedTuple):
+    """What one pass over a document found: the rows without a problem, the problems of the others, and how many of each there are."""
+
+    rows: DataFrame
+    problems: DataFrame  # row_idx, line, column, value
+    counts: dict[str, int]  # of every checked column, and "rows" for all rows
+
+
+def rules(kind: str) -> dict[str, Column]:
+    """The checked columns of a kind, and when a value is wrong."""
+    if kind == "estimate":
+        return {c: parse_strict(F.col(c)).isNull() for c in NUMBERS}
+    compact = lambda c: F.regexp_replace(c, r"(?U)[\s-]", "")
+    return {
+        "bin": ~F.regexp_replace("bin", r"(?U)\D", "").rlike(r"^[0-9]{12}\z"),
+        "bik": ~compact("bik").rlike(r"^[A-Za-z0-9]{8}\z"),
+        "account_number": ~compact("account_number").rlike(r"(?i)^(KZ)?[A-Za-z0-9]{18,20}\z"),
+    }
+
+
+def checked(rows: DataFrame, kind: str) -> Checked:
+    """All checks of a kind in the pass that reads the rows: they are written once, with what is wrong with each, and counted as they are written."""
+    wrong = {c: F.coalesce(broken, F.lit(True)) for c, broken in rules(kind).items()}
+    marked = rows.withColumn("_wrong", F.array_compact(F.array(*(F.when(broken, F.lit(c)) for c, broken in wrong.items()))))
+    seen = Observation()
+    counted = marked.observe(seen, F.count(F.lit(1)).alias("rows"), *(F.count_if(F.array_contains("_wrong", c)).alias(c) for c in wrong))
+    table = written(counted, "checked-rows")
+    sound = table.where(F.size("_wrong") == 0).drop("_wrong")
+    if kind == "estimate":
+        sound = sound.withColumns({c: parse_strict(F.col(c)) for c in NUMBERS})
+    broken = table.select("row_idx", (F.col("row_idx") % FILE_ROWS + 2).cast("long").alias("line"), F.explode("_wrong").alias("column"), F.create_map(*(x for c in wrong for x in (F.lit(c), F.col(c)))).alias("_values"))
+    return Checked(sound, broken.select("row_idx", "line", "column", F.col("_values")[F.col("column")].alias("value")), seen.get)
+
+
+def accepted(found: Checked, kind: str) -> DataFrame:
+    """The rows of a document without problems; one that has any, or no rows, is an error."""
+    if not found.counts["rows"]:
+        raise SchemaError(f"Документ «{KINDS[kind]}» не содержит строк данных.")
+    if kind == "estimate":
+        for column in NUMBERS:
+            if n := found.counts[column]:
+                lines = [r["line"] for r in found.problems.where(F.col("column") == column).orderBy("line").limit(SHOWN).select("line").collect()]
+                more = f" и ещё {n - SHOWN}" if n > SHOWN else ""
+                raise SchemaError(f"Поле {column} должно быть числом; ошибки в строках {lines}{more}.")
+    elif problems := [MESSAGES[c] for c in MESSAGES if found.counts[c]]:
+        raise SchemaError("; ".join(problems) + ".")
+    return found.rows
+
+
 def parsed_positions(rows: DataFrame) -> DataFrame:
     """Positions with numbers; rows that hold none are reported by their line, of the first column that has any."""
-    line = (F.col("row_idx") % FILE_ROWS + 2).cast("long")
-    wrong = rows.agg(*(F.sort_array(F.collect_list(F.when(parse_strict(F.col(c)).isNull(), line))).alias(c) for c in NUMBERS)).first()  # one pass; lines in error only
-    for column in NUMBERS:
-        if wrong[column]:
-            raise SchemaError(f"Поле {column} должно быть числом; ошибки в строках {wrong[column]}.")
-    return rows.withColumns({c: parse_strict(F.col(c)) for c in NUMBERS})
+    return accepted(checked(rows, "estimate"), "estimate")
 
 
 def checked_requisites(rows: DataFrame) -> DataFrame:
-    compact = lambda c: F.regexp_replace(c, r"(?U)[\s-]", "")
-    broken = rows.agg(
-        F.bool_or(~F.regexp_replace("bin", r"(?U)\D", "").rlike(r"^[0-9]{12}$")).alias("БИН должен содержать 12 цифр"),
-        F.bool_or(~compact("bik").rlike("^[A-Za-z0-9]{8}$")).alias("БИК должен содержать 8 букв/цифр"),
-        F.bool_or(~compact("account_number").rlike("(?i)^(KZ)?[A-Za-z0-9]{18,20}$")).alias("ИИК должен быть 20-символьным KZ-форматом"),
-    ).first()
-    if problems := [name for name, hit in broken.asDict().items() if hit]:
-        raise SchemaError("; ".join(problems) + ".")
-    return rows
+    return accepted(checked(rows, "requisite"), "requisite")
+
+
+def read_checked(spark: SparkSession, kind: str, *paths: str) -> list[Checked]:
+    """Documents of a kind with what is wrong in them, one :class:`Checked` a path."""
+    return [checked(validated(read_raw(spark, p, ordinal=i), kind), kind) for i, p in enumerate(paths)]
 
 
 def read_positions(spark: SparkSession, *paths: str) -> DataFrame:
-    return _union([parsed_positions(validated(read_raw(spark, p, ordinal=i), "estimate")) for i, p in enumerate(paths)])
+    return _union([accepted(c, "estimate") for c in read_checked(spark, "estimate", *paths)])
 
 
 def read_requisites(spark: SparkSession, *paths: str) -> DataFrame:
-    return _union([checked_requisites(validated(read_raw(spark, p, ordinal=i), "requisite")) for i, p in enumerate(paths)])
+    return _union([accepted(c, "requisite") for c in read_checked(spark, "requisite", *paths)])
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from concordat.sources import csv_records
-from concordat.sources.csv_records import read_csv, records, still_open
+from concordat.sources.csv_records import Layout, read_csv, records, still_open
 
 
 def plain(spark, path):
@@ -37,7 +37,7 @@ def test_hostile_quotes_are_read_as_by_one_task(spark, tmp_path, blocks):
     assert [r["row_idx"] for r in rows] == list(range(len(rows)))
     assert [tuple(r)[:3] for r in rows] == plain(spark, str(path))
     if blocks == 40:
-        assert records(spark, str(path)).select(F.spark_partition_id()).distinct().count() > 20
+        assert records(Layout(spark, str(path))).select(F.spark_partition_id()).distinct().count() > 20
 
 
 @pytest.mark.parametrize("text", [
@@ -66,3 +66,18 @@ def test_state_of_a_line():
 def test_empty_file(spark, tmp_path):
     (tmp_path / "e.csv").write_text("")
     assert csv_records.read_csv(spark, str(tmp_path / "e.csv")).collect() == []
+
+
+def test_checks_cost_one_pass_and_list_no_more_than_they_show(spark, tmp_path, monkeypatch):
+    from concordat.schemas import POSITION_COLUMNS, SchemaError
+    from concordat.sources import tables
+
+    path = tmp_path / "p.csv"
+    path.write_text(",".join(POSITION_COLUMNS) + "\n" + "".join(f'A,{i},1,"два\nслова",м,{"x" if i % 10 == 0 else i},{i},\n' for i in range(1, 201)))
+    (found,) = tables.read_checked(spark, "estimate", str(path))
+    assert found.counts == {"rows": 200, "quantity": 20, "unit_price": 0}
+    assert sorted((r["line"], r["column"], r["value"]) for r in found.problems.collect()) == [(i + 1, "quantity", "x") for i in range(10, 201, 10)]
+    assert found.rows.count() == 180 and "Python" not in found.rows._jdf.queryExecution().toString()  # read from what the pass wrote
+    monkeypatch.setattr(tables, "SHOWN", 3)
+    with pytest.raises(SchemaError, match=r"строках \[11, 21, 31\] и ещё 17\."):
+        tables.read_positions(spark, str(path))
