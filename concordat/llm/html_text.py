@@ -32,7 +32,7 @@ from concordat.llm.common import table
 
 PATHS, WORDS, NUMBERS, HIDDEN = 192, 24, 6, 16
 WIDTH = PATHS + WORDS + NUMBERS
-SITES = 1400
+SITES = 2400
 TEXTS = "page_id long, url string, text string, n_chars long"
 
 # The block-level elements of HTML, those that hold no text, and those without an end tag.
@@ -306,7 +306,7 @@ def site_page(rng: random.Random) -> tuple[str, list[str]]:
         return junk(inside=True)
 
     def junk(inside: bool = False) -> str:
-        kind = rng.choice(["ad", "ad", "notice", "side", "form", "share"] + ([] if inside else ["menu", "crumbs"]))
+        kind = rng.choice(["ad", "ad", "notice", "side", "form", "share"] + ([] if inside else ["menu", "crumbs", "told"]))
         text = rng.choice([sentence(3, 12), sentence(10, 40)])
         if kind == "ad":
             return box(rng.choice(["div", "div", "section", "p"]), rng.choice([text, f"<p>{text}</p>"] if rng.random() < 0.9 else [text]), "ad", "ads", "advert", "banner", "sponsored", "promo", "ad-slot", "advertisement")
@@ -316,6 +316,9 @@ def site_page(rng: random.Random) -> tuple[str, list[str]]:
             return box(rng.choice(["aside", "aside", "div", "section"]), f"<h3>{words(1, 4)}</h3>" + rng.choice([links(4), f"<p>{text}</p>"]), "sidebar", "related", "widget", "teaser", "recommended", plain=False) if rng.random() < 0.6 else f"<aside><p>{text}</p></aside>"
         if kind == "form":
             return box("form", f"<label>{words(1, 4)}</label><input><p>{sentence(2, 10)}</p><button>{word()}</button>", "search", "contact", "login", "signup", plain=True)
+        if kind == "told":  # paragraphs where one would look for links
+            told = "".join(f"<p>{sentence(*rng.choice([(3, 12), (10, 60)]))}</p>" for _ in range(rng.randrange(2, 5)))
+            return box(rng.choice(["nav", "aside", "aside", "div"]), rng.choice(["", f"<h3>{words(1, 4)}</h3>"]) + told, "sidebar", "nav", "menu", "related") if rng.random() < 0.5 else rng.choice([f"<nav>{told}</nav>", f"<aside>{told}</aside>"])
         if kind == "share":
             return box("div", links(3), "share", "social", "tags", "author-links")
         if kind == "menu":
@@ -326,25 +329,40 @@ def site_page(rng: random.Random) -> tuple[str, list[str]]:
         one = lambda: box(rng.choice(["div", "li", "article"]), f"<h4>{words(1, 3)}</h4><p>{sentence(3, 40)}</p>" + rng.choice(["", f"<a href=#>{word()}</a>"]), "comment", "reply", "comment-body")
         return box(rng.choice(["section", "div", "ol"]), f"<h3>{words(1, 3)}</h3>" + "".join(one() for _ in range(rng.randrange(1, 5))), "comments", "commentlist", "comment-list", "discussion", "responses")
 
+    alone = rng.random() < 0.1  # a page of hardly anything else
     top = ""
     if rng.random() < 0.5:
         top += box("header", f"<div{pick('logo', 'site-title', 'brand')}>{words(1, 3)}</div>" + rng.choice(["", f"<p>{sentence(3, 9)}</p>"]) + rng.choice(["", links(5)]), "header", "site-header", "masthead", "top", plain=True)
     if rng.random() < 0.75:
         top += f"<nav>{links(rng.randrange(3, 9))}</nav>" if rng.random() < 0.6 else junk()
     top += "".join(junk() for _ in range(rng.choice([0, 0, 1, 1, 2])))
-    body = f"<h1>{kept(sentence(2, 12))}</h1>" if rng.random() < 0.85 else ""
-    for _ in range(rng.choice([1, 2, 4, 8, 14])):
-        body += prose() if rng.random() < 0.78 else extra()
-    inner_comments = comments() if rng.random() < 0.15 else ""
-    wrap, body = rng.choice(["article", "article", "article", "main", "div", "section"]), nested(body)
+    title = f"<h1>{kept(sentence(2, 12))}</h1>" if rng.random() < (0.4 if alone else 0.85) else ""
+    title, body = ("", title) if rng.random() < 0.85 else (title, "")  # now and then it stands before the container
+    for _ in range(rng.choice([1, 2, 2, 3] if alone else [1, 2, 4, 8, 14])):
+        body += prose() if rng.random() < (0.95 if alone else 0.78) else extra()
+    inner_comments = comments() if rng.random() < 0.15 and not alone else ""
+    wrap = rng.choice(["article", "article", "article", "main", "div", "section", "none", "none", "plain", "plain", "unknown", "unknown", "cell"])
+    body = nested(body) if wrap != "none" else body
     if wrap == "article" or (wrap == "main" and rng.random() < 0.6):
         body = f"<{wrap}{rng.choice(['', '', pick('post', 'article', 'entry', 'story')])}>{body}{inner_comments}</{wrap}>"
+    elif wrap == "none":
+        body += inner_comments
+    elif wrap == "plain":
+        body = f"<div>{body}{inner_comments}</div>"
+    elif wrap == "unknown":
+        body = box(rng.choice(["div", "div", "section"]), body + inner_comments, word(), f"{word()}-{word()}__{word()}", f"{word()}_{word()}", "main", "page", "inner", "body")
+    elif wrap == "cell":
+        body = f"<table><tr><td>{links(4)}</td><td>{body}{inner_comments}</td></tr></table>"
     else:
         body = box(wrap, body + inner_comments, "content", "post-body", "article-body", "entry-content", "main-content", "post-content", "article", "story", "text")
-    if rng.random() < 0.3:
+    if rng.random() < 0.3 and wrap != "none":
         body = box("main", body, plain=True) if wrap != "main" else f'<div class="wrapper">{body}</div>'
+    body = title + body
     after = "".join(junk() for _ in range(rng.choice([0, 0, 1, 2]))) + (comments() if rng.random() < 0.3 else "")
+    if alone:
+        top, after = "", ""
     foot = box("footer", rng.choice([f"&copy; {word()}.com &middot; {sentence(3, 20)}", f"<p>{sentence(3, 15)}</p>{links(3)}"]), "footer", "site-footer", plain=True) if rng.random() < 0.8 else box("div", f"&copy; {words(2, 12)}", "footer", "copyright", "legal")
+    foot = "" if alone and rng.random() < 0.7 else foot
     end = rng.choice(["</body></html>", "</body></html>", ""])
     return f"<!DOCTYPE html><html><head><title>{words(2, 8)}</title><style>p{{}}</style><script>var t='</p>';</script></head><body>{top}<!-- {word()} -->{body}{after}{foot}{end}", main
 

@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import os
 import random
 
 import numpy as np
+import pyarrow.parquet as pq
+import pytest
 
 from concordat.llm import html_text
 
@@ -115,3 +118,35 @@ def test_pages_by_hand_one_by_one(spark):
         blocks = html_text.leaf_blocks(page)
         keep = html_text.labeller().labels([html_text.block_vectors(blocks)])[0]
         assert out[i] == "\n".join(b[0] for b, k in zip(blocks, keep, strict=True) if k) == "\n".join(main)
+
+
+def laid_out(kind, title, paragraphs):
+    """Plain layouts, written apart from the generator."""
+    text = "".join(f"<p>{t}</p>" for t in paragraphs)
+    body = f"<h1>{title}</h1>{text}"
+    around = {
+        "article": f"<article>{body}</article>", "main": f"<main>{body}</main>", "bare div": f"<div>{body}</div>", "unknown class": f'<div class="story-body__inner">{body}</div>', "body": body, "id main": f'<div id="main">{body}</div>',
+        "table": f'<table><tr><td width="20%"><a href="/a">Start</a><br><a href="/b">Contact</a></td><td>{body}</td></tr></table>', "title before": f'<h1>{title}</h1><div class="c7">{text}</div>',
+    }
+    if kind == "two paragraphs":
+        return f"<html><body>{text}</body></html>"
+    return f'<html><head><title>{title}</title></head><body><ul class="nav"><li><a href="/">Home</a></li><li><a href="/news">News</a></li></ul>{around[kind]}<div class="footer">Copyright {title.split()[0]}</div></body></html>'
+
+
+@pytest.mark.parametrize("kind", ["article", "main", "table", "bare div", "unknown class", "body", "id main", "title before", "two paragraphs"])
+def test_plain_layouts(kind):
+    """Words of the given documents; no page comes out empty, and nearly all whole."""
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data here")
+    words = [w for t in pq.read_table(path, columns=["text"]).column("text").to_pylist()[:300] if t for w in t.split()]
+    rng, model, right, empty = random.Random(kind), html_text.labeller(), 0, 0
+    for _ in range(60):
+        take = lambda a, b: " ".join(rng.choices(words, k=rng.randrange(a, b)))
+        title, paragraphs = take(3, 9), [take(12, 60) for _ in range(2 if kind == "two paragraphs" else rng.randrange(2, 8))]
+        blocks = html_text.leaf_blocks(laid_out(kind, title, paragraphs))
+        keep = model.labels([html_text.block_vectors(blocks)])[0]
+        got = [b[0] for b, k in zip(blocks, keep, strict=True) if k]
+        right += got == ([] if kind == "two paragraphs" else [title]) + paragraphs
+        empty += not got
+    assert right >= 55 and not empty, (right, empty)
