@@ -120,7 +120,11 @@ def find_pairs(positions: DataFrame, include_excluded: bool = True, block: tuple
 
 def in_order(pairs: DataFrame) -> DataFrame:
     """Proposed first, then by falling scores; ties by row."""
-    return pairs.orderBy(F.desc("status"), F.desc("embedding_score"), F.desc("fuzzy_score"), "left_index", "right_index")
+    return pairs.orderBy(*order())
+
+
+def order() -> list[Column]:
+    return [F.desc("status"), F.desc("embedding_score"), F.desc("fuzzy_score"), F.col("left_index"), F.col("right_index")]
 
 
 # How categories are called in explanations.

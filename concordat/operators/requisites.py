@@ -73,8 +73,12 @@ def explain_flag(changed: Column, severity: Column) -> Column:
 
 
 def in_order(flags: DataFrame) -> DataFrame:
-    rank = F.array_position(F.array(*(F.lit(s) for s in ENDINGS)), F.col("severity"))
-    return flags.orderBy(rank, "flag_id", "left_index", "right_index")
+    return flags.orderBy(*order())
+
+
+def order() -> list[Column]:
+    """Gravest first, then by id; ties by row."""
+    return [F.array_position(F.array(*(F.lit(s) for s in ENDINGS)), F.col("severity")), F.col("flag_id"), F.col("left_index"), F.col("right_index")]
 
 
 def web_cases(requisites: DataFrame) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from concordat.operators import backends, importer, positions, registry, review, search
+from concordat.operators import backends, importer, positions, registry, requisites, review, search
+from concordat.operators.pages import Ordered
 from concordat.plans import queries as base
 from concordat.schemas import REQUISITE_COLUMNS
 from concordat.sources import requests, tables
@@ -70,6 +71,30 @@ FROM pairs JOIN part a ON a.p_partkey = left_index JOIN part b ON b.p_partkey =
 """
 
 
+def ordered_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of position_pairs by their place in the reviewer's order, scores as shown (six digits)."""
+    pairs = base.position_pairs(spark, sf_dir)
+    return Ordered(pairs.select("left_index", "right_index", "status", "embedding_score", "fuzzy_score"), *positions.order()).rows().select("ordinal", "left_index", "right_index", "status")
+
+
+ORDERED_POSITIONS_SQL = f"""
+WITH pairs AS ({base.POSITION_SQL})
+SELECT row_number() OVER (ORDER BY status DESC, embedding_score DESC, fuzzy_score DESC, left_index, right_index) - 1 AS ordinal, left_index, right_index, status FROM pairs
+"""
+
+
+def ordered_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flags of requisite_conflicts by their place in the reviewer's order."""
+    flags = requisites.find_conflicts(base._records(spark, sf_dir), include_info=True)
+    return Ordered(flags.select("flag_id", "severity", "left_index", "right_index"), *requisites.order()).rows().select("ordinal", "flag_id", "severity")
+
+
+ORDERED_FLAGS_SQL = f"""
+WITH flags AS ({base.REQUISITE_SQL})
+SELECT row_number() OVER (ORDER BY CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 ELSE 4 END, flag_id) - 1 AS ordinal, flag_id, severity FROM flags
+"""
+
+
 def _sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as loose sheets, one a brand and type: a title, a header (not on sheets of type ECONOMY), the parts, a total."""
     part = _table(spark, sf_dir, "part")
@@ -320,10 +345,12 @@ WITH p AS (SELECT CAST(l_partkey AS VARCHAR) AS l, lead(CAST(l_partkey AS VARCHA
 SELECT l AS document_id FROM p WHERE r IS NOT NULL AND n IN (2, 3) UNION SELECT r FROM p WHERE r IS NOT NULL AND n IN (2, 3)
 """
 
-QUERIES = {f.__name__: f for f in (web_position_cases, explained_positions, imported_rows, import_reports, read_requisite_files, requisite_problems, position_problems, request_rows, refused_requests, response_bodies, items_with_state, decision_counts, web_decisions, refused_decisions, taxpayer_records, vector_scores, embedding_pairs, document_names)}
+QUERIES = {f.__name__: f for f in (web_position_cases, explained_positions, ordered_positions, ordered_flags, imported_rows, import_reports, read_requisite_files, requisite_problems, position_problems, request_rows, refused_requests, response_bodies, items_with_state, decision_counts, web_decisions, refused_decisions, taxpayer_records, vector_scores, embedding_pairs, document_names)}
 ORACLES = {
     "web_position_cases": WEB_POSITION_SQL,
     "explained_positions": EXPLAINED_SQL,
+    "ordered_positions": ORDERED_POSITIONS_SQL,
+    "ordered_flags": ORDERED_FLAGS_SQL,
     "imported_rows": IMPORTED_SQL,
     "import_reports": REPORTS_SQL,
     "read_requisite_files": REQUISITE_FILES_SQL,
