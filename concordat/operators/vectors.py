@@ -5,8 +5,9 @@ compared once. Every class is at home in the cell of its nearest pivot, in a rin
 can be follows from the triangle inequality: within r of it, distances to any pivot differ by r at most, so it is at home
 in the same ring or a neighbouring one; and in another cell only if that pivot is at most 2r farther than its own. A class
 visits those rings, the lower-numbered of two cells being the one where a pair meets, so every pair meets once. Rings
-meet in blocks of bounded size, so neither a hot ring nor its visitors are ever held whole. In a block, distances to all
-pivots must agree within r before a product is computed (:func:`products` counts those).
+meet in blocks of bounded size, so neither a hot ring nor its visitors are ever held whole. In a block, before a product is
+computed (:func:`products` counts those), distances to all pivots must agree within r, and the pivots must leave room for
+it: a product is that of both sides' parts along the pivots, plus at most the product of the lengths of what remains.
 
 The pivots are far from each other, from a bounded sample (``SAMPLE``); they decide the cost, never the result. The more
 the vectors lie in groups, and the higher t, the less is compared: vectors without any structure are all about as far
@@ -26,8 +27,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from concordat.stages import written
 
-SAMPLE, PIVOTS, BLOCK, SLACK = 2048, 16, 1024, 1e-7
-AT_HOME = "cell int, ring long, visitor boolean, id long, home int, own long, unit binary, far binary"
+SAMPLE, PIVOTS, BLOCK, SLACK = 2048, 32, 1024, 1e-7
+AT_HOME = "cell int, ring long, visitor boolean, id long, home int, own long, unit binary, far binary, along binary"
 
 
 def classes(vectors: DataFrame, key: str = "id", vector: str = "vector") -> DataFrame:
@@ -59,12 +60,16 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 def _placed(reps: DataFrame, pivots: np.ndarray, radius: float) -> DataFrame:
     """A row for every class at home, and one for every ring it visits."""
 
+    axes = np.linalg.qr(pivots.T)[0]  # orthonormal, of the pivots' span
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
                 unit = _unit(part.column("v").flatten().to_numpy().reshape(part.num_rows, -1))
                 far = np.sqrt(np.maximum(2 - 2 * unit @ pivots.T, 0))
+                along = unit @ axes
+                along = np.hstack([along, np.sqrt(np.maximum(1 - (along * along).sum(axis=1, keepdims=True), 0))])  # and the length of the rest
                 home = far.argmin(axis=1)
                 ring = np.floor(far / radius).astype(np.int64)
                 rows: list[tuple[int, int, int, bool]] = []
@@ -74,7 +79,7 @@ def _placed(reps: DataFrame, pivots: np.ndarray, radius: float) -> DataFrame:
                         rows += [(i, c, int(ring[i, c]) + step, True) for step in (-1, 0, 1)]
                 at = [r[0] for r in rows]
                 bytes_of = lambda m: pa.array([m[i].tobytes() for i in at], pa.binary())
-                yield pa.record_batch([pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows]), part.column("id").take(pa.array(at)), pa.array(home[at].astype(np.int32)), pa.array(ring[at, home[at]]), bytes_of(unit), bytes_of(far)], names=[c.split()[0] for c in AT_HOME.split(", ")])
+                yield pa.record_batch([pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows]), part.column("id").take(pa.array(at)), pa.array(home[at].astype(np.int32)), pa.array(ring[at, home[at]]), bytes_of(unit), bytes_of(far), bytes_of(along)], names=[c.split()[0] for c in AT_HOME.split(", ")])
 
     return reps.select("id", "v").mapInArrow(run, AT_HOME)
 
@@ -87,18 +92,19 @@ def _meeting(placed: DataFrame, least: float, radius: float, count_only: bool) -
     mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
     here = dealt.where("NOT visitor").withColumn("r", mine("rb")).withColumn("q", spread("vb"))
     there = dealt.where("visitor").withColumn("q", mine("vb")).withColumn("r", spread("rb"))
-    columns = [*keys, "r", "q", "id", "home", "own", "unit", "far"]
+    columns = [*keys, "r", "q", "id", "home", "own", "unit", "far", "along"]
 
     def met(a: pa.Table, b: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
         n = 0
         if a.num_rows and b.num_rows:
             read = lambda t, c: np.frombuffer(b"".join(t.column(c).to_pylist())).reshape(t.num_rows, -1)
-            x, y, fx, fy = read(a, "unit"), read(b, "their_unit"), read(a, "far"), read(b, "their_far")
+            x, y, fx, fy, px, py = (read(t, c) for c, t in (("unit", a), ("their_unit", b), ("far", a), ("their_far", b), ("along", a), ("their_along", b)))
             ids, theirs, cell = a.column("id").to_numpy(), b.column("their_id").to_numpy(), a.column("cell")[0].as_py()
             same_ring = (b.column("their_home").to_numpy() == cell) & (b.column("their_own").to_numpy() == a.column("ring")[0].as_py())
             for i in range(len(x)):
-                at = np.flatnonzero((np.abs(fy - fx[i]).max(axis=1) <= radius) & (~same_ring | (theirs > ids[i])))
+                at = np.flatnonzero((py @ px[i] >= least - 1e-9) & (~same_ring | (theirs > ids[i])))
+                at = at[np.abs(fy[at] - fx[i]).max(axis=1) <= radius] if len(at) else at
                 n += len(at)
                 if not count_only and len(at):
                     cos = y[at] @ x[i]
