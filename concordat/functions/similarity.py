@@ -66,7 +66,7 @@ def _held(stems: Column, text: Column) -> Column:
 def technical_conflict(a: Column, b: Column, families: list[tuple[str, ...]] = QUALIFIERS) -> Column:
     """Why two raw texts can't be one position, or null: both name stems of a family, but not the same ones."""
     a, b = F.lower(a), F.lower(b)
-    found = []
+    found = []  # the message below is a fixed value
     for family in families:
         stems = F.array(*(F.lit(s) for s in sorted(family)))
         x, y = _held(stems, a), _held(stems, b)

@@ -51,6 +51,7 @@ SUBSTITUTIONS = [
     ("күштік", " силовой "),
     ("дайындау", " "),
 ]
+# How the web rules tell categories of units.
 UNIT_PATTERNS = [("length", r"^(м|пм|п\.м|метр|мп)$"), ("area", "^(м2|м²|квм|квадратныйметр)$"), ("volume", "^(м3|м³|кубм|кубическийметр)$"), ("weight", "^(кг|т|тонна|г)$"), ("count", "^(шт|ед|компл|комплект)$")]
 _SPACES = r"(?U)\s+"
 
@@ -84,7 +85,7 @@ def _classes(c: Column, letters: str) -> Column:
 
 def normalize_text(c: Column) -> Column:
     """Classic: folded letters and digits; a known phrase becomes its synonym, else each known word does."""
-    plain = _classes(_folded(c), "0-9a-zа-яәіңғүұқөһ²³")
+    plain = _classes(_folded(c), "0-9a-zа-яәіңғүұқөһ²³")  # fixed value: the letters that stay
     words = F.transform(F.split(plain, " "), lambda w: F.coalesce(_map(SYNONYMS)[w], w))
     replaced = F.when(plain.rlike(f"(?:^| )(?:{'|'.join(SYNONYMS)})(?: |$)"), F.array_join(words, " ")).otherwise(plain)
     return F.coalesce(_map(PHRASES)[plain], replaced)
@@ -111,6 +112,7 @@ def normalize_unit(c: Column) -> tuple[Column, Column]:
 
 def normalize_name(c: Column) -> Column:
     """Classic: Kazakh letters as Russian ones, legal forms dropped, letters and digits only."""
+    # The letters that are replaced, and the legal forms.
     text = F.translate(_folded(c), "құүөғәің", "кууогаин")
     forms = "тоо|too|ао|ao|ип|жшс"
     text = F.when(text.rlike(forms), F.regexp_replace(text, rf"(?U)\b(?:{forms})\b", " ")).otherwise(text)
@@ -122,7 +124,7 @@ def normalize_compact(c: Column) -> Column:
 
 
 def normalize_words(c: Column) -> Column:
-    return _classes(_folded(c), "0-9a-zа-яәіңғүұқөһ")
+    return _classes(_folded(c), "0-9a-zа-яәіңғүұқөһ")  # fixed value: the letters that stay
 
 
 def text(c: Column, most: int = 500) -> Column:

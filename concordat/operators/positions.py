@@ -134,13 +134,14 @@ CATEGORY_LABELS = {"length": "длина", "weight": "масса", "count": "к
 def explain_pair(pairs: DataFrame) -> DataFrame:
     """Adds ``explanation``; needs unit_category, the left side's."""
     label = F.coalesce(F.create_map(*(F.lit(x) for kv in CATEGORY_LABELS.items() for x in kv))[F.col("unit_category")], F.col("unit_category"))
+    # Both sentences.
     excluded = F.format_string("Текстовое сходство %.2f, но пара исключена фильтром: %s. Это не предложение дубля.", F.col("embedding_score"), F.coalesce("filter_reason", F.lit("None")))
     proposed = F.format_string("Сходство описаний %.2f; единицы совместимы (%s). Объём расходится на %.1f%%, цена — на %.1f%%. Система только предлагает проверить пару; итоговое решение принимает эксперт.", F.col("embedding_score"), label, F.col("quantity_diff_pct") * 100, F.col("price_diff_pct") * 100)
     return pairs.withColumn("explanation", F.when(F.col("status") == "excluded", excluded).otherwise(proposed))
 
 
 def _panel() -> Column:
-    """What a reviewer sees of a row."""
+    """What a reviewer sees of a row; the labels are fixed values."""
     c = lambda n: tx.text(F.col(n))
     number = lambda n: numbers.format_number(F.col(n))
     norm = F.when(c("norm_ref") == "", "—").otherwise(c("norm_ref"))
@@ -183,6 +184,7 @@ def web_pairs(positions: DataFrame) -> tuple[DataFrame, DataFrame]:
     conflict = ~F.col("same_unit") | (F.col("dq") > 0.15) | (F.col("dp") > 0.15)
     severity = F.when(~F.col("same_unit") | (F.col("dp") > 0.3) | (F.col("dq") > 0.3), "critical").when(conflict, "high").when(F.col("similarity") >= 0.76, "medium").otherwise("info")
     listed = F.array_compact(F.array(F.when(~F.col("same_unit"), F.concat(F.lit("единицы: "), F.col("left_unit_text"), F.lit(" ↔ "), F.col("right_unit_text"))), F.when(F.col("dq") > 0.001, F.concat(F.lit("объём "), numbers.pct(F.col("dq")))), F.when(F.col("dp") > 0.001, F.concat(F.lit("цена "), numbers.pct(F.col("dp"))))))
+    # The sentences of an explanation and of a difference, above and below.
     documents = F.array_distinct(F.array(F.col("left_document"), F.col("right_document")))
     explanation = F.concat(F.lit("TF‑IDF сходство по словам и символьным n‑граммам: "), F.format_string("%.1f", F.col("similarity") * 100), F.lit("%. "), F.when(F.col("same_unit"), "Категории единиц совместимы.").otherwise("Категории единиц различаются."), F.lit(" "), F.when(conflict, "Есть числовое отклонение выше порога 15% или конфликт единиц.").otherwise("Критических числовых расхождений не найдено."), F.lit(" Окончательное решение принимает эксперт."))
     cases = full.select(

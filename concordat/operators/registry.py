@@ -11,6 +11,7 @@ FIELDS = ("entity_name", "legal_address", "bank_name", "bik", "account_number")
 TAXPAYER = "array<struct<code:string,name:string,endDate:string,endReason:struct<ru:string,kk:string,en:string>>>"
 
 
+# The names of providers and what they say when they refuse, in the classes below, and the statuses of a taxpayer.
 class RegistryUnavailable(RuntimeError):
     """No registry is configured."""
 

@@ -93,6 +93,7 @@ def web_cases(requisites: DataFrame) -> DataFrame:
     pairs = pairs.withColumns({"same_bin": (F.col("left_t_bin") != "") & ~differ("t_bin"), "bank": bank, "bin_conflict": same_name & differ("t_bin"), "address": differ("n_legal_address"), "similarity": F.when(same_name, F.lit(1.0)).otherwise(sim.name_similarity(F.col("left_entity_name"), F.col("right_entity_name")))})
     variation = F.col("same_bin") & ~same_name & (F.col("similarity") >= 0.45)
     pairs = pairs.where(F.col("bank") | F.col("bin_conflict") | F.col("address") | variation)
+    # What cases and panels say, here to the end.
     gates = [(F.col("same_bin") & F.col("bank"), "critical", "Разные банк, БИК или ИИК при одном БИН"), (F.col("bin_conflict"), "high", "Одинаковое наименование, разные БИН"), (F.col("same_bin") & F.col("address"), "medium", "Разный юридический адрес")]
     choose = lambda k, rest: F.coalesce(*(F.when(g[0], F.lit(g[k])) for g in gates), F.lit(rest))
     t = lambda s, c: tx.text(F.col(f"{s}_{c}"))

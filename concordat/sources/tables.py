@@ -40,6 +40,7 @@ def read_raw(spark: SparkSession, path: str, name: str | None = None, ordinal: i
 
 def validated(raw: DataFrame, kind: str) -> DataFrame:
     """The kind's columns in order, trimmed. Missing columns are an error; whether there are rows is seen when they are read."""
+    # This message, those of accepted() and the patterns of rules().
     required = COLUMNS[kind]
     if missing := [c for c in required if c not in raw.columns]:
         raise SchemaError(f"В документе «{KINDS[kind]}» отсутствуют поля: {', '.join(missing)}")
