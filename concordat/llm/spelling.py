@@ -3,7 +3,8 @@
 **Words.** Every maximal run of letters (``RUNS``) of every text, A-Z lower-cased, is counted by tasks before counts are
 shuffled, so a word that is everywhere is a row or a few a task. Where crc32 of ``<doc_id>:<run>`` is divisible by ``every``, one code point is left
 out first, as the contract of the query has it; a null doc_id reads as an empty one. Kept are words of at least
-``shortest`` code points that occur ``least`` times or more. Null texts have no words; repeated rows count again.
+``shortest`` code points that occur ``least`` times or more. Null and empty texts have no words, repeated rows count again,
+long texts are read in place, only the id and the text are read, and an empty table has no words.
 
 **Candidates.** A word is the set of its numbered letters (the second "e" is one of its own), a binary vector. An inserted
 or deleted code point changes one bit of it, a replaced one two. The letters are dealt to parts by a hash, and signatures
