@@ -95,6 +95,52 @@ SELECT row_number() OVER (ORDER BY CASE severity WHEN 'critical' THEN 1 WHEN 'hi
 """
 
 
+def requisite_conflicts_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As requisite_conflicts, but every tenth order has another BIN: the name alone joins it to its customer's others, and the BIN is what differs."""
+    rows = base._records(spark, sf_dir).withColumn("bin", F.when(F.col("row_idx") % 10 == 0, F.concat("bin", F.lit("-x"))).otherwise(F.col("bin")))
+    flags = requisites.find_conflicts(rows, include_info=True)
+    return flags.select("flag_id", "severity", F.array_join("changed_fields", ",").alias("changed"), F.round("name_similarity", 6).alias("name_similarity"))
+
+
+REQUISITE_BY_NAME_SQL = f"""
+WITH {base.RECORDS_SQL},
+k AS (SELECT *, CASE WHEN i % 10 = 0 THEN bin || 'X' ELSE CAST(bin AS VARCHAR) END AS own, regexp_replace(lower(name), '[^0-9a-z]', '', 'g') AS key FROM r),
+p AS (
+  SELECT a.doc || ' ↔ ' || b.doc AS flag_id, a.own <> b.own AS cn, a.address <> b.address AS ca, a.bank <> b.bank AS cb, a.name <> b.name AS differ,
+    CASE WHEN a.key = b.key THEN 100.0::DOUBLE ELSE 200.0::DOUBLE * least(length(a.key), length(b.key)) / (length(a.key) + length(b.key)) END AS sim
+  FROM k a JOIN k b ON a.bin = b.bin AND a.i < b.i WHERE a.key = b.key OR a.own = b.own)
+SELECT flag_id, CASE WHEN cn THEN 'high' WHEN cb THEN 'critical' WHEN ca THEN 'medium' ELSE 'info' END AS severity,
+  concat_ws(',', CASE WHEN cn THEN 'bin' END, CASE WHEN ca THEN 'legal_address' END, CASE WHEN cb THEN 'bank_name' END, CASE WHEN NOT cn AND NOT ca AND NOT cb THEN 'entity_name' END) AS changed, round(sim, 6) AS name_similarity
+FROM p WHERE sim >= 88 AND (cn OR ca OR cb OR differ)
+"""
+
+
+def trap_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many near pairs of positions only technical traps exclude: every benchmark item once named hot and once cold."""
+    i = F.col("item_id")
+    twice = _table(spark, sf_dir, "benchmark").select("text", F.explode(F.array(2 * i, 2 * i + 1)).alias("item_id"))
+    rows = twice.select(
+        i.alias("row_idx"), F.concat(F.lit("D"), i).alias("document_id"), i.cast("string").alias("position_id"), F.lit("1").alias("page_or_sheet"), F.concat(F.when(i % 2 == 0, "Горячая ").otherwise("Холодная "), F.substring("text", 1, 40)).alias("work_description"),
+        F.lit("м").alias("unit"), F.lit("1").alias("quantity"), F.lit("1").alias("unit_price"), F.lit("").alias("norm_ref"))
+    return positions.web_pairs(rows)[1]
+
+
+TRAP_COUNTS_SQL = """
+WITH b AS (
+  SELECT item_id AS i, trim(regexp_replace(regexp_replace(lower(substr(trim(CASE WHEN item_id % 2 = 0 THEN 'Горячая ' ELSE 'Холодная ' END || substr(text, 1, 40)), 1, 500)), '[«»“”''"()\\[\\],.;:/\\\\_-]+', ' ', 'g'), '\\s+', ' ', 'g')) AS n FROM (SELECT text, 2 * item_id + unnest([0, 1]) AS item_id FROM benchmark)),
+w AS (SELECT i, list_filter(string_split(n, ' '), lambda x: length(x) > 1) AS w, ' ' || n || ' ' AS n FROM b),
+f AS (
+  SELECT i, 'w' AS k, unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda j: w[j] || '_' || w[j + 1]))) AS f FROM w
+  UNION ALL SELECT i, 'c', unnest(list_concat(list_transform(range(1, length(n) - 1), lambda j: substr(n, j, 3)), list_transform(range(1, length(n) - 2), lambda j: substr(n, j, 4)))) FROM w),
+c AS (SELECT i, k, f, count(*) AS c FROM f GROUP BY ALL),
+d AS (SELECT k, f, count(*) AS df FROM c GROUP BY ALL),
+v AS (SELECT c.i, c.k, c.f, (1 + ln(c.c)) * (ln(((SELECT count(*) FROM b) + 1)::DOUBLE / (d.df + 1)) + 1) AS a FROM c JOIN d ON c.k = d.k AND c.f = d.f),
+u AS (SELECT i, k, f, a / sqrt(sum(a * a) OVER (PARTITION BY i, k)) AS a FROM v),
+s AS (SELECT l.i AS l, r.i AS r, sum(CASE l.k WHEN 'w' THEN 0.58::DOUBLE ELSE 0.42::DOUBLE END * l.a * r.a) AS sim FROM u l JOIN u r ON l.k = r.k AND l.f = r.f AND l.i < r.i GROUP BY l.i, r.i)
+SELECT count(*) AS excluded_technical_traps FROM s WHERE round(sim, 12) >= 0.48::DOUBLE AND l % 2 <> r % 2
+"""
+
+
 def _sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as loose sheets, one a brand and type: a title, a header (not on sheets of type ECONOMY), the parts, a total."""
     part = _table(spark, sf_dir, "part")
@@ -345,12 +391,14 @@ WITH p AS (SELECT CAST(l_partkey AS VARCHAR) AS l, lead(CAST(l_partkey AS VARCHA
 SELECT l AS document_id FROM p WHERE r IS NOT NULL AND n IN (2, 3) UNION SELECT r FROM p WHERE r IS NOT NULL AND n IN (2, 3)
 """
 
-QUERIES = {f.__name__: f for f in (web_position_cases, explained_positions, ordered_positions, ordered_flags, imported_rows, import_reports, read_requisite_files, requisite_problems, position_problems, request_rows, refused_requests, response_bodies, items_with_state, decision_counts, web_decisions, refused_decisions, taxpayer_records, vector_scores, embedding_pairs, document_names)}
+QUERIES = {f.__name__: f for f in (web_position_cases, explained_positions, ordered_positions, ordered_flags, requisite_conflicts_by_name, trap_counts, imported_rows, import_reports, read_requisite_files, requisite_problems, position_problems, request_rows, refused_requests, response_bodies, items_with_state, decision_counts, web_decisions, refused_decisions, taxpayer_records, vector_scores, embedding_pairs, document_names)}
 ORACLES = {
     "web_position_cases": WEB_POSITION_SQL,
     "explained_positions": EXPLAINED_SQL,
     "ordered_positions": ORDERED_POSITIONS_SQL,
     "ordered_flags": ORDERED_FLAGS_SQL,
+    "requisite_conflicts_by_name": REQUISITE_BY_NAME_SQL,
+    "trap_counts": TRAP_COUNTS_SQL,
     "imported_rows": IMPORTED_SQL,
     "import_reports": REPORTS_SQL,
     "read_requisite_files": REQUISITE_FILES_SQL,
