@@ -8,7 +8,7 @@ from concordat.operators import backends, importer, positions, registry, requisi
 from concordat.operators.pages import Ordered
 from concordat.plans import queries as base
 from concordat.schemas import REQUISITE_COLUMNS
-from concordat.sources import requests, tables
+from concordat.sources import requests, tables, xlsx
 from concordat.stages import new_path
 
 
@@ -184,6 +184,32 @@ FROM part GROUP BY p_brand, p_type
 """
 
 
+def _part_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts in written workbooks, one for every 5,000 keys of a brand: sheets by type, texts, formatted numbers and dates."""
+    part = _table(spark, sf_dir, "part")
+    price = xlsx.cell(number=F.col("p_retailprice"), style=0)
+    cells = F.array(xlsx.cell(number=F.col("p_partkey")), xlsx.cell(text=F.concat("p_name", F.lit(" & "), F.lower("p_type"))), xlsx.cell(text=F.lit("м2")), xlsx.cell(number=F.col("p_size") / 8, style=1), price, xlsx.cell(number=F.col("p_size") + 45000, style=2))
+    keys = [F.concat_ws("-", "p_brand", F.floor(F.col("p_partkey") / 5000)).alias("book"), F.col("p_type").alias("sheet")]
+    rows = part.select(*keys, (F.col("p_partkey") + 1).alias("at"), cells.alias("cells"))
+    heads = part.select(*keys).distinct().select("book", "sheet", F.lit(-1).cast("long").alias("at"), F.array(*(xlsx.cell(text=F.lit(h)) for h in ("№ п/п", "Наименование работ", "Ед. изм.", "Кол-во", "Цена за единицу", "Обоснование"))).alias("cells"))
+    folder = new_path(spark, "part-books")
+    xlsx.write_workbooks(rows.unionByName(heads), folder, ("#,##0.00", "0.0##", "dd.mm.yyyy"))
+    return importer.read_sheets(spark, f"{folder}/*.xlsx")
+
+
+def imported_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of workbooks as their sheets show them."""
+    out = importer.import_sheets(_part_books(spark, sf_dir), "estimate")
+    return out.select("sheet", "document_id", "position_id", "page_or_sheet", "work_description", "unit", "quantity", "unit_price", "norm_ref")
+
+
+IMPORTED_WORKBOOKS_SQL = """
+SELECT p_type AS sheet, p_brand || '-' || (p_partkey // 5000) AS document_id, CAST(p_partkey AS VARCHAR) AS position_id, p_type AS page_or_sheet, p_name || ' & ' || lower(p_type) AS work_description, 'м2' AS unit,
+  regexp_replace(printf('%.3f', p_size / 8), '0{1,2}$', '') AS quantity, format('{:,.2f}', p_retailprice) AS unit_price, strftime(DATE '1899-12-30' + CAST(p_size + 45000 AS INTEGER), '%d.%m.%Y') AS norm_ref
+FROM part
+"""
+
+
 def _supplier_rows(spark: SparkSession, sf_dir: str, broken: bool) -> DataFrame:
     """Suppliers as requisites with quotes, line ends and a spare column; if ``broken``, every fifth has a short BIN, every seventh a long BIK, every eleventh an account with a sign in it."""
     s = _table(spark, sf_dir, "supplier")
@@ -391,7 +417,7 @@ WITH p AS (SELECT CAST(l_partkey AS VARCHAR) AS l, lead(CAST(l_partkey AS VARCHA
 SELECT l AS document_id FROM p WHERE r IS NOT NULL AND n IN (2, 3) UNION SELECT r FROM p WHERE r IS NOT NULL AND n IN (2, 3)
 """
 
-QUERIES = {f.__name__: f for f in (web_position_cases, explained_positions, ordered_positions, ordered_flags, requisite_conflicts_by_name, trap_counts, imported_rows, import_reports, read_requisite_files, requisite_problems, position_problems, request_rows, refused_requests, response_bodies, items_with_state, decision_counts, web_decisions, refused_decisions, taxpayer_records, vector_scores, embedding_pairs, document_names)}
+QUERIES = {f.__name__: f for f in (web_position_cases, explained_positions, ordered_positions, ordered_flags, requisite_conflicts_by_name, trap_counts, imported_rows, imported_workbooks, import_reports, read_requisite_files, requisite_problems, position_problems, request_rows, refused_requests, response_bodies, items_with_state, decision_counts, web_decisions, refused_decisions, taxpayer_records, vector_scores, embedding_pairs, document_names)}
 ORACLES = {
     "web_position_cases": WEB_POSITION_SQL,
     "explained_positions": EXPLAINED_SQL,
@@ -400,6 +426,7 @@ ORACLES = {
     "requisite_conflicts_by_name": REQUISITE_BY_NAME_SQL,
     "trap_counts": TRAP_COUNTS_SQL,
     "imported_rows": IMPORTED_SQL,
+    "imported_workbooks": IMPORTED_WORKBOOKS_SQL,
     "import_reports": REPORTS_SQL,
     "read_requisite_files": REQUISITE_FILES_SQL,
     "requisite_problems": REQUISITE_PROBLEMS_SQL,

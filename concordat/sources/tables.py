@@ -30,7 +30,7 @@ def read_raw(spark: SparkSession, path: str, name: str | None = None, ordinal: i
         raw = read_csv(spark, path)
         return raw.select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in raw.columns if c != "row_idx"), (F.lit(ordinal * FILE_ROWS) + F.col("row_idx")).alias("row_idx"))
     if suffix in (".xlsx", ".xlsm"):
-        cells = read_cells(spark, [path]).where("sheet_idx = 0").select("row_idx", "cells")
+        cells = read_cells(spark, [path], first=True).select("row_idx", "cells")
         header = cells.where("row_idx = 0").first()
         names = header["cells"] if header else []
         body = cells.where("row_idx > 0 AND exists(cells, c -> c <> '')")
