@@ -10,6 +10,7 @@ from concordat.plans import queries as base
 from concordat.schemas import REQUISITE_COLUMNS
 from concordat.sources import requests, tables, xlsx
 from concordat.stages import new_path
+from concordat.streaming import states
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -321,6 +322,16 @@ FROM customer LEFT JOIN a ON a.item_id = CAST(c_custkey AS VARCHAR)
 """
 
 
+def streamed_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """review_states, but the log is a folder of files that a stream takes in some batches, in no order."""
+    log, target = new_path(spark, "decision-log"), new_path(spark, "streamed-states")
+    base._log(spark, sf_dir).repartition(8, "id").write.parquet(log)
+    schema = spark.read.parquet(log).schema
+    decisions = spark.readStream.schema(schema).option("maxFilesPerTrigger", 3).parquet(log)
+    states.start_states(decisions, target, new_path(spark, "streamed-offsets"), available=True).awaitTermination()
+    return states.current_states(spark, target).select("item_id", "status", "label", "version", F.array_join("accepted_roles", ",").alias("accepted_roles"), "last_actor")
+
+
 def decision_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.history_counts(base._log(spark, sf_dir)).select("item_id", "decisions", "first_id", "last_id")
 
@@ -417,7 +428,7 @@ WITH p AS (SELECT CAST(l_partkey AS VARCHAR) AS l, lead(CAST(l_partkey AS VARCHA
 SELECT l AS document_id FROM p WHERE r IS NOT NULL AND n IN (2, 3) UNION SELECT r FROM p WHERE r IS NOT NULL AND n IN (2, 3)
 """
 
-QUERIES = {f.__name__: f for f in (web_position_cases, explained_positions, ordered_positions, ordered_flags, requisite_conflicts_by_name, trap_counts, imported_rows, imported_workbooks, import_reports, read_requisite_files, requisite_problems, position_problems, request_rows, refused_requests, response_bodies, items_with_state, decision_counts, web_decisions, refused_decisions, taxpayer_records, vector_scores, embedding_pairs, document_names)}
+QUERIES = {f.__name__: f for f in (web_position_cases, explained_positions, ordered_positions, ordered_flags, requisite_conflicts_by_name, trap_counts, imported_rows, imported_workbooks, import_reports, read_requisite_files, requisite_problems, position_problems, request_rows, refused_requests, response_bodies, items_with_state, streamed_states, decision_counts, web_decisions, refused_decisions, taxpayer_records, vector_scores, embedding_pairs, document_names)}
 ORACLES = {
     "web_position_cases": WEB_POSITION_SQL,
     "explained_positions": EXPLAINED_SQL,
@@ -435,6 +446,7 @@ ORACLES = {
     "refused_requests": REFUSED_SQL,
     "response_bodies": RESPONSE_SQL,
     "items_with_state": WITH_STATE_SQL,
+    "streamed_states": base.REVIEW_SQL,
     "decision_counts": COUNTS_SQL,
     "web_decisions": WEB_DECISIONS_SQL,
     "refused_decisions": REFUSED_DECISIONS_SQL,
