@@ -6,12 +6,15 @@ name or identifier is a skewed join key that adaptive execution splits.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from concordat.functions import numbers, similarity as sim, text as tx
 from concordat.schemas import REQUISITE_COLUMNS
 
 NAME_RATIO = 88.0
+CONTENT = ["entity_name", "_name", "_bin", "_address", "_bank", "_bik", "_account"]  # all that conflicts depend on
 # Labels of fields and endings of explanations.
 LABELS = {"bin": "БИН", "legal_address": "юридический адрес", "bank_name": "банк", "bik": "БИК", "account_number": "расчётный счёт", "entity_name": "написание наименования"}
 ENDINGS = {
@@ -48,11 +51,13 @@ def changed_fields() -> Column:
     return F.array_compact(F.array(*(F.when(F.col(f"left_{n}") != F.col(f"right_{n}"), F.lit(f)) for f, n in pairs)))
 
 
-def find_conflicts(requisites: DataFrame, include_info: bool = False) -> DataFrame:
-    """Classic profile: requisites (row_idx and the requisite columns) to flags."""
-    rows = requisites.withColumns({"_name": tx.normalize_name(F.col("entity_name")), "_bin": tx.normalize_compact(F.col("bin")), "_address": tx.normalize_words(F.col("legal_address")), "_bank": tx.normalize_words(F.col("bank_name")), "_bik": tx.normalize_compact(F.col("bik")), "_account": tx.normalize_compact(F.col("account_number"))})
-    keep = ["row_idx", "document_id", "entity_name", "_name", "_bin", "_address", "_bank", "_bik", "_account"]
-    pairs = _meeting(rows, [("_name", F.lit(True)), ("_bin", F.lit(True))], keep)
+def _normalised(requisites: DataFrame) -> DataFrame:
+    return requisites.withColumns({"_name": tx.normalize_name(F.col("entity_name")), "_bin": tx.normalize_compact(F.col("bin")), "_address": tx.normalize_words(F.col("legal_address")), "_bank": tx.normalize_words(F.col("bank_name")), "_bik": tx.normalize_compact(F.col("bik")), "_account": tx.normalize_compact(F.col("account_number"))})
+
+
+def _judged(rows: DataFrame, include_info: bool, more: list[str]) -> DataFrame:
+    """Pairs of normalised rows that disagree, with name_similarity, severity and changed_fields; ``more`` columns of either side go along."""
+    pairs = _meeting(rows, [("_name", F.lit(True)), ("_bin", F.lit(True))], ["row_idx", *more, *CONTENT])
     same_name = F.col("left__name") == F.col("right__name")
     pairs = _with_ratio(pairs, same_name).withColumn("changed", changed_fields())
     pairs = pairs.where(same_name | (F.round("name_similarity", 9) >= NAME_RATIO))
@@ -60,11 +65,50 @@ def find_conflicts(requisites: DataFrame, include_info: bool = False) -> DataFra
     info = none & (F.col("left_entity_name") != F.col("right_entity_name")) & F.lit(include_info)
     money = F.arrays_overlap("changed", F.array(F.lit("account_number"), F.lit("bank_name"), F.lit("bik")))
     severity = F.when(info, "info").when(none, None).when(F.array_contains("changed", "bin"), "high").when(money, "critical").when(F.array_contains("changed", "legal_address"), "medium").otherwise("high")
-    flags = pairs.withColumns({"severity": severity, "changed_fields": F.when(info, F.array(F.lit("entity_name"))).otherwise(F.col("changed"))}).where("severity IS NOT NULL")
-    flags = flags.select(F.concat("left_document_id", F.lit(" ↔ "), "right_document_id").alias("flag_id"), F.col("left_row_idx").alias("left_index"), F.col("right_row_idx").alias("right_index"), "left_document_id", "right_document_id", F.col("left_entity_name").alias("entity_name"), "name_similarity", "severity", "changed_fields")
+    return pairs.withColumns({"severity": severity, "changed_fields": F.when(info, F.array(F.lit("entity_name"))).otherwise(F.col("changed"))}).where("severity IS NOT NULL")
+
+
+def _flags(pairs: DataFrame) -> DataFrame:
+    flags = pairs.select(F.concat("left_document_id", F.lit(" ↔ "), "right_document_id").alias("flag_id"), F.col("left_row_idx").alias("left_index"), F.col("right_row_idx").alias("right_index"), "left_document_id", "right_document_id", F.col("left_entity_name").alias("entity_name"), "name_similarity", "severity", "changed_fields")
     return flags.withColumn("explanation", explain_flag(F.col("changed_fields"), F.col("severity")))
 
 
+def find_conflicts(requisites: DataFrame, include_info: bool = False) -> DataFrame:
+    """Classic profile: requisites (row_idx and the requisite columns) to flags."""
+    return _flags(_judged(_normalised(requisites), include_info, ["document_id"]))
+
+
+class Classes(NamedTuple):
+    """Conflicts between classes of records, and which records belong to them."""
+
+    pairs: DataFrame  # left_class, right_class, left_entity_name, right_entity_name, name_similarity, severity, changed_fields, flags
+    members: DataFrame  # class, row_idx, document_id, entity_name
+
+
+def conflict_classes(requisites: DataFrame, include_info: bool = False) -> Classes:
+    """The flags of :func:`find_conflicts` without writing out each: records that no rule tells apart are a class.
+
+    A class is the digest of the name and the normalised values, so membership needs neither a join nor a shuffle, and a
+    class of any size is counted before it is shuffled. Records of one class never disagree. ``flags`` is how many pairs
+    of records a pair of classes stands for; :func:`expanded` gives those of the pairs that are wanted. A name with n
+    records of k different contents takes k * (k - 1) / 2 rows at most, and n of membership.
+    """
+    rows = _normalised(requisites).withColumn("class", F.sha2(F.to_json(F.struct(*CONTENT)), 256))
+    classes = rows.groupBy(F.col("class").alias("row_idx")).agg(*(F.any_value(c).alias(c) for c in CONTENT), F.count("*").alias("members"))
+    judged = _judged(classes, include_info, ["members"])
+    pairs = judged.select(F.col("left_row_idx").alias("left_class"), F.col("right_row_idx").alias("right_class"), "left_entity_name", "right_entity_name", "name_similarity", "severity", "changed_fields", (F.col("left_members") * F.col("right_members")).alias("flags"))
+    return Classes(pairs, rows.select("class", "row_idx", "document_id", "entity_name"))
+
+
+def expanded(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """The flags that pairs of classes stand for, as :func:`find_conflicts` gives them; the record that comes first is the left one."""
+    one, other = (members.select(*(F.col(c).alias(f"{s}_{c}") for c in members.columns)) for s in ("one", "other"))
+    both = pairs.join(one, F.col("left_class") == F.col("one_class")).join(other, F.col("right_class") == F.col("other_class"))
+    first = F.col("one_row_idx") < F.col("other_row_idx")
+    sides = {f"{side}_{c}": F.when(first == (side == "left"), F.col(f"one_{c}")).otherwise(F.col(f"other_{c}")) for side in ("left", "right") for c in ("row_idx", "document_id", "entity_name")}
+    return _flags(both.drop("left_entity_name", "right_entity_name").withColumns(sides))
+
+
 def explain_flag(changed: Column, severity: Column) -> Column:
     labels = F.create_map(*(F.lit(x) for kv in LABELS.items() for x in kv))
     named = F.array_join(F.transform(changed, lambda f: F.coalesce(labels[f], f)), ", ")

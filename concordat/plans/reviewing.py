@@ -116,6 +116,26 @@ FROM p WHERE sim >= 88 AND (cn OR ca OR cb OR differ)
 """
 
 
+def requisite_conflict_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flags of requisite_conflicts as pairs of classes: of every two names how many pairs there are by what differs, and the flags they stand for."""
+    pairs = requisites.conflict_classes(base._records(spark, sf_dir), include_info=True).pairs
+    names = [f("left_entity_name", "right_entity_name").alias(n) for f, n in ((F.least, "one_name"), (F.greatest, "other_name"))]
+    return pairs.groupBy(*names, "severity", F.array_join("changed_fields", ",").alias("changed")).agg(F.count("*").alias("class_pairs"), F.sum("flags").alias("flags"))
+
+
+CONFLICT_CLASSES_SQL = f"""
+WITH {base.RECORDS_SQL},
+p AS (
+  SELECT a.name AS ln, b.name AS rn, a.address <> b.address AS ca, a.bank <> b.bank AS cb, least(a.name || '|' || a.address || '|' || a.bank, b.name || '|' || b.address || '|' || b.bank) AS lc, greatest(a.name || '|' || a.address || '|' || a.bank, b.name || '|' || b.address || '|' || b.bank) AS rc,
+    regexp_replace(lower(a.name), '[^0-9a-z]', '', 'g') AS lk, regexp_replace(lower(b.name), '[^0-9a-z]', '', 'g') AS rk
+  FROM r a JOIN r b ON a.bin = b.bin AND a.i < b.i),
+f AS (SELECT *, CASE WHEN cb THEN 'critical' WHEN ca THEN 'medium' WHEN ln <> rn THEN 'info' END AS severity,
+  concat_ws(',', CASE WHEN ca THEN 'legal_address' END, CASE WHEN cb THEN 'bank_name' END, CASE WHEN NOT ca AND NOT cb THEN 'entity_name' END) AS changed
+  FROM p WHERE lk = rk OR 200.0::DOUBLE * least(length(lk), length(rk)) / (length(lk) + length(rk)) >= 88)
+SELECT least(ln, rn) AS one_name, greatest(ln, rn) AS other_name, severity, changed, count(DISTINCT lc || '||' || rc) AS class_pairs, count(*) AS flags FROM f WHERE severity IS NOT NULL GROUP BY ALL
+"""
+
+
 def trap_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many near pairs of positions only technical traps exclude: every benchmark item once named hot and once cold."""
     i = F.col("item_id")
@@ -428,13 +448,14 @@ WITH p AS (SELECT CAST(l_partkey AS VARCHAR) AS l, lead(CAST(l_partkey AS VARCHA
 SELECT l AS document_id FROM p WHERE r IS NOT NULL AND n IN (2, 3) UNION SELECT r FROM p WHERE r IS NOT NULL AND n IN (2, 3)
 """
 
-QUERIES = {f.__name__: f for f in (web_position_cases, explained_positions, ordered_positions, ordered_flags, requisite_conflicts_by_name, trap_counts, imported_rows, imported_workbooks, import_reports, read_requisite_files, requisite_problems, position_problems, request_rows, refused_requests, response_bodies, items_with_state, streamed_states, decision_counts, web_decisions, refused_decisions, taxpayer_records, vector_scores, embedding_pairs, document_names)}
+QUERIES = {f.__name__: f for f in (web_position_cases, explained_positions, ordered_positions, ordered_flags, requisite_conflicts_by_name, requisite_conflict_classes, trap_counts, imported_rows, imported_workbooks, import_reports, read_requisite_files, requisite_problems, position_problems, request_rows, refused_requests, response_bodies, items_with_state, streamed_states, decision_counts, web_decisions, refused_decisions, taxpayer_records, vector_scores, embedding_pairs, document_names)}
 ORACLES = {
     "web_position_cases": WEB_POSITION_SQL,
     "explained_positions": EXPLAINED_SQL,
     "ordered_positions": ORDERED_POSITIONS_SQL,
     "ordered_flags": ORDERED_FLAGS_SQL,
     "requisite_conflicts_by_name": REQUISITE_BY_NAME_SQL,
+    "requisite_conflict_classes": CONFLICT_CLASSES_SQL,
     "trap_counts": TRAP_COUNTS_SQL,
     "imported_rows": IMPORTED_SQL,
     "imported_workbooks": IMPORTED_WORKBOOKS_SQL,
