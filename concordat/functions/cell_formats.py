@@ -53,6 +53,13 @@ def sections(code: str) -> list[tuple[tuple[str, float] | None, list[tuple[str,
     return out if len(out) == 1 or out[-1][1] or code.endswith(";") else out[:-1]
 
 
+@lru_cache(maxsize=4096)
+def fixed_point(code: str) -> tuple[Decimal, str] | None:
+    """For the plainest codes, the unit to round to and how Python writes that."""
+    found = re.fullmatch(r"(#,##)?0(?:\.(0+))?", code)
+    return (Decimal(1).scaleb(-len(found[2] or "")), ",f" if found[1] else "f") if found else None
+
+
 def is_date(code: str) -> bool:
     return sections(code)[0][2]
 
@@ -78,7 +85,12 @@ def moment(serial: float, since_1904: bool = False) -> datetime:
 
 def shown(v: float, code: str, since_1904: bool = False) -> str:
     """The text that a cell with this number and format shows."""
+    if fixed := fixed_point(code):
+        rounded = Decimal(repr(float(v))).quantize(fixed[0], ROUND_HALF_UP)
+        return format(rounded if rounded else abs(rounded), fixed[1])
     parts = sections(code)
+    if v == int(v) and abs(v) < 99999999999.5 and code == "General":
+        return str(int(v))
     numeric = parts[:3]
     at, minus = 0, v < 0
     if any(c for c, _, _ in numeric):

@@ -41,6 +41,7 @@ TASK = 32 << 20  # unpacked bytes that one task is meant to read
 ROWS, COLUMNS, BATCH = 1 << 20, 1 << 14, 4096
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+_C, _V, _T = f"{_MAIN}c", f"{_MAIN}v", f"{_MAIN}t"
 _TYPE = pa.schema([("file", pa.string()), ("sheet", pa.string()), ("sheet_idx", pa.int32()), ("row_idx", pa.int64()), ("cells", pa.list_(pa.string()))])
 
 
@@ -104,7 +105,9 @@ class Strings:
 
 def _text(item: ElementTree.Element | None) -> str:
     """A text and its formatted runs, without the phonetic ones."""
-    return "" if item is None else "".join(t.text or "" for t in (*item.findall(f"{_MAIN}t"), *item.findall(f"{_MAIN}r/{_MAIN}t")))
+    if item is None or (len(item) == 1 and item[0].tag == _T):
+        return "" if item is None else item[0].text or ""
+    return "".join(t.text or "" for t in (*item.findall(f"{_MAIN}t"), *item.findall(f"{_MAIN}r/{_MAIN}t")))
 
 
 def formats(z: zipfile.ZipFile) -> tuple[list[str], bool]:
@@ -131,7 +134,9 @@ class Book:
         for r in _elements(self.z, part, f"{_MAIN}row"):
             at = int(r.get("r")) - 1 if r.get("r") else at + 1
             cells: list[str] = []
-            for c in r.findall(f"{_MAIN}c"):
+            for c in r:
+                if c.tag != _C:
+                    continue
                 column = _column(c.get("r")) if c.get("r") else len(cells)
                 if column >= COLUMNS or at >= ROWS:
                     raise SchemaError(f"{part}: a cell outside the sheet, row {at + 1}, column {column + 1}")
@@ -144,7 +149,7 @@ class Book:
         kind = c.get("t") or "n"
         if kind == "inlineStr":
             return _text(c.find(f"{_MAIN}is"))
-        value = c.findtext(f"{_MAIN}v") or ""
+        value = next((v.text for v in c if v.tag == _V), None) or ""
         if not value or kind in ("str", "d"):
             return value
         if kind == "s":
