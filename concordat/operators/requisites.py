@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from concordat.functions import numbers, similarity as sim, text as tx
 from concordat.schemas import REQUISITE_COLUMNS
+from concordat.stages import written
 
 NAME_RATIO = 88.0
 CONTENT = ["entity_name", "_name", "_bin", "_address", "_bank", "_bik", "_account"]  # all that conflicts depend on
@@ -37,13 +38,27 @@ def _meeting(rows: DataFrame, keys: list[tuple[str, Column]], keep: list[str]) -
     return out
 
 
-def _with_ratio(pairs: DataFrame, same_name: Column) -> DataFrame:
-    """Adds name_similarity. Equal names and names of which one holds the other need no alignment and stay in the JVM."""
-    a, b = F.col("left__name"), F.col("right__name")
-    total = F.length(a) + F.length(b)
+def _near_names(rows: DataFrame) -> DataFrame:
+    """(bin, one, other, ratio), in both directions: the different names of an identifier that are similar enough, so a pair of names is aligned once and not once a pair of rows. Names of which one holds the other need no alignment and stay in the JVM."""
+    names = rows.select("_bin", "_name").distinct()
+    a, b = F.col("one"), F.col("other")
+    met = names.withColumnRenamed("_name", "one").join(names.withColumnRenamed("_name", "other"), "_bin").where(a < b)
     held = F.contains(a, b) | F.contains(b, a)
-    plain = F.when(same_name | (total == 0), F.lit(100.0)).otherwise(200.0 * F.least(F.length(a), F.length(b)) / total)
-    return pairs.where(held).withColumn("name_similarity", plain).unionByName(pairs.where(~held).withColumn("name_similarity", sim.ratio("left__name", "right__name")))
+    plain = 200.0 * F.least(F.length(a), F.length(b)) / (F.length(a) + F.length(b))
+    aligned = met.withColumn("ratio", F.when(held, plain).otherwise(sim.ratio(F.when(~held, a), F.when(~held, b))))
+    near = aligned.where(F.round("ratio", 9) >= NAME_RATIO)
+    both = F.explode(F.array(F.struct("one", "other"), F.struct(b.alias("one"), a.alias("other"))))
+    return near.select(F.col("_bin").alias("bin"), "ratio", both.alias("n")).select("bin", "n.one", "n.other", "ratio")
+
+
+def _met(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """Pairs of one name, and those of one identifier whose names are near, each once, with name_similarity; ``rows`` are written."""
+    left, right = (rows.select(*(F.col(c).alias(f"{s}_{c}") for c in keep)) for s in ("left", "right"))
+    in_line = F.expr("left_row_idx < right_row_idx")
+    by_name = left.join(right, F.expr("left__name = right__name") & in_line).withColumn("name_similarity", F.lit(100.0))
+    near = left.join(_near_names(rows), F.expr("left__bin = bin AND left__name = one"))
+    by_bin = near.join(right, F.expr("bin = right__bin AND other = right__name") & in_line).withColumnRenamed("ratio", "name_similarity")
+    return by_name.unionByName(by_bin.drop("bin", "one", "other"))
 
 
 def changed_fields() -> Column:
@@ -57,10 +72,8 @@ def _normalised(requisites: DataFrame) -> DataFrame:
 
 def _judged(rows: DataFrame, include_info: bool, more: list[str]) -> DataFrame:
     """Pairs of normalised rows that disagree, with name_similarity, severity and changed_fields; ``more`` columns of either side go along."""
-    pairs = _meeting(rows, [("_name", F.lit(True)), ("_bin", F.lit(True))], ["row_idx", *more, *CONTENT])
-    same_name = F.col("left__name") == F.col("right__name")
-    pairs = _with_ratio(pairs, same_name).withColumn("changed", changed_fields())
-    pairs = pairs.where(same_name | (F.round("name_similarity", 9) >= NAME_RATIO))
+    keep = ["row_idx", *more, *CONTENT]
+    pairs = _met(written(rows.select(*keep), "normalised-requisites"), keep).withColumn("changed", changed_fields())
     none = F.size("changed") == 0
     info = none & (F.col("left_entity_name") != F.col("right_entity_name")) & F.lit(include_info)
     money = F.arrays_overlap("changed", F.array(F.lit("account_number"), F.lit("bank_name"), F.lit("bik")))
@@ -128,13 +141,14 @@ def order() -> list[Column]:
 def web_cases(requisites: DataFrame) -> DataFrame:
     """Web profile: requisites to review cases, with left_index and right_index for their order."""
     norm = {f"n_{c}": tx.normalize(F.col(c)) for c in ("entity_name", "legal_address", "bank_name", "bik", "account_number")}
-    rows = requisites.withColumns(norm | {"t_bin": tx.text(F.col("bin"))})
-    keep = [*REQUISITE_COLUMNS, "row_idx", *norm, "t_bin"]
+    rows = requisites.withColumns(norm | {"t_bin": tx.text(F.col("bin")), "tokens": sim.name_tokens(F.col("entity_name"))})
+    keep = [*REQUISITE_COLUMNS, "row_idx", *norm, "t_bin", "tokens"]
+    rows = written(rows.select(*keep), "normalised-web-requisites")  # a row is normalised once, not once a pair
     pairs = _meeting(rows, [("n_entity_name", F.lit(True)), ("t_bin", F.col("left_t_bin") != "")], keep)
     differ = lambda c: F.col(f"left_{c}") != F.col(f"right_{c}")
     bank = differ("n_bank_name") | differ("n_bik") | differ("n_account_number")
     same_name = ~differ("n_entity_name")
-    pairs = pairs.withColumns({"same_bin": (F.col("left_t_bin") != "") & ~differ("t_bin"), "bank": bank, "bin_conflict": same_name & differ("t_bin"), "address": differ("n_legal_address"), "similarity": F.when(same_name, F.lit(1.0)).otherwise(sim.name_similarity(F.col("left_entity_name"), F.col("right_entity_name")))})
+    pairs = pairs.withColumns({"same_bin": (F.col("left_t_bin") != "") & ~differ("t_bin"), "bank": bank, "bin_conflict": same_name & differ("t_bin"), "address": differ("n_legal_address"), "similarity": F.when(same_name, F.lit(1.0)).otherwise(sim.token_similarity(F.col("left_tokens"), F.col("right_tokens")))})
     variation = F.col("same_bin") & ~same_name & (F.col("similarity") >= 0.45)
     pairs = pairs.where(F.col("bank") | F.col("bin_conflict") | F.col("address") | variation)
     # What cases and panels say, here to the end.

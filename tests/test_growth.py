@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
+from concordat.functions import text
+from concordat.operators import requisites
 from concordat.plans import queries
 
 
@@ -21,3 +24,28 @@ def test_character_features_are_made_once_a_name(spark, folder):
     assert "Aggregate [p_name" in plan.split("Generate")[-1]
     counts = {(r["profile"], r["feature"]): r["parts"] for r in found.collect()}
     assert counts["web", "pump"] == counts["classic", "pump"] == 200 and counts["web", "door"] == 100
+
+
+def _records(spark):
+    names = ["Alpha Trading LLP", "Alpha Tradinq LLP", "Alpha Trading LLP", "Beta"]
+    rows = [(i, f"D{i}", "1", n, "1", "street", f"bank {i % 2}", "", "") for i, n in enumerate(names)]
+    return spark.createDataFrame(rows, "row_idx long, document_id string, page_or_sheet string, entity_name string, bin string, legal_address string, bank_name string, bik string, account_number string")
+
+
+def test_web_names_are_normalised_before_they_are_paired(spark):
+    cases = requisites.web_cases(_records(spark)).select("subtitle", "severity")
+    assert "llp" not in cases._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in cases.collect()} == {("D0 ↔ D1", "critical"), ("D0 ↔ D3", "critical"), ("D1 ↔ D2", "critical"), ("D2 ↔ D3", "critical")}
+
+
+def test_names_are_aligned_once_a_pair_of_names(spark):
+    flags = requisites.find_conflicts(_records(spark)).select("flag_id", "name_similarity")
+    assert "Aggregate [_bin" in flags._jdf.queryExecution().optimizedPlan().toString()
+    found = {r["flag_id"]: r["name_similarity"] for r in flags.collect()}
+    assert found == pytest.approx({"D0 ↔ D1": 200 * 14 / 30, "D1 ↔ D2": 200 * 14 / 30})  # 15 letters, one of them different
+
+
+def test_a_text_is_normalised_once_for_all_its_grams(spark):
+    df = spark.createDataFrame([("Red-Pump",)], "s string").select(text.grams(text.normalize(F.col("s"))).alias("g"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+    assert df.first()["g"][:2] == [" re", "red"]
