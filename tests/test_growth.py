@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,3 +51,10 @@ def test_a_text_is_normalised_once_for_all_its_grams(spark):
     df = spark.createDataFrame([("Red-Pump",)], "s string").select(text.grams(text.normalize(F.col("s"))).alias("g"))
     assert df._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
     assert df.first()["g"][:2] == [" re", "red"]
+
+
+def test_documents_are_folded_once_for_all_three_rules(spark, tmp_path):
+    spark.createDataFrame([(1, "Ёлка-1 ООО ТОО", "ru", "web")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.text_normalized(spark, str(tmp_path))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+    assert found.first()["words"] == md5("елка 1 ооо тоо".encode()).hexdigest()
