@@ -14,8 +14,9 @@ from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
-from concordat.stages import new_path
+from concordat.stages import new_path, written
 
+RANGE = 1 << 20  # rows of a range, which a task sorts
 PLACE = (1 << 33) - 1  # monotonically_increasing_id: the partition above, the place in it below
 
 
@@ -25,7 +26,8 @@ class Ordered:
     def __init__(self, df: DataFrame, *by: Column | str, ranges: int | None = None) -> None:
         self._spark = df.sparkSession
         self.path = new_path(self._spark, "ordered")
-        dealt = df.repartitionByRange(ranges, *by) if ranges else df.repartitionByRange(*by)
+        df = written(df, "unordered")  # the bounds of the ranges take a pass of their own
+        dealt = df.repartitionByRange(ranges or max(self._spark.sparkContext.defaultParallelism, -(-df.count() // RANGE)), *by)
         placed = dealt.sortWithinPartitions(*by).withColumns({"_range": F.spark_partition_id(), "_place": F.monotonically_increasing_id().bitwiseAND(PLACE)})
         placed.write.partitionBy("_range").option("compression", "zstd").parquet(self.path)
         self._schema = placed.schema

@@ -7,8 +7,8 @@ from hashlib import md5
 import pytest
 from pyspark.sql import functions as F
 
-from concordat.functions import text
-from concordat.operators import requisites
+from concordat.functions import numbers, text
+from concordat.operators import pages, positions, requisites
 from concordat.plans import queries
 
 
@@ -58,3 +58,34 @@ def test_documents_are_folded_once_for_all_three_rules(spark, tmp_path):
     found = queries.text_normalized(spark, str(tmp_path))
     assert found._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
     assert found.first()["words"] == md5("елка 1 ооо тоо".encode()).hexdigest()
+
+
+def _positions(spark):
+    """Forty copies of one text and three of another like it, in two blocks, one of them null."""
+    rows = [(i, f"D{i % 3}", str(i), "1", "red steel pump" if i % 14 else "red steel pumps", "m", 1.0 + i % 4, 10.0, "", None if i % 2 else "x") for i in range(43)]
+    return spark.createDataFrame(rows, "row_idx long, document_id string, position_id string, page_or_sheet string, work_description string, unit string, quantity double, unit_price double, norm_ref string, kind string")
+
+
+@pytest.mark.parametrize("meetings", [1 << 21, 50])
+def test_pairs_of_a_hot_text_are_divided_among_tasks(spark, monkeypatch, meetings):
+    monkeypatch.setattr(positions, "MEETINGS", meetings)
+    pairs = positions.find_pairs(_positions(spark), block=("kind",)).select("left_index", "right_index")
+    made = pairs.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    assert {tuple(r) for r in pairs.collect()} == {(i, j) for i in range(43) for j in range(i + 1, 43) if (j - i) % 2 == 0} and pairs.count() == 22 * 21 // 2 + 21 * 20 // 2
+    if meetings == 50:
+        assert len(made) > 8 and max(r["count"] for r in made) < 0.3 * pairs.count()
+
+
+def test_an_order_has_ranges_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(pages, "RANGE", 50)
+    ordered = pages.Ordered(spark.range(2000).select(F.pmod(F.col("id") * 7919, F.lit(2000)).alias("k")), "k")
+    assert max(b - a for a, b in zip(ordered._ranges[1], ordered._ranges[1][1:])) < 200
+    assert all(r["ordinal"] == r["k"] for r in ordered.rows().collect()) and len(ordered) == 2000
+
+
+def test_cheap_roundings_are_the_plain_ones(spark):
+    values = [0.0, 0.005, 0.05, 0.25, 0.125, 6.25, 12.35, 43.75, 99.95, 99.994999, 1e7, -1.25, 1e-9, float("nan"), float("inf"), None, *(i / 48 * 100 for i in range(49)), *(i / 7 for i in range(40))]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    x = F.col("x")
+    checks = [numbers.fixed(x, n).eqNullSafe(F.when(x.isNotNull(), F.format_string(f"%.{n}f", x))) for n in (1, 2)] + [numbers.rounded(x, n).eqNullSafe(F.round(x, n)) for n in (2, 6)]
+    assert [r["x"] for r in df.where(~(checks[0] & checks[1] & checks[2] & checks[3])).collect()] == []
