@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from concordat.functions import numbers, text
-from concordat.operators import pages, positions, requisites
+from concordat.operators import importer, pages, positions, requisites
 from concordat.plans import queries
 
 
@@ -89,3 +89,16 @@ def test_cheap_roundings_are_the_plain_ones(spark):
     x = F.col("x")
     checks = [numbers.fixed(x, n).eqNullSafe(F.when(x.isNotNull(), F.format_string(f"%.{n}f", x))) for n in (1, 2)] + [numbers.rounded(x, n).eqNullSafe(F.round(x, n)) for n in (2, 6)]
     assert [r["x"] for r in df.where(~(checks[0] & checks[1] & checks[2] & checks[3])).collect()] == []
+
+
+def test_headers_are_looked_for_without_reading_the_spellings_anew(monkeypatch):
+    calls = []
+    plain = importer.plain_header
+    monkeypatch.setattr(importer, "plain_header", lambda c: calls.append(c) or plain(c))
+    cells = ["№ п/п", "Наименование работ (полное)", "Ед. изм.", "Кол-во", "Цена за единицу", "Обоснование", "", "17,5", "красный насос"]
+    assert importer.assign(cells, "estimate")[1] == {"position_id": 0, "work_description": 1, "unit": 2, "quantity": 3, "unit_price": 4, "norm_ref": 5}
+    assert len(calls) == len(cells)
+    every = [(f, c) for f in importer.ALIASES for c in (*importer.ALIASES[f], "17,5", "цен", "x " + importer.ALIASES[f][0])]
+    for field, c in every:  # what is skipped has no score
+        own = plain(c)
+        assert (own in importer._HELD or importer._HOLDS.search(own) is not None) or importer.header_score(c, field) == 0
