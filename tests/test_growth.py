@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from hashlib import md5
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from concordat.functions import numbers, text
-from concordat.operators import importer, pages, positions, requisites
+from concordat.operators import importer, pages, positions, requisites, vectors
 from concordat.plans import queries
+from concordat.stages import written
 
 
 @pytest.fixture
@@ -102,3 +104,26 @@ def test_headers_are_looked_for_without_reading_the_spellings_anew(monkeypatch):
     for field, c in every:  # what is skipped has no score
         own = plain(c)
         assert (own in importer._HELD or importer._HOLDS.search(own) is not None) or importer.header_score(c, field) == 0
+
+
+@pytest.mark.parametrize("rows", [60, 240])
+def test_vectors_without_structure_are_sent_to_a_bounded_number_of_tasks(spark, monkeypatch, rows):
+    monkeypatch.setattr(vectors, "BLOCK", 8)
+    monkeypatch.setattr(vectors, "MOST", 4)
+    monkeypatch.setattr(vectors, "TILE", 16)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # a block comes in several batches
+    try:
+        v = np.random.default_rng(rows).normal(size=(rows, 6)).round(3)
+        named = written(vectors.classes(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vector array<double>")), "t")
+        sent = []
+        meeting = vectors._meeting
+        monkeypatch.setattr(vectors, "_meeting", lambda blocked, meet, *rest: sent.append((blocked.groupBy("block").count().collect(), meet)) or meeting(blocked, meet, *rest))
+        got = {(r["l"], r["r"]) for r in vectors.similar_pairs(named, 0.4).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    assert got == {(i, j) for i, j in zip(*np.nonzero(np.round(unit @ unit.T, 12) >= 0.4)) if i < j}
+    blocks, meet = sent[0]
+    size = {r["block"]: r["count"] for r in blocks}
+    assert len(size) == 4 and max(size.values()) < 2 * rows / 4
+    assert sum(size[i] + size[j] for _, i, j in meet) <= 5 * rows
