@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from concordat.functions.text import once
 from concordat.schemas import COLUMNS
 
 LEAST_ROWS, MOST_ROWS, MOST_BYTES = 2, 500, 2_000_000
@@ -15,14 +16,18 @@ def read_requests(bodies: DataFrame, kind: str, key: str = "request", body: str
     A body is refused if it is too long, holds no array of rows, too few or too many, or a row without one of the columns.
     """
     columns = COLUMNS[kind]
+    parsed = F.from_json(F.get_json_object(body, "$.rows"), "array<map<string,string>>")
     size = F.octet_length(F.coalesce(F.col(body), F.lit("")))
-    read = bodies.select(F.col(key), size.alias("size"), F.from_json(F.get_json_object(body, "$.rows"), "array<map<string,string>>").alias("rows"))
-    lacking = F.exists("rows", lambda r: r.isNull() | F.exists(F.array(*(F.lit(c) for c in columns)), lambda c: ~F.array_contains(F.map_keys(r), c)))
-    problem = F.when(F.col("size") > MOST_BYTES, "too_long").when(F.col("rows").isNull() | ~F.size("rows").between(LEAST_ROWS, MOST_ROWS), "row_count").when(lacking, "missing_fields")
-    checked = read.withColumn("problem", problem)
-    rows = checked.where("problem IS NULL").select(key, F.posexplode("rows").alias("row_idx", "r"))
+    missing = lambda r: F.size(F.array_intersect(F.map_keys(r), F.array(*(F.lit(c) for c in columns)))) < len(columns)
+    lacking = lambda rows: F.exists(rows, lambda r: r.isNull() | missing(r))
+    judged = lambda rows: F.when(size > MOST_BYTES, "too_long").when(rows.isNull() | ~F.size(rows).between(LEAST_ROWS, MOST_ROWS), "row_count").when(lacking(rows), "missing_fields")
+    # A body is parsed once: what is named by a lambda isn't computed anew where it is named again.
+    found = once(parsed, judged)
+    checked = bodies.select(F.col(key), once(parsed, lambda rows: F.struct(rows.alias("rows"), judged(rows).alias("problem"))).alias("c"))
+    rows = checked.select(key, F.posexplode(F.when(F.col("c.problem").isNull(), F.col("c.rows"))).alias("row_idx", "r"))
     rows = rows.select(key, F.col("row_idx").cast("long").alias("row_idx"), *(F.coalesce(F.col("r")[c], F.lit("")).alias(c) for c in columns))
-    return rows, checked.where("problem IS NOT NULL").select(key, "problem")
+    refused = bodies.select(F.col(key), F.explode(F.filter(F.array(found), lambda p: p.isNotNull())).alias("problem"))  # a generator, as a filter would judge twice
+    return rows, refused
 
 
 def as_responses(results: DataFrame, key: str, order: str, fields: list[str], name: str = "cases") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from concordat.functions import numbers, text
 from concordat.operators import importer, pages, positions, requisites, vectors
 from concordat.plans import queries
+from concordat.sources import requests
 from concordat.stages import written
 
 
@@ -127,3 +128,10 @@ def test_vectors_without_structure_are_sent_to_a_bounded_number_of_tasks(spark,
     size = {r["block"]: r["count"] for r in blocks}
     assert len(size) == 4 and max(size.values()) < 2 * rows / 4
     assert sum(size[i] + size[j] for _, i, j in meet) <= 5 * rows
+
+
+def test_a_request_is_parsed_once(spark):
+    bodies = spark.createDataFrame([(1, '{"rows": []}'), (2, None)], "request long, body string")
+    rows, refused = requests.read_requests(bodies, "estimate")
+    assert [d._jdf.queryExecution().optimizedPlan().toString().count("from_json") for d in (rows, refused)] == [1, 1]
+    assert rows.collect() == [] and {tuple(r) for r in refused.collect()} == {(1, "row_count"), (2, "row_count")}
