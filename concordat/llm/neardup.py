@@ -3,7 +3,9 @@
 A document's set is the hashes (64 bits) of its distinct word shingles; its sketch the ``K`` smallest of them. Documents
 with equal sets are one class from then on, however many copies there are. Inverted lists of the retained values
 generate overlaps: values are ordered rarest first, and two sketches that overlap in ``t`` values share one of their
-first ``K - t + 1``, so only those enter the lists and common values never do for documents that hold rarer ones.
+first ``K - t + 1``, so only those enter the lists and common values never do for documents that hold rarer ones. A
+value counts for a document only if another one that holds it has a set of a size that can be similar; by chance shared
+values of texts of other lengths, which grow faster than the corpus, name no list.
 ``t`` is exact while sketches hold whole sets; beyond, similar documents overlap in fewer than ``LEAST`` of 64 values with
 a chance of up to 4.3e-6 at a similarity of 0.8, if one set is inside the other.
 
@@ -14,7 +16,7 @@ A turn has two steps (:func:`matched`). The first moves sketches: where the sket
 similarity with a partner of another component ``SLACK`` below the threshold or more, the document is out; it says which
 documents have partners left, not which pairs. The second moves the full sets of those documents only, decides exactly,
 and emits the links that join components. Both deal a list in blocks of bounded size, so that a list that holds a third
-of all documents is many tasks and no task holds it whole.
+of all documents is many tasks and no task holds it whole; a document on both sides of a block is moved there once.
 
 Words are split at ASCII white space, A-Z are lowered. A text with fewer words than a shingle is one shingle; without
 words (or null) it is empty and linked with nothing. Repeated rows of one doc_id are judged by the smallest of their sets
@@ -26,6 +28,7 @@ of 2^62 or more that a hash of the text gives (:func:`numbered`), so that smalle
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -38,6 +41,7 @@ from concordat.llm.components import connected
 from concordat.llm.hashing import BYTE, mix, powers, prefix
 
 K, LEAST, SLACK = 64, 36, 0.2
+BANDS = 15
 #: Rows of sketches, and shingles of full sets, on either side of a block.
 SKETCH_BLOCK, SET_BLOCK = (512, 1024), (1 << 16, 1 << 17)
 SKETCHES = "doc_id long, n long, hi long, lo long, sketch array<long>"
@@ -109,13 +113,21 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return found.groupBy("rep").agg(F.first("payload").alias("payload"))  # repeated rows
 
 
+def _band(percent: int) -> Column:
+    """Which of ``BANDS`` rings of sizes n is in; sizes that can be similar are in one band or in neighbours, as bands are a little wider than need be."""
+    return F.pmod(F.floor(F.ln("n") / (math.log(100 / percent) + 0.01)), F.lit(BANDS)).cast("int")
+
+
 def inverted(reps: DataFrame, percent: int) -> DataFrame:
     """(list, rep, n): the lists, named by their value, that similar documents meet in."""
     values = reps.select("rep", "n", F.explode("sketch").alias("list"))
-    shared = values.groupBy("list").agg(F.count("*").alias("df")).where("df > 1")
-    held = values.join(shared, "list").groupBy("rep").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "list"))).alias("rare"))
+    sizes = F.try_sum(F.expr("shiftleft(1L, 4 * band)"))  # four bits a band: right for up to 15 documents, looked at for no more
+    shared = values.withColumn("band", _band(percent)).groupBy("list").agg(F.count("*").alias("df"), sizes.alias("sizes")).where("df > 1")
+    near = " + ".join(f"(shiftright(sizes, 4 * pmod(band + {d}, {BANDS})) & 15)" for d in (-1, 0, 1))
+    met = values.join(shared, "list").withColumn("band", _band(percent)).where(f"df > 15 or {near} > 1")
+    held = met.groupBy("rep").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "list"))).alias("rare"))
     t = F.when(F.col("n") * 100 <= K * percent, F.ceil(F.col("n") * percent / 100)).otherwise(LEAST)
-    length = (F.size("rare") - t + 1).cast("int")  # values that no one else holds come first and take up the rest
+    length = (F.size("rare") - t + 1).cast("int")  # values that no similar one can hold come first and take up the rest
     kept = held.where(length > 0).select("rep", "n", F.explode(F.slice("rare", 1, length)).alias("r"))
     return kept.select(F.col("r.list").alias("list"), "rep", "n")
 
@@ -126,21 +138,27 @@ def _near(a: str, b: str, percent: int) -> Column:
 
 def dealt(rows: DataFrame, weight: Column, block: tuple[int, int]) -> DataFrame:
     """A row for every group ``g`` it belongs to: a block of the left and a block of the right rows of a list, each of about that weight."""
-    side = lambda left: F.sum(F.when(F.col("left") == F.lit(left), weight).otherwise(0))
-    total = rows.groupBy("list").agg(F.ceil(side(True) / block[0]).alias("lb"), F.ceil(side(False) / block[1]).alias("rb"))
+    side = lambda name: F.sum(F.when(F.col(name), weight).otherwise(0))
+    total = rows.groupBy("list").agg(F.ceil(side("left") / block[0]).alias("lb"), F.ceil(side("right") / block[1]).alias("rb"))
     split = written(total.where("lb > 1 or rb > 1"), "blocks")
-    left = F.col("left")
-    rows = rows.join(split, "list", "left").withColumns({"lb": F.coalesce("lb", F.lit(1)), "rb": F.coalesce("rb", F.lit(1))})
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.when(left, F.col("lb")).otherwise(F.col("rb"))))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(left, F.col("rb")).otherwise(F.col("lb")) - 1)))
-    return rows.withColumn("g", F.xxhash64("list", F.when(left, F.col("own")).otherwise(F.col("other")), F.when(left, F.col("other")).otherwise(F.col("own")))).drop("lb", "rb", "own", "other")
+    blocks = {c: F.greatest(F.coalesce(c, F.lit(1)), F.lit(1)).cast("long") for c in ("lb", "rb")}
+    rows = rows.join(split, "list", "left").withColumns(blocks)
+    rows = rows.withColumns({"l": F.pmod(F.xxhash64("rep"), "lb"), "r": F.pmod(F.xxhash64("rep"), "rb")})
+    cell = lambda l, r: F.struct(l.alias("l"), r.alias("r"))  # noqa: E731, E741
+    none = F.array().cast("array<struct<l: bigint, r: bigint>>")
+    as_left = F.when(F.col("left"), F.transform(F.sequence(F.lit(0).cast("long"), F.col("rb") - 1), lambda r: cell(F.col("l"), r))).otherwise(none)
+    as_right = F.when(F.col("right"), F.transform(F.sequence(F.lit(0).cast("long"), F.col("lb") - 1), lambda l: cell(l, F.col("r")))).otherwise(none)  # noqa: E741
+    as_right = F.filter(as_right, lambda x: ~F.col("left") | (x["l"] != F.col("l")))  # the cell of its own left block is there already
+    rows = rows.withColumn("cell", F.explode(F.concat(as_left, as_right)))
+    sides = {"left": F.col("left") & (F.col("cell.l") == F.col("l")), "right": F.col("right") & (F.col("cell.r") == F.col("r"))}
+    return rows.withColumns(sides | {"g": F.xxhash64("list", "cell.l", "cell.r")}).drop("lb", "rb", "l", "r", "cell")
 
 
 class Side:
     """One side of a group: ids, set sizes, components, and the payloads laid end to end."""
 
     def __init__(self, group: list[pa.RecordBatch], left: bool) -> None:
-        parts = [b.filter(b.column("left") if left else pa.compute.invert(b.column("left"))) for b in group]
+        parts = [b.filter(b.column("left" if left else "right")) for b in group]
         parts = [p for p in parts if p.num_rows]
         self.rep, self.n, self.component, self.list = (np.concatenate([p.column(c).to_numpy() for p in parts] or [np.empty(0, np.int64)]) for c in ("rep", "n", "component", "list"))
         self.size = np.concatenate([pa.compute.list_value_length(p.column("payload")).to_numpy() for p in parts] or [np.empty(0, np.int64)]).astype(np.int64)
@@ -228,12 +246,13 @@ def _by_group(rows: DataFrame, kernel: Callable, percent: int, names: list[str],
 
 
 def matched(rows: DataFrame, reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b): links between left and right rows (list, left, rep, n, component) of the same list, enough to join all similar ones."""
+    """(a, b): links between left and right rows (list, left, right, rep, n, component) of the same list, enough to join all similar ones."""
     rows = written(rows, "rows")
-    columns = ["g", "list", "left", "rep", "n", "component", "payload"]
+    columns = ["g", "list", "left", "right", "rep", "n", "component", "payload"]
     sketched = dealt(rows, F.lit(1), SKETCH_BLOCK).join(reps.select("rep", F.col("sketch").alias("payload")), "rep").select(*columns)
-    left = _by_group(sketched, estimated, percent, ["list", "rep", "left"], "list long, rep long, left boolean")
-    sound = written(left.distinct().join(rows, ["list", "rep", "left"]), "estimated")
+    kept = _by_group(sketched, estimated, percent, ["list", "rep", "left"], "list long, rep long, left boolean")
+    kept = kept.groupBy("list", "rep").agg(F.bool_or("left").alias("left"), F.bool_or(~F.col("left")).alias("right"))
+    sound = written(kept.join(rows.drop("left", "right"), ["list", "rep"]), "estimated")
     wanted = written(sound.select("rep").distinct().join(reps.select("rep", "hi", "lo"), "rep"), "wanted")
     full = dealt(sound, F.col("n"), SET_BLOCK).join(full_sets(docs, wanted, words), "rep").select(*columns)
     links = written(_by_group(full, linking, percent, ["a", "b"], "a long, b long").distinct(), "links")
@@ -249,8 +268,8 @@ def by_leaders(now: DataFrame, turn: int, percent: int) -> DataFrame:
     pairs = now.join(leaders, "list").where((F.col("component") != F.col("l_component")) & _near("n", "l_n", percent))
     chosen = pairs.groupBy("rep", "n", "component").agg(F.max_by(F.struct("l_rep", "l_n", "l_component"), F.struct("size", "list")).alias("l"))
     chosen = written(chosen.select("rep", "n", "component", "l.*"), "leaders")
-    members = chosen.select(F.col("l_rep").alias("list"), F.lit(False).alias("left"), "rep", "n", "component")
-    return members.unionByName(chosen.select(F.col("l_rep").alias("list"), F.lit(True).alias("left"), F.col("l_rep").alias("rep"), F.col("l_n").alias("n"), F.col("l_component").alias("component")).distinct())
+    members = chosen.select(F.col("l_rep").alias("list"), F.lit(False).alias("left"), F.lit(True).alias("right"), "rep", "n", "component")
+    return members.unionByName(chosen.select(F.col("l_rep").alias("list"), F.lit(True).alias("left"), F.lit(False).alias("right"), F.col("l_rep").alias("rep"), F.col("l_n").alias("n"), F.col("l_component").alias("component")).distinct())
 
 
 def by_lists(now: DataFrame) -> DataFrame:
@@ -262,18 +281,18 @@ def by_lists(now: DataFrame) -> DataFrame:
     whole = sizes.groupBy("list").agg(F.count("*").alias("components"), F.sum("size").alias("all"), F.max_by("component", F.struct("size", "component")).alias("main"), F.sum("sign").alias("sign"))
     mixed = whole.where("components > 1").groupBy("all", "sign").agg(F.min(F.struct("list", "main")).alias("v")).select("v.list", "v.main")
     held = now.join(written(mixed, "mixed-lists"), "list")
-    sides = F.when(F.col("component") == F.col("main"), F.array(F.lit(False))).otherwise(F.array(F.lit(True), F.lit(False)))
-    return held.select("list", F.explode(sides).alias("left"), "rep", "n", "component")
+    return held.select("list", (F.col("component") != F.col("main")).alias("left"), F.lit(True).alias("right"), "rep", "n", "component")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rounds: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): components of 100 * intersection >= percent * union."""
     docs = keyed_text(docs, key, text).withColumn("doc_id", numbered())
     sets = written(sketches(docs, words), "sketches")
-    one = sets.groupBy("doc_id").agg(F.min(F.struct("hi", "lo", "n")).alias("s")).select("doc_id", "s.*")
+    one = written(sets.groupBy("doc_id").agg(F.min(F.struct("hi", "lo", "n")).alias("s")).select("doc_id", "s.*"), "names")
     classes = written(one.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep")), "classes")
     by_set = sets.where("n > 0").groupBy("hi", "lo", "n").agg(F.first("sketch").alias("sketch"))
     reps = written(by_set.join(classes, ["hi", "lo", "n"]).select("rep", "n", "hi", "lo", "sketch"), "sketches-of-classes")
+    discard(sets)
     lists = written(inverted(reps, percent), "lists")
     found, labels = None, None
     for turn in range(rounds + 1):

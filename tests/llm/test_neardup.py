@@ -66,3 +66,34 @@ def test_five_words_without_leader_rounds(spark):
 
 def test_empty(spark):
     assert run(spark, [], 2) == set()
+
+
+def test_sizes_at_the_threshold(spark):
+    rng = random.Random(7)
+    rows, n = [], 0
+    for size in [2, 3, 5, 6, 10, 11, 16, 20, 21, 50, 51, 100, 125, 500, 505]:  # sets of size - 1 shingles, and parts of them just above and just below 80 %
+        words = [f"s{size}x{i}" for i in range(size)]
+        for k in {size, -(-4 * (size - 1) // 5) + 1, -(-4 * (size - 1) // 5)}:
+            rows.append((n := n + 1, " ".join(words[:k])))
+    phrase = " ".join(f"common{i}" for i in range(30))
+    rows += [(1000 + i, phrase + " " + " ".join(f"t{rng.randrange(10**6)}" for _ in range(rng.choice([2, 5, 8, 30, 400])))) for i in range(40)]  # in more than 15 documents of many sizes
+    assert run(spark, rows, 2) == brute(rows, 2)
+
+
+def test_values_shared_with_other_sizes_only_name_no_list(spark):
+    reps = [(1, 20, list(range(20))), (2, 200, list(range(64))), (3, 24, [*range(100, 121), 5, 6, 7]), (4, 22, list(range(100, 122)))]
+    found = neardup.inverted(spark.createDataFrame(reps, "rep long, n long, sketch array<long>"), 80).collect()
+    assert {r["rep"] for r in found} == {3, 4}
+
+
+def test_both_sides_of_a_block_are_one_row(spark):
+    rows = [(1, i, 1, i, i > 0, True) for i in range(40)]
+    rows = spark.createDataFrame(rows, "list long, rep long, n long, component long, left boolean, right boolean")
+    one = neardup.dealt(rows, neardup.F.lit(1), (50, 50)).collect()
+    assert len(one) == 40 and len({r["g"] for r in one}) == 1
+    met = {}
+    for r in neardup.dealt(rows, neardup.F.lit(1), (10, 15)).collect():
+        met.setdefault(r["g"], ([], []))[0].extend([r["rep"]] * r["left"])
+        met[r["g"]][1].extend([r["rep"]] * r["right"])
+    pairs = sorted((a, b) for left, right in met.values() for a in left for b in right)
+    assert pairs == [(a, b) for a in range(1, 40) for b in range(40)] and len(met) > 4
