@@ -97,3 +97,10 @@ def test_both_sides_of_a_block_are_one_row(spark):
         met[r["g"]][1].extend([r["rep"]] * r["right"])
     pairs = sorted((a, b) for left, right in met.values() for a in left for b in right)
     assert pairs == [(a, b) for a in range(1, 40) for b in range(40)] and len(met) > 4
+
+
+def test_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SKETCH_BLOCK", (4, 8))
+    monkeypatch.setattr(neardup, "SET_BLOCK", (400, 900))
+    rows = make(9)
+    assert run(spark, rows, 2) == brute(rows, 2)
